@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable, table
+from .languages import label_languages
 from .packing import pack
 from .tokens import encode_corpus, token_count
 
@@ -33,7 +34,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).filter("seg_no = 1").select("doc_id").distinct()
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    return label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_samples"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the documents whose label is missing or wrong, or that are in more than one language."""
+    return p8_segments(spark, sf_dir).filter("label_state <> 'ok' or n_segments > 1").select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+    "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
 
 
