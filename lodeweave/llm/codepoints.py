@@ -24,6 +24,15 @@ def classes() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def lowered() -> np.ndarray:
+    """Every code point in lower case (the first one, where there are several), so that offsets stay those of the text."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for c in np.flatnonzero(classes() == LETTER).tolist():
+        out[c] = ord(chr(c).lower()[0])
+    return out
+
+
 @lru_cache(1)
 def _mixed() -> np.ndarray:
     return mix64(np.arange(1, 0x110001, dtype=np.uint64))
@@ -82,23 +91,22 @@ def slices(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, start, end) of every word: a run of letters or digits, lower-cased. Offsets are in the joined lower-cased texts."""
-    low = [t.lower() if t else "" for t in texts]
-    points, at = buffer(low)
-    if not len(points):
-        e = np.zeros(0, np.int64)
-        return e, e.astype(np.uint64), e, e
-    kind = classes()[points]
-    inside = (kind == LETTER) | (kind == NUMBER)
+def word_runs(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters or digits within texts."""
+    inside = (classes()[points] & 3) % 3 != 0  # LETTER or NUMBER
     edge = np.zeros(len(points) + 1, bool)
     edge[:-1] = inside
     edge[1:] ^= inside
-    first = at[:-1][at[:-1] < len(points)]
-    glued = first[(first > 0)]
-    glued = glued[inside[glued] & inside[glued - 1]]
-    cuts = np.flatnonzero(edge)
-    both = np.sort(np.concatenate([cuts, glued, glued]))
-    starts, ends = both[0::2], both[1::2]
-    rows = np.searchsorted(at, starts, "right") - 1
-    return rows, run_hashes(points, starts, ends), starts, ends
+    first = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(points))]
+    glued = np.unique(first[inside[first] & inside[first - 1]])
+    both = np.sort(np.concatenate([np.flatnonzero(edge), glued, glued]))
+    return both[0::2], both[1::2]
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of the texts: a run of letters or digits, lower-cased."""
+    points, at = buffer([t.lower() if t else "" for t in texts])
+    if not len(points):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts, ends = word_runs(points, at)
+    return np.searchsorted(at, starts, "right") - 1, run_hashes(points, starts, ends)

@@ -8,9 +8,29 @@ from pyspark.sql import functions as F
 from ..session import ensure_importable, table
 from .languages import label_languages
 from .packing import pack
+from .splitting import split_oversized
 from .tokens import encode_corpus, token_count
 
 
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    parts = [("document", "source_documents", "document_id", "content"), ("chunk", "chunks", "chunk_id", "text")]
+    docs, chunks = (
+        split_oversized(table(spark, sf_dir, name), key, text, with_text=with_text).select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), "piece_no", "start", "end", "cut", *["text"] * with_text)
+        for kind, name, key, text in parts
+    )
+    return docs.unionByName(chunks)
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every oversized document and chunk, with its text; repeated items once."""
+    return _pieces(spark, sf_dir, True).dropDuplicates(["item_kind", "item_id", "piece_no"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that splitting cut."""
+    return _pieces(spark, sf_dir, False).filter("piece_no = 1").select("item_kind", "item_id").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -45,10 +65,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
     "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": """
+        SELECT DISTINCT 'document' AS item_kind, document_id AS item_id FROM source_documents WHERE length(content) > 6000
+        UNION ALL
+        SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE length(text) > 6000
+    """,
+}
 
 
 def queries() -> dict:
