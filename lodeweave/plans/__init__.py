@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ensure_importable
+from . import history
+
+MODULES = [history]
+
 
 def queries() -> dict:
-    return {}
+    def shipped(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_importable(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {k: shipped(f) for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
