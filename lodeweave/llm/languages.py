@@ -255,8 +255,10 @@ def train(samples: DataFrame, labelled: DataFrame | None = None, lang_col: str =
     rows = samples.select(lang_col, text_col).dropna().limit(max_samples).collect()
     flt = Filter([(r[0], r[1]) for r in rows])
     if labelled is not None and max_labelled:
-        few = labelled.toDF("id", "label", "text").filter(F.col("label").isNotNull() & F.length("text").between(1, LABELLED_CHARS))
-        flt.widen([(r[0], r[1]) for r in few.orderBy(F.xxhash64("id")).select("label", "text").limit(max_labelled).collect()])
+        usable = labelled.toDF("id", "label", "text").filter(F.col("label").isNotNull())
+        share = min(1.0, 4 * max_labelled / max(1, usable.select("label").count()))  # so that few rows besides the sample reach the driver
+        few = usable.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))) & F.length("text").between(1, LABELLED_CHARS))
+        flt.widen([(r[0], r[1]) for r in few.orderBy(F.xxhash64("id", F.lit(1))).select("label", "text").limit(max_labelled).collect()])
     return flt
 
 

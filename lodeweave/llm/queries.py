@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_importable, table
 from .languages import label_languages
+from .neardup import near_duplicate_groups, near_duplicates
 from .packing import pack
 from .splitting import split_oversized
 from .tokens import encode_corpus, token_count
@@ -31,6 +32,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, False).filter("piece_no = 1").select("item_kind", "item_id").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of chunks whose texts are alike."""
+    return near_duplicates(table(spark, sf_dir, "chunks"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and group of every chunk whose text takes part."""
+    return near_duplicate_groups(table(spark, sf_dir, "chunks"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -65,6 +76,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p8_found": p8_found,
@@ -76,6 +89,15 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE length(text) > 6000
     """,
+    "p2_found": """
+        WITH texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+        used AS (SELECT row_number() OVER () AS t, chunk_id, ws, len(ws) AS n FROM texts WHERE len(ws) BETWEEN 20 AND 400),
+        counted AS (SELECT t, w, count(*) AS c FROM (SELECT t, unnest(ws) AS w FROM used) GROUP BY ALL),
+        both_ AS (SELECT a.t AS x, b.t AS y, sum(least(a.c, b.c)) AS s FROM counted a JOIN counted b ON a.w = b.w AND a.t < b.t GROUP BY ALL)
+        SELECT DISTINCT least(a.chunk_id, b.chunk_id) AS chunk_id_a, greatest(a.chunk_id, b.chunk_id) AS chunk_id_b
+        FROM both_ JOIN used a ON a.t = x JOIN used b ON b.t = y
+        WHERE a.chunk_id <> b.chunk_id AND s >= 0.7 * (a.n + b.n - s)
+    """,
 }
 
 
