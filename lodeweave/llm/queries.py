@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable, table
+from .forest import repeated_arrivals
 from .languages import label_languages
 from .neardup import near_duplicate_groups, near_duplicates
 from .packing import pack
@@ -42,6 +43,17 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals that repeat something stored or accepted before."""
+    return repeated_arrivals(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "incoming_chunks"))
+
+
+def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals that join the accepted ones, with their batch."""
+    came = table(spark, sf_dir, "incoming_chunks").select("arrival_no", "batch_no", "chunk_id").dropDuplicates(["arrival_no"])
+    return came.join(p4_found(spark, sf_dir), "arrival_no", "left_anti")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -76,6 +88,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_accepted": p4_accepted,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p1_found": p1_found,
