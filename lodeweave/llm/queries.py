@@ -12,6 +12,7 @@ from .neardup import near_duplicate_groups, near_duplicates
 from .packing import pack
 from .splitting import split_oversized
 from .tokens import encode_corpus, token_count
+from .vectors import nearest, similar_pairs
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
@@ -54,6 +55,16 @@ def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return came.join(p4_found(spark, sf_dir), "arrival_no", "left_anti")
 
 
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector."""
+    return nearest(table(spark, sf_dir, "embedding_records"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near neighbours with a cosine of at least 0.90."""
+    return similar_pairs(p5_nearest(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -88,6 +99,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p4_found": p4_found,
     "p4_accepted": p4_accepted,
     "p2_found": p2_found,
