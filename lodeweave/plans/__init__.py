@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_importable
-from . import history
+from . import history, retrieval
 
-MODULES = [history]
+MODULES = [retrieval, history]
 
 
 def queries() -> dict:

@@ -1 +1,43 @@
+"""Structured Streaming: documents as they land, limits per minute, and the audit log as a stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.chunking import chunk_recursive
+from ..operators.snapshot import ChunkStore, change_state
+
+DOCUMENTS = "document_id string, source_path string, content string, format string"
+
+
+def ingest_batch(store: ChunkStore, batch: DataFrame, chunker=chunk_recursive) -> None:
+    """One micro-batch: of each path the last content; unchanged documents are passed over, changed ones replace theirs."""
+    docs = batch.filter("content is not null").dropDuplicates(["source_path"]).withColumn("document_id", F.sha2("content", 256))
+    held = store.chunks()
+    if held is not None and "source_path" in held.columns:
+        docs = change_state(docs, held.select("source_path", "document_id").distinct()).filter("state <> 'unchanged'").drop("state")
+    chunks = chunker(docs).join(docs.select("document_id", "source_path").dropDuplicates(["document_id"]), "document_id").withColumn("ingested_at", F.current_timestamp())
+    if held is not None:
+        chunks = held.join(docs.select("source_path"), "source_path", "left_anti").unionByName(chunks, allowMissingColumns=True)
+    store.write(chunks.dropDuplicates(["chunk_id"]))
+
+
+def ingest_stream(spark: SparkSession, landing: str, store: ChunkStore, checkpoint: str, chunker=chunk_recursive, schema: str = DOCUMENTS):
+    """Everything that has landed (Parquet), batch after batch, each once; returns the started query."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: ingest_batch(store, batch, chunker)).start()
+
+
+def limited(events: DataFrame, limit: int, key: str = "user_id", time: str = "ts", late: str = "2 minutes") -> DataFrame:
+    """(key, minute, requests, refused) of finished minutes of a stream; events later than ``late`` are left out."""
+    timed = events.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", late)
+    counts = timed.groupBy(F.window("_ts", "1 minute").alias("_w"), F.col(key)).agg(F.count("*").alias("requests"))
+    refused = F.greatest(F.col("requests") - limit, F.lit(0)) if limit > 0 else F.lit(0)
+    return counts.select(key, F.col("_w.start").alias("minute"), "requests", refused.cast("bigint").alias("refused"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """(key, start, end, events) of a key's sessions in a stream."""
+    timed = events.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", late)
+    return timed.groupBy(F.session_window("_ts", gap).alias("_w"), F.col(key)).agg(F.count("*").alias("events")).select(key, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "events")
