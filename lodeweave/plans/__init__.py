@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_importable
-from . import history, retrieval
+from . import documents, history, retrieval, rules
 
-MODULES = [retrieval, history]
+MODULES = [retrieval, documents, rules, history]
 
 
 def queries() -> dict:
