@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_importable
-from . import documents, history, retrieval, rules
+from . import answers, documents, history, quality, retrieval, rules, store
 
-MODULES = [retrieval, documents, rules, history]
+MODULES = [retrieval, documents, rules, answers, quality, store, history]
 
 
 def queries() -> dict:

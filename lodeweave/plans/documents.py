@@ -126,6 +126,18 @@ _STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}\x1c-\x1f]+|[\s\p{{Z}}\x{{85}}
 SQL = {
     "chunk_fixed": """SELECT doc_id AS document_id, i::INT AS chunk_index, substr(text, (i * 350 + 1)::BIGINT, 500) AS text, length(substr(text, (i * 350 + 1)::BIGINT, 500))::INT AS char_count
         FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 350)::BIGINT)) AS i FROM documents WHERE text IS NOT NULL)""",
+    "chunk_recursive": r"""WITH d AS (SELECT DISTINCT document_id, content FROM source_documents WHERE content IS NOT NULL),
+        l AS (SELECT document_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM d),
+        h AS (SELECT *, regexp_matches(line, '^#{1,6}\s+.+$') AS head FROM l),
+        s AS (SELECT *, sum(head::INT) OVER (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS k FROM h),
+        b AS (SELECT document_id, k, max(CASE WHEN head THEN """
+    + _STRIP.format(r"regexp_extract(line, '^#{{1,6}}\s+(.+)', 1)".replace("{{", "{").replace("}}", "}").replace("\\\\", "\\"))
+    + r""" END) AS heading, """
+    + _STRIP.format("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), '')")
+    + r""" AS body FROM s GROUP BY document_id, k),
+        w AS (SELECT document_id, k, heading, CASE WHEN length(body) <= 500 THEN [body] ELSE list_transform(range(ceil(length(body) / 350)::BIGINT), lambda i: substr(body, i * 350 + 1, 500)) END AS ts FROM b WHERE body <> ''),
+        u AS (SELECT document_id, k, heading, unnest(ts) AS text, generate_subscripts(ts, 1) AS i FROM w)
+        SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY k, i) - 1)::INT AS chunk_index, heading, text FROM u""",
     "semantic_islands": """WITH n AS (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
         SELECT vec_id, label, sum(CASE WHEN p IS NOT NULL AND round(list_cosine_similarity(embedding::DOUBLE[], p::DOUBLE[]), 6) < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::INT AS island FROM n""",
     "doc_hash_dedup": "SELECT sha256(text) AS document_id, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1",
