@@ -13,15 +13,14 @@ def gutters(words: DataFrame) -> DataFrame:
 
     Of 26 places in the middle third the first that fewest words cross, if at most max(2, 2 %) do, at least a quarter of
     the words lie on either side, and the page has 20 words."""
-    places = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda i: F.struct(i.alias("i"), (F.col("width") * (LEFT + (RIGHT - LEFT) * i / (STEPS - 1))).alias("x")))
-    each = words.select("page_id", "x0", "x1", F.explode(places).alias("_p"))
-    x = F.col("_p.x")
-    counts = each.groupBy("page_id", F.col("_p.i").alias("i"), x.alias("x")).agg(
+    x = [F.col("width") * (LEFT + (RIGHT - LEFT) * i / (STEPS - 1)) for i in range(STEPS)]
+    count = lambda c: F.sum(c.cast("int"))
+    # one aggregate per place, so that words are neither multiplied nor shuffled
+    sums = words.groupBy("page_id").agg(
         F.count("*").alias("n"),
-        F.sum(((F.col("x0") < x) & (F.col("x1") > x)).cast("int")).alias("crossing"),
-        F.sum((F.col("x1") <= x).cast("int")).alias("before"),
-        F.sum((F.col("x0") >= x).cast("int")).alias("after"),
+        F.array(*[F.struct(F.lit(i).alias("i"), F.first(x[i]).alias("x"), count((F.col("x0") < x[i]) & (F.col("x1") > x[i])).alias("crossing"), count(F.col("x1") <= x[i]).alias("before"), count(F.col("x0") >= x[i]).alias("after")) for i in range(STEPS)]).alias("_s"),
     )
+    counts = sums.select("page_id", "n", F.explode("_s").alias("_e")).select("page_id", "n", "_e.*")
     fair = (F.col("before") >= LEAST_SHARE * F.col("n")) & (F.col("after") >= LEAST_SHARE * F.col("n"))
     best = counts.groupBy("page_id").agg(F.first("n").alias("n"), F.min(F.when(fair, F.struct("crossing", "i", "x"))).alias("_b"))
     ok = (F.col("n") >= LEAST_WORDS) & (F.col("_b.crossing") <= F.greatest(F.lit(2), F.floor(0.02 * F.col("n"))))
