@@ -88,12 +88,12 @@ class HashForest:
         self.name = f"forest_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
 
-    def signed(self, df: DataFrame, text_col: str) -> DataFrame:
-        """(bucket, entries, labels) rows of the texts that can be compared; a task signs each key once."""
+    def signed(self, rows: DataFrame) -> DataFrame:
+        """(bucket, entries, labels) rows of (_key, _features) rows; a task signs each key once."""
         labels, ids = self.labels, np.array(self.ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
+            seen = np.zeros(0, np.int64)
             kept: list[tuple[np.ndarray, np.ndarray]] = []
 
             def flush() -> pa.RecordBatch:
@@ -112,13 +112,11 @@ class HashForest:
                 return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "entries", "labels"])
 
             for b in batches:
-                values = b.column(0).to_pylist()
-                for x, y in cp.slices(values):
-                    s = lk.Sets(values[x:y])
-                    only = np.zeros(len(s.keys), bool)
-                    only[np.unique(s.keys, return_index=True)[1]] = True
-                    s.select(only & np.fromiter((k not in seen for k in s.keys.tolist()), bool, len(s.keys)))
-                    seen.update(s.keys.tolist())
+                for x in range(0, b.num_rows, 2000):
+                    part = b.slice(x, 2000)
+                    s = lk.Sets.of_rows(part.column(0), part.column(1))
+                    s.select(~np.isin(s.keys, seen))
+                    seen = np.concatenate([seen, s.keys])
                     if len(s.keys):
                         e = np.zeros(len(s.keys), ENTRY)
                         e["key"], e["size"], e["sketch"] = s.keys, s.sizes, s.sketches()
@@ -128,7 +126,7 @@ class HashForest:
             if kept:
                 yield flush()
 
-        return df.select(text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, "bucket int, entries binary, labels binary")
+        return rows.select("_key", "_features").mapInArrow(run, "bucket int, entries binary, labels binary")
 
     def add(self, signed: DataFrame) -> None:
         """Append texts as a run of their own."""
@@ -151,25 +149,28 @@ class HashForest:
 
     def search(self, batch: DataFrame) -> DataFrame:
         """Candidate pairs (_a of the batch, _b, _stored) of signed rows: against the accepted texts, and within the batch."""
-        threshold, allowed = self.labels.threshold, lk.most_bits(self.labels.threshold)
+        threshold = self.labels.threshold
 
         def look(stored: pa.Table, new: pa.Table) -> pa.Table:
             if not new.num_rows:
                 return pa.table({"_a": pa.array([], pa.int64()), "_b": pa.array([], pa.int64()), "_stored": pa.array([], pa.bool_())})
             (old, runs), (e, s) = merged(stored), merged(new)
-            found, size, key = [], old["size"].astype(np.int64), old["key"]
-            at, label = s["entry"].astype(np.int64), s["label"]
+            found, key, own = [], np.ascontiguousarray(old["key"]), np.ascontiguousarray(e["key"])
+            there, mine, entry = lk.Entries(old["size"], old["sketch"], threshold), lk.Entries(e["size"], e["sketch"], threshold), runs["entry"].astype(np.int64)
+            at, label = s["entry"].astype(np.int64), np.ascontiguousarray(s["label"])
+            sorted_labels = np.ascontiguousarray(runs["label"])
             lo = hi = None
             for level in range(DEEPER + 1):  # from the whole label to the widest prefix
                 low = label >> np.uint64(8 * level) << np.uint64(8 * level)
-                a, b = np.searchsorted(runs["label"], low, "left"), np.searchsorted(runs["label"], low + np.uint64((1 << (8 * level)) - 1), "right")
+                a, b = np.searchsorted(sorted_labels, low, "left"), np.searchsorted(sorted_labels, low + np.uint64((1 << (8 * level)) - 1), "right")
                 copies = []
                 for begin, end in ((a, b),) if lo is None else ((a, lo), (hi, b)):
                     for i, j in expanded(begin, end):
-                        x, y = at[i], runs["entry"][j].astype(np.int64)
-                        ok = lk.close(e["size"][x].astype(np.int64), e["sketch"][x], size[y], old["sketch"][y], threshold, allowed)
-                        found.append(np.stack([e["key"][x[ok]], key[y[ok]]]))
-                        copies.append(x[ok][e["key"][x[ok]] == key[y[ok]]])
+                        x, y = at[i], entry[j]
+                        ok = mine.close(x, there, y)
+                        x, y = x[ok], y[ok]
+                        found.append(np.stack([own[x], key[y]]))
+                        copies.append(x[own[x] == key[y]])
                 lo, hi = a, b
                 going = ~np.isin(at, np.concatenate(copies)) if copies else np.ones(len(at), bool)
                 at, label, lo, hi = at[going], label[going], lo[going], hi[going]
@@ -177,7 +178,7 @@ class HashForest:
             prefix = s["label"] >> np.uint64(8 * DEEPER)
             edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)]), len(prefix))
             sizes = np.diff(edges)
-            within = pairs_within(e[s["entry"]], edges[:-1][sizes > 1], sizes[sizes > 1], threshold, allowed)
+            within = pairs_within(e[s["entry"]], edges[:-1][sizes > 1], sizes[sizes > 1], threshold)
             return pa.table({"_a": pa.array(np.concatenate([against[0], within[0]])), "_b": pa.array(np.concatenate([against[1], within[1]])), "_stored": pa.array(np.arange(against.shape[1] + within.shape[1]) < against.shape[1])})
 
         table = self.spark.table(self.name)
@@ -245,15 +246,17 @@ def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "
     """
     spark = history.sparkSession
     forest = HashForest(spark, threshold, trees, recall)
-    forest.add(forest.signed(history, text_col))
-    fresh = arrivals.filter(F.col(order_col).isNotNull())
-    members = cut(lk.text_rows(fresh, [order_col], text_col).select(F.col(order_col).alias("_no"), "_key").distinct(), "arrivals")
+    old = cut(lk.text_rows(history.select(F.col(text_col).alias("_text")), [], "_text"), "history-rows")
+    fresh = arrivals.filter(F.col(order_col).isNotNull()).select(F.col(order_col).alias("_no"), F.col(text_col).alias("_text"))
+    came = cut(lk.text_rows(fresh, ["_no"], "_text"), "arrival-rows")
+    forest.add(forest.signed(old))
+    members = came.select("_no", "_key").distinct()
     classes = members.groupBy("_key").agg(F.min("_no").alias("_first"))
-    pairs = cut(forest.search(forest.signed(fresh, text_col)), "forest-pairs")
+    pairs = cut(forest.search(forest.signed(came)), "forest-pairs")
     apart = pairs.filter("_a <> _b")
     keys = apart.select(F.explode(F.array("_a", "_b")).alias("_key"))
-    texts = history.select(F.col(text_col).alias("_t")).unionByName(fresh.select(F.col(text_col).alias("_t")))
-    links = cut(lk.verified(apart, lk.feature_rows(texts, "_t", lk.key_bitmap(keys)), threshold).select("_a", "_b").join(apart, ["_a", "_b"]), "forest-links")
+    texts = old.unionByName(came.select(*old.columns))
+    links = cut(lk.verified(apart, lk.feature_rows(texts, lk.key_bitmap(keys)), threshold).select("_a", "_b").join(apart, ["_a", "_b"]), "forest-links")
     stored = pairs.filter("_a = _b and _stored").select(F.col("_a").alias("_key")).unionByName(links.filter("_stored").select(F.col("_a").alias("_key")))
     found = resolve(classes, stored, links.filter("not _stored").select("_a", "_b"))
     again = members.join(classes, "_key").filter("_no > _first").select("_no")

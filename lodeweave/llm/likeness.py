@@ -43,6 +43,19 @@ class Sets:
         np.add.at(total, of, self.features)
         self.keys = cp.mix64(total + self.sizes.astype(np.uint64)).view(np.int64)
 
+    @classmethod
+    def of_rows(cls, keys: pa.Array, blobs: pa.Array) -> Sets:
+        """The sets of stored (_key, _features) rows, each key once (the first of a batch)."""
+        s = cls([])
+        every = keys.to_numpy(zero_copy_only=False)
+        s.rows = np.sort(np.unique(every, return_index=True)[1])
+        s.keys = every[s.rows]
+        values = blobs.take(pa.array(s.rows))
+        flat = np.frombuffer(b"".join(values.to_pylist()), "<u4")
+        s.sizes = np.fromiter((len(v) // 4 for v in values.to_pylist()), np.int64, len(values))
+        s.of, s.features = np.repeat(np.arange(len(s.rows)), s.sizes), cp.mix64(flat.astype(np.uint64))
+        return s
+
     def select(self, kept: np.ndarray) -> None:
         """Keep some of the rows (a mask)."""
         number = np.cumsum(kept) - 1
@@ -71,26 +84,44 @@ def most_bits(threshold: float, most: int = MOST_WORDS) -> np.ndarray:
     return np.floor(SKETCH_BITS * q + SIGMAS * np.sqrt(SKETCH_BITS * q * (1 - q)) + 1e-9).astype(np.int64)
 
 
-def close(sizes_a, sketch_a, sizes_b, sketch_b, threshold: float, allowed: np.ndarray) -> np.ndarray:
-    """Which pairs may reach the threshold by their sizes and sketches."""
-    small, large = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
-    ok = small >= threshold * large - 1e-9
-    differ = np.bitwise_count(sketch_a ^ sketch_b).sum(1)
-    return ok & (differ <= allowed[np.minimum(small + large, len(allowed) - 1)])
+class Entries:
+    """Sizes and sketches of texts as contiguous columns, and which pairs of them may reach a threshold."""
+
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, threshold: float):
+        self.threshold, self.allowed = threshold, most_bits(threshold)
+        self.sizes = sizes.astype(np.int64)
+        self.words = [np.ascontiguousarray(sketches[:, k]) for k in range(sketches.shape[1])]
+        # the most bits that may differ from any text of a fitting size
+        self.most = self.allowed[np.minimum((self.sizes * (1 + 1 / threshold)).astype(np.int64) + 1, len(self.allowed) - 1)].astype(np.uint8)
+
+    def close(self, i: np.ndarray, other: Entries, j: np.ndarray) -> np.ndarray:
+        """A mask of the pairs (i of these, j of the others); most are ruled out by the first word of their sketches."""
+        first = np.bitwise_count(self.words[0][i] ^ other.words[0][j])
+        near = np.flatnonzero(first <= self.most[i])
+        x, y, differ = i[near], j[near], first[near].astype(np.int64)
+        for a, b in zip(self.words[1:], other.words[1:], strict=True):
+            differ += np.bitwise_count(a[x] ^ b[y])
+        small, large = np.minimum(self.sizes[x], other.sizes[y]), np.maximum(self.sizes[x], other.sizes[y])
+        ok = np.zeros(len(i), bool)
+        ok[near] = (small >= self.threshold * large - 1e-9) & (differ <= self.allowed[np.minimum(small + large, len(self.allowed) - 1)])
+        return ok
 
 
 def text_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """(id columns, _key, _n) of the rows whose text has 20 to 400 words. Texts with equal words, however ordered, share a key."""
+    """(id columns, _key, _n, _features) of the rows whose text has 20 to 400 words. Texts with equal words, however ordered, share a key."""
 
-    @F.arrow_udf("struct<k:bigint,n:int>")
-    def key(texts: pa.Array) -> pa.Array:
-        values, ks, ns = texts.to_pylist(), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32)
+    @F.arrow_udf("struct<k:bigint,n:int,f:binary>")
+    def features(texts: pa.Array) -> pa.Array:
+        values, keys, sizes, blobs = texts.to_pylist(), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32), [None] * len(texts)
         for a, b in cp.slices(values):
             s = Sets(values[a:b])
-            ks[a + s.rows], ns[a + s.rows] = s.keys, s.sizes
-        return pa.StructArray.from_arrays([pa.array(ks), pa.array(ns)], ["k", "n"])
+            keys[a + s.rows], sizes[a + s.rows] = s.keys, s.sizes
+            for i, f in zip((a + s.rows).tolist(), s.blobs().to_pylist(), strict=True):
+                blobs[i] = f
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(sizes), pa.array(blobs, pa.binary())], ["k", "n", "f"])
 
-    return df.select(*id_cols, key(F.col(text_col)).alias("_s")).filter("_s.n > 0").select(*id_cols, F.col("_s.k").alias("_key"), F.col("_s.n").alias("_n"))
+    rows = df.select(*id_cols, features(F.col(text_col)).alias("_s")).filter("_s.n > 0")
+    return rows.select(*id_cols, F.col("_s.k").alias("_key"), F.col("_s.n").alias("_n"), F.col("_s.f").alias("_features"))
 
 
 BITMAP = 1 << 24  # bits of the filter on keys: 2 MB whatever the data; if it fills up it only filters less
@@ -106,29 +137,26 @@ def key_bitmap(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def feature_rows(df: DataFrame, text_col: str, bitmap: bytes) -> DataFrame:
-    """(_key, _n, _features) of texts whose key may be among those of the bitmap; a task gives each key once."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap)
+def feature_rows(rows: DataFrame, bitmap: bytes) -> DataFrame:
+    """(_key, _n, _features), one row for each key that may be among those of the bitmap; only these are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        bits, seen = np.frombuffer(shared.value, np.uint8), np.zeros(0, np.int64)
         for b in batches:
-            values = b.column(0).to_pylist()
-            for x, y in cp.slices(values):
-                s = Sets(values[x:y])
-                p = s.keys % BITMAP
-                # a bucket holds the places 32768 b - 32767 .. 32768 b, as bitmap_bucket_number counts from 1 for positive places
-                bucket, bit = np.where(p > 0, 1 + (p - 1) // 32768, 0), np.where(p > 0, (p - 1) % 32768, 0)
-                kept = (bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
-                fresh = np.fromiter((k not in seen for k in s.keys.tolist()), bool, len(s.keys))
-                only = np.zeros(len(s.keys), bool)
-                only[np.unique(s.keys, return_index=True)[1]] = True
-                s.select(kept & fresh & only)
-                seen.update(s.keys.tolist())
-                yield pa.record_batch({"_key": pa.array(s.keys), "_n": pa.array(s.sizes.astype(np.int32)), "_features": s.blobs()})
-
-    return df.select(text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, "_key bigint, _n int, _features binary").groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_features").alias("_features"))
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            p = keys % BITMAP
+            # a bucket holds the places 32768 b - 32767 .. 32768 b, as bitmap_bucket_number counts from 1 for positive places
+            bucket, bit = np.where(p > 0, 1 + (p - 1) // 32768, 0), np.where(p > 0, (p - 1) % 32768, 0)
+            kept = (bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
+            first = np.zeros(len(keys), bool)
+            first[np.unique(keys, return_index=True)[1]] = True
+            kept &= first & ~np.isin(keys, seen)
+            seen = np.concatenate([seen, keys[kept]])
+            yield b.filter(pa.array(kept))
+
+    kept = rows.select("_key", "_n", "_features").mapInArrow(run, "_key bigint, _n int, _features binary")
+    return kept.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_features").alias("_features"))
 
 
 def shared_features(a: Column, b: Column) -> Column:

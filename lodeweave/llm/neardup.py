@@ -3,8 +3,9 @@
 Sets of like size are in one band. In a band the feature domain is partitioned by a hash into N parts, and subsets of M
 parts are enumerated: a signature is the hash of a set's features in one such subset. Two sets that differ in at most
 k features differ in at most k parts, so with all subsets of N >= k + M parts they share a signature for sure; here N is
-k * M / SELECTIVITY and SUBSETS of the subsets are taken, evenly over the parts, so that a pair at the threshold shares
-one with the chance that ``recall_at`` states, at a cost that is the same for small and large sets. A text signs in its own
+such that one subset is free of k differences with the chance exp(-SELECTIVITY), and SUBSETS of the subsets are taken,
+evenly over the parts, so that a pair at the threshold shares a signature with the chance that ``recall_at`` states, at a
+cost that is the same for small and large sets. A text signs in its own
 band and in the next one (which is where it meets the larger texts of that band, and others of its own again).
 
 Texts are first reduced to classes of equal word multisets. Signatures travel packed, many texts to a row, to the
@@ -42,15 +43,15 @@ class Band:
     def __init__(self, number: int, threshold: float, selectivity: float, subsets: int):
         self.top = lk.LEAST_WORDS * STEP ** (number + 1)
         self.differ = (1 - threshold) / (1 + threshold) * 2 * self.top
-        self.parts = max(M + 3, round(self.differ * M / selectivity))
+        self.parts = max(M + 3, round(M / (1 - np.exp(-selectivity / self.differ))))
         if subsets >= comb(self.parts, M):
             self.chosen = np.array(list(combinations(range(self.parts), M)))
             return
-        rng, rows = np.random.default_rng(number), []
+        rng, rows = np.random.default_rng(number), {}
         while len(rows) < subsets:
-            p = rng.permutation(self.parts)
-            rows += [p[i : i + M] for i in range(0, self.parts - M + 1, M)]
-        self.chosen = np.array(rows[:subsets])
+            p = rng.permutation(self.parts).tolist()
+            rows |= {tuple(sorted(p[i : i + M])): None for i in range(0, self.parts - M + 1, M)}
+        self.chosen = np.array(list(rows)[:subsets])
 
     def recall_at(self, differ: float) -> float:
         """The chance that two sets that differ in so many features share a signature of this band (subsets taken as independent)."""
@@ -122,9 +123,9 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(entries) if entries else np.zeros(0, ENTRY)), (np.concatenate(signed) if signed else np.zeros(0, SIGNED))
 
 
-def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float, allowed: np.ndarray) -> np.ndarray:
+def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Distinct close pairs of keys (smaller first) within runs of entries."""
-    found = []
+    found, entries, key = [], lk.Entries(e["size"], e["sketch"], threshold), np.ascontiguousarray(e["key"])
     first = np.repeat(starts, sizes)
     end = first + np.repeat(sizes, sizes)
     at = first + (np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
@@ -133,9 +134,9 @@ def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold
         alive = at + step < end
         at, end = at[alive], end[alive]
         for a in range(0, len(at), 1 << 18):
-            i, j = at[a : a + (1 << 18)], at[a : a + (1 << 18)] + step
-            ok = lk.close(e["size"][i].astype(np.int64), e["sketch"][i], e["size"][j].astype(np.int64), e["sketch"][j], threshold, allowed)
-            x, y = e["key"][i[ok]], e["key"][j[ok]]
+            i = at[a : a + (1 << 18)]
+            i = i[entries.close(i, entries, i + step)]
+            x, y = key[i], key[i + step]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y])
         step += 1
     return distinct(found)
@@ -161,13 +162,13 @@ def _batch(pairs: np.ndarray, blocks: list[tuple[int, bytes, bytes]] = ()) -> pa
     )
 
 
-def candidates(df: DataFrame, text_col: str, plan: PartEnum, run: int = RUN) -> DataFrame:
-    """Distinct candidate pairs (_a, _b) of text keys."""
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    threshold, allowed = plan.threshold, lk.most_bits(plan.threshold)
+def candidates(rows: DataFrame, plan: PartEnum, run: int = RUN) -> DataFrame:
+    """Distinct candidate pairs (_a, _b) of text keys of (_key, _features) rows."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    threshold = plan.threshold
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = np.zeros(0, np.int64)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -178,17 +179,15 @@ def candidates(df: DataFrame, text_col: str, plan: PartEnum, run: int = RUN) ->
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "entries", "signed"])
 
         for b in batches:
-            values = b.column(0).to_pylist()
-            for x, y in cp.slices(values):
-                s = lk.Sets(values[x:y])
-                only = np.zeros(len(s.keys), bool)
-                only[np.unique(s.keys, return_index=True)[1]] = True
-                s.select(only & np.fromiter((k not in seen for k in s.keys.tolist()), bool, len(s.keys)))
-                seen.update(s.keys.tolist())
+            for x in range(0, b.num_rows, 2000):
+                part = b.slice(x, 2000)
+                s = lk.Sets.of_rows(part.column(0), part.column(1))
+                s.select(~np.isin(s.keys, seen))
+                seen = np.concatenate([seen, s.keys])
                 if len(s.keys):
-                    rows, signatures = plan.sign(s)
-                    kept.append((entries_of(s), rows, signatures))
-                    held += len(rows)
+                    signing, signatures = plan.sign(s)
+                    kept.append((entries_of(s), signing, signatures))
+                    held += len(signing)
                 if held > 2_000_000:
                     yield flush()
                     held = 0
@@ -209,7 +208,7 @@ def candidates(df: DataFrame, text_col: str, plan: PartEnum, run: int = RUN) ->
         starts, sizes = edges[:-1], np.diff(edges)
         ordered = e[keep[num]]
         few = (sizes > 1) & (sizes <= run)
-        yield _batch(pairs_within(ordered, starts[few], sizes[few], threshold, allowed))
+        yield _batch(pairs_within(ordered, starts[few], sizes[few], threshold))
         for a, n in zip(starts[sizes > run].tolist(), sizes[sizes > run].tolist(), strict=True):
             blocks = [ordered[i : min(i + run // 2, a + n)].tobytes() for i in range(a, a + n, run // 2)]
             for i, left in enumerate(blocks):
@@ -220,27 +219,27 @@ def candidates(df: DataFrame, text_col: str, plan: PartEnum, run: int = RUN) ->
         for b in batches:
             for x, y in zip(b.column("_left").to_pylist(), b.column("_right").to_pylist(), strict=True):
                 left, right = np.frombuffer(x, ENTRY), np.frombuffer(y, ENTRY)
-                found = [] if len(right) else [pairs_within(left, np.array([0]), np.array([len(left)]), threshold, allowed)]
+                found = [] if len(right) else [pairs_within(left, np.array([0]), np.array([len(left)]), threshold)]
+                one, two = (lk.Entries(z["size"], z["sketch"], threshold) for z in (left, right))
+                every = np.arange(len(left))
                 for k in range(len(right)):
-                    other = right[k : k + 1]
-                    ok = lk.close(left["size"].astype(np.int64), left["sketch"], other["size"].astype(np.int64), other["sketch"], threshold, allowed)
-                    p, q = left["key"][ok], np.full(int(ok.sum()), other["key"][0])
+                    ok = one.close(every, two, np.full(len(left), k))
+                    p, q = left["key"][ok], np.full(int(ok.sum()), right["key"][k])
                     found.append(np.stack([np.minimum(p, q), np.maximum(p, q)])[:, p != q])
                 p = distinct(found)
                 yield pa.record_batch({"_a": pa.array(p[0]), "_b": pa.array(p[1])})
 
-    texts = df.select(text_col).filter(F.col(text_col).isNotNull())
-    sent = texts.mapInArrow(sign, "bucket int, entries binary, signed binary").repartitionById(buckets, "bucket")
+    sent = rows.select("_key", "_features").mapInArrow(sign, "bucket int, entries binary, signed binary").repartitionById(buckets, "bucket")
     first = cut(sent.mapInArrow(pair, "_a bigint, _b bigint, _block bigint, _left binary, _right binary"), "partenum")
     hot = first.filter("_block is not null").repartition("_block").select("_left", "_right").mapInArrow(across, "_a bigint, _b bigint")
     return first.filter("_block is null").select("_a", "_b").unionByName(hot).distinct()
 
 
-def links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, selectivity: float = SELECTIVITY, subsets: int = SUBSETS) -> DataFrame:
+def links(rows: DataFrame, threshold: float = THRESHOLD, selectivity: float = SELECTIVITY, subsets: int = SUBSETS) -> DataFrame:
     """Pairs (_a, _b, likeness) of keys of different word multisets whose likeness reaches the threshold."""
-    pairs = cut(candidates(df, text_col, PartEnum(threshold, selectivity, subsets)), "partenum-pairs")
+    pairs = cut(candidates(rows, PartEnum(threshold, selectivity, subsets)), "partenum-pairs")
     keys = pairs.select(F.col("_a").alias("_key")).unionByName(pairs.select(F.col("_b").alias("_key")))
-    return lk.verified(pairs, lk.feature_rows(df, text_col, lk.key_bitmap(keys)), threshold)
+    return lk.verified(pairs, lk.feature_rows(rows, lk.key_bitmap(keys)), threshold)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -249,9 +248,10 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     Texts of fewer than 20 or more than 400 words, null and empty ones take no part; repeated rows count once; rows with
     a null id are left out; an empty table gives an empty one.
     """
-    members = cut(lk.text_rows(df.filter(F.col(id_col).isNotNull()), [id_col], text_col).select(F.col(id_col).alias("_id"), "_key").distinct(), "partenum-members")
+    rows = cut(lk.text_rows(df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], "_text"), "partenum-rows")
+    members = rows.select("_id", "_key").distinct()
     a, b = members.select(F.col("_id").alias("_x"), F.col("_key").alias("_a")), members.select(F.col("_id").alias("_y"), F.col("_key").alias("_b"))
-    different = links(df, text_col, threshold).join(a, "_a").join(b, "_b").select("_x", "_y")
+    different = links(rows, threshold).join(a, "_a").join(b, "_b").select("_x", "_y")
     copies = a.join(b, F.col("_a") == F.col("_b")).filter("_x < _y").select("_x", "_y")
     pair = different.filter("_x <> _y").unionByName(copies)
     return pair.select(F.least("_x", "_y").alias(f"{id_col}_a"), F.greatest("_x", "_y").alias(f"{id_col}_b")).distinct()
@@ -281,8 +281,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, class_id, group_id, class_size, n_links), one row per id and word multiset: texts of one class have equal
     words, classes of one group are linked by likeness, n_links counts the other classes that the class is linked with."""
-    members = cut(lk.text_rows(df.filter(F.col(id_col).isNotNull()), [id_col], text_col).select(id_col, "_key").distinct(), "partenum-members")
-    found = cut(links(df, text_col, threshold).select("_a", "_b"), "partenum-links")
+    rows = cut(lk.text_rows(df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], "_text"), "partenum-rows")
+    members = cut(rows.select(F.col("_id").alias(id_col), "_key").distinct(), "partenum-members")
+    found = cut(links(rows, threshold).select("_a", "_b"), "partenum-links")
     degree = found.select(F.explode(F.array("_a", "_b")).alias("_key")).groupBy("_key").agg(F.count("*").alias("n_links"))
     size = members.groupBy("_key").agg(F.count("*").alias("class_size"))
     out = members.join(size, "_key").join(components(found), "_key", "left").join(degree, "_key", "left")
