@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ..session import cut, shared_dir
 from . import codepoints as cp
 from . import likeness as lk
-from .neardup import ENTRY, distinct, pairs_within
+from .neardup import BUCKET_ROWS, ENTRY, distinct, pairs_within
 
-THRESHOLD, TREES, RECALL = 0.70, 32, 0.98
+THRESHOLD, TREES, RECALL = 0.70, 40, 0.99
 HASHES, DEEPER = 96, 3  # min-hash values of a text; values of a label beyond the widest prefix
 SIGNED = np.dtype([("label", "<u8"), ("entry", "<u4")])
 PAIRS = "_a bigint, _b bigint, _stored boolean"
@@ -78,9 +78,10 @@ def bucket_ids(spark: SparkSession, n: int) -> list[int]:
 class HashForest:
     """The sorted runs of all accepted texts, in one bucketed table in the shared folder."""
 
-    def __init__(self, spark: SparkSession, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL):
+    def __init__(self, spark: SparkSession, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, rows: int = 0):
+        """``rows``: about how many texts it will hold, for the number of buckets."""
         self.spark, self.labels, self.runs = spark, Labels(threshold, trees, recall), 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
         self.ids = bucket_ids(spark, self.buckets)
         self._new_table()
 
@@ -245,10 +246,10 @@ def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "
     searched in one pass: whether an arrival is found depends on its order alone, not on how arrivals are batched.
     """
     spark = history.sparkSession
-    forest = HashForest(spark, threshold, trees, recall)
     old = cut(lk.text_rows(history.select(F.col(text_col).alias("_text")), [], "_text"), "history-rows")
     fresh = arrivals.filter(F.col(order_col).isNotNull()).select(F.col(order_col).alias("_no"), F.col(text_col).alias("_text"))
     came = cut(lk.text_rows(fresh, ["_no"], "_text"), "arrival-rows")
+    forest = HashForest(spark, threshold, trees, recall, rows=old.count())
     forest.add(forest.signed(old))
     members = came.select("_no", "_key").distinct()
     classes = members.groupBy("_key").agg(F.min("_no").alias("_first"))

@@ -30,9 +30,10 @@ from . import codepoints as cp
 from . import likeness as lk
 
 THRESHOLD = 0.70
-M, SELECTIVITY, SUBSETS = 3, 2.8, 28
+M, SELECTIVITY, SUBSETS = 3, 2.8, 40
 STEP = 2**0.5  # ratio of the sizes at the ends of a band
 RUN = 20_000
+BUCKET_ROWS = 25_000  # texts whose signatures one partition pairs, on average, at most
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (lk.SKETCH_BITS // 64,))])
 SIGNED = np.dtype([("signature", "<u4"), ("entry", "<u4")])
 
@@ -164,7 +165,7 @@ def _batch(pairs: np.ndarray, blocks: list[tuple[int, bytes, bytes]] = ()) -> pa
 
 def candidates(rows: DataFrame, plan: PartEnum, run: int = RUN) -> DataFrame:
     """Distinct candidate pairs (_a, _b) of text keys of (_key, _features) rows."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_ROWS))
     threshold = plan.threshold
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_importable, table
+from ..session import ensure_importable, spread, table
 from .forest import repeated_arrivals
 from .languages import label_languages
 from .neardup import near_duplicate_groups, near_duplicates
@@ -18,7 +18,7 @@ from .vectors import nearest, similar_pairs
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     parts = [("document", "source_documents", "document_id", "content"), ("chunk", "chunks", "chunk_id", "text")]
     docs, chunks = (
-        split_oversized(table(spark, sf_dir, name), key, text, with_text=with_text).select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), "piece_no", "start", "end", "cut", *["text"] * with_text)
+        split_oversized(spread(table(spark, sf_dir, name).select(key, text)), key, text, with_text=with_text).select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), "piece_no", "start", "end", "cut", *["text"] * with_text)
         for kind, name, key, text in parts
     )
     return docs.unionByName(chunks)
@@ -36,17 +36,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of chunks whose texts are alike."""
-    return near_duplicates(table(spark, sf_dir, "chunks"))
+    return near_duplicates(spread(table(spark, sf_dir, "chunks").select("chunk_id", "text")))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and group of every chunk whose text takes part."""
-    return near_duplicate_groups(table(spark, sf_dir, "chunks"))
+    return near_duplicate_groups(spread(table(spark, sf_dir, "chunks").select("chunk_id", "text")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals that repeat something stored or accepted before."""
-    return repeated_arrivals(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "incoming_chunks"))
+    return repeated_arrivals(spread(table(spark, sf_dir, "chunks").select("text")), spread(table(spark, sf_dir, "incoming_chunks").select("arrival_no", "text")))
 
 
 def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +66,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"))
+    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its container."""
-    return pack(table(spark, sf_dir, "documents").select("doc_id", token_count("text").alias("n_tokens")))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_count("text").alias("n_tokens")))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every document with its language and confidence."""
-    return label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "language_samples"))
+    return label_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), table(spark, sf_dir, "language_samples"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from ..session import cut
 K, DIMENSIONS = 5, 64
 CELL, MOST_CELLS, SAMPLE, ROUNDS = 1000, 2048, 30_000, 8  # vectors in a cell; cells, sampled vectors and rounds of a model's fit, at most
 PROBES, BLOCK, EPSILON = 8, 4096, 1.9
+PART_ROWS = 25_000  # vectors that one partition searches for, on average, at most
 
 
 def rotation(d: int) -> np.ndarray:
@@ -183,7 +184,7 @@ def nearest(df: DataFrame, k: int = K, probes: int = PROBES, dimensions: int = D
     # a row per cell each
     held = {r[0]: r[1] for r in placed.groupBy(F.col("_cells")[0].alias("c")).count().collect()}
     asked = {r[0]: r[1] for r in placed.select(F.explode("_cells").alias("c")).groupBy("c").count().collect()}
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // PART_ROWS))
     blocks = {c: -(-n // BLOCK) for c, n in held.items()}
     load = [(0.0, p) for p in range(parts)]
     part_of: dict[tuple[int, int], int] = {}

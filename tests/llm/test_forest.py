@@ -52,8 +52,8 @@ def test_runs_can_be_appended_and_merged(spark):
 
 
 def test_depth_keeps_the_recall_target():
-    d = forest.widest_depth(0.7, 32, 0.98)
-    assert 1 - (1 - 0.7**d) ** 32 >= 0.98 > 1 - (1 - 0.7 ** (d + 1)) ** 32
+    d = forest.widest_depth(0.7, forest.TREES, forest.RECALL)
+    assert 1 - (1 - 0.7**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.7 ** (d + 1)) ** forest.TREES
 
 
 def test_empty(spark):
