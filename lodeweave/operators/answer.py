@@ -260,6 +260,13 @@ def confidence(queries: DataFrame, ranked: DataFrame, claims: DataFrame, results
     return out.select("query_id", "retrieval", "citations", "coverage", F.round(total, 6).alias("overall"))
 
 
+def zeroed_on_error(scores: DataFrame, errors: DataFrame) -> DataFrame:
+    """Confidence of answers, all zero for those of (query_id, error) whose generation failed altogether."""
+    failed = errors.filter("error is not null").select("query_id").distinct().withColumn("_failed", F.lit(True))
+    names = ["retrieval", "citations", "coverage", "overall"]
+    return scores.join(failed, "query_id", "left").select("query_id", *[F.when(F.col("_failed"), 0.0).otherwise(F.col(n)).alias(n) for n in names])
+
+
 def confidence_band(retrieval: Column, overall: Column) -> Column:
     return F.when(retrieval < 0.35, "no evidence").when(overall > 0.8, "High").when(overall > 0.6, "Medium").otherwise("Low")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import basename
 from .bm25 import BM25Index
 
 MAX_METADATA_BYTES = 40 * 1024
@@ -116,3 +117,15 @@ def document_detail(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
     """Summaries with the first chunk's metadata and the first 1000 characters."""
     first = chunks.groupBy("document_id").agg(F.min_by(F.struct("legal_metadata", F.substring("text", 1, 1000).alias("preview")), F.struct("chunk_index", "chunk_id")).alias("_f"))
     return summaries.join(first, "document_id", "left").select(*summaries.columns, "_f.legal_metadata", "_f.preview")
+
+
+def named(documents: DataFrame, part: str, path_col: str = "source_path") -> DataFrame:
+    """Documents whose file name holds ``part``, whatever the case; blank paths never."""
+    name = F.lower(basename(F.col(path_col)))
+    return documents.filter((F.trim(path_col) != "") & F.contains(name, F.lit(part.lower())))
+
+
+def file_names(documents: DataFrame, path_col: str = "source_path") -> DataFrame:
+    """(document_id, filename): the first file name of every document that has one."""
+    known = documents.filter(F.trim(path_col) != "")
+    return known.groupBy("document_id").agg(basename(F.min(path_col)).alias("filename"))

@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.driver.memory", memory)
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-lodeweave-warehouse-"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
