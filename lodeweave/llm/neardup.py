@@ -100,12 +100,13 @@ def entries_of(s: lk.Sets) -> np.ndarray:
 
 def packed(entries: np.ndarray, rows: np.ndarray, signatures: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(bucket, entries, signed) for each bucket: an entry is there once, however many of its signatures are."""
-    bucket = ((signatures >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((rows, bucket))
-    bucket, rows, signatures = bucket[order], rows[order], signatures[order]
+    bucket = (signatures >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket << np.uint64(32) | rows.astype(np.uint64))
+    bucket, rows, signatures = bucket[order].astype(np.int64), rows[order], signatures[order]
     edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        only, number = np.unique(rows[a:b], return_inverse=True)
+        fresh = np.append(True, rows[a + 1 : b] != rows[a : b - 1])
+        only, number = rows[a:b][fresh], np.cumsum(fresh) - 1
         signed = np.zeros(b - a, SIGNED)
         signed["signature"], signed["entry"] = signatures[a:b] & np.uint64(0xFFFFFFFF), number
         yield int(bucket[a]), entries[only].tobytes(), signed.tobytes()
@@ -201,14 +202,15 @@ def candidates(rows: DataFrame, plan: PartEnum, run: int = RUN) -> DataFrame:
         number = np.unique(e["key"], return_inverse=True)[1] if len(e) else np.zeros(0, np.int64)
         keep = np.zeros(len(e), np.int64)
         keep[number] = np.arange(len(e))
-        order = np.lexsort((number[signed["entry"]], signed["signature"]))
-        sig, num = signed["signature"][order], number[signed["entry"]][order]
-        fresh = np.append(True, (sig[1:] != sig[:-1]) | (num[1:] != num[:-1]))[: len(sig)]
-        sig, num = sig[fresh], num[fresh]
+        both = np.sort(signed["signature"].astype(np.uint64) << np.uint64(32) | number[signed["entry"]].astype(np.uint64))
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+        sig, num = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         edges = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)]), len(sig))
-        starts, sizes = edges[:-1], np.diff(edges)
-        ordered = e[keep[num]]
-        few = (sizes > 1) & (sizes <= run)
+        sizes = np.diff(edges)
+        shared = np.repeat(sizes > 1, sizes)  # most signatures are of one text
+        sig, ordered, sizes = sig[shared], e[keep[num[shared]]], sizes[sizes > 1]
+        starts = np.cumsum(sizes) - sizes
+        few = sizes <= run
         yield _batch(pairs_within(ordered, starts[few], sizes[few], threshold))
         for a, n in zip(starts[sizes > run].tolist(), sizes[sizes > run].tolist(), strict=True):
             blocks = [ordered[i : min(i + run // 2, a + n)].tobytes() for i in range(a, a + n, run // 2)]
