@@ -28,6 +28,7 @@ LABELLED_CHARS = 3000
 SEEN = 3  # texts of a language an n-gram must be in to widen its slice,
 RATE = 0.2  # and the least share of its rate in the language where it is most common
 SWITCH = 6.0
+SLICE = 1 << 18  # characters decided at once, so that counts stay in the processor's cache
 MIN_WORDS = 3  # words of letters that make a sentence
 #: Other spellings of the language codes.
 SPELLINGS = {
@@ -76,20 +77,20 @@ def folded(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def ngrams(f: np.ndarray, owner: np.ndarray):
-    """(hash, owner) of the n-grams of each size that lie within a word and its ends."""
-    space = f == 32
-    x = f.astype(np.uint64)
-    for n in SIZES:
+    """(key, owner) of the n-grams of each size that lie within a word and its ends."""
+    word = f != 32
+    key, inner = f.astype(np.uint64), np.ones(len(f), bool)
+    for n in range(2, max(SIZES) + 1):
         m = len(f) - n + 1
         if m <= 0:
-            continue
-        ok, key = np.ones(m, bool), np.full(m, np.uint64(n))
-        for j in range(n):
-            key = key * np.uint64(0x100000001B3) + x[j : j + m]
-            if 0 < j < n - 1:
-                ok &= ~space[j : j + m]
-        ok &= owner[:m] == owner[n - 1 :]
-        yield cp.mix64(key[ok]), owner[:m][ok]
+            return
+        key = key[:m] * np.uint64(0x100000001B3) + f[n - 1 :]
+        inner = inner[:m]
+        if n > 2:
+            inner = inner & word[n - 2 : n - 2 + m]
+        if n in SIZES:
+            here = np.flatnonzero(inner & (owner[:m] == owner[n - 1 :]))
+            yield key[here], owner[here]
 
 
 class Filter:
@@ -109,7 +110,7 @@ class Filter:
     def widen(self, labelled: list[tuple[str, str]]) -> None:
         """Add n-grams of labelled texts. Only texts that the filter so far takes for their label, in one language, count."""
         values = [t for _, t in labelled]
-        found = [s for a, b in cp.slices(values) for s in segments(self, values[a:b])]
+        found = [s for a, b in cp.slices(values, SLICE) for s in segments(self, values[a:b])]
         rates: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k, lang in enumerate(self.langs):
             texts = [t for (x, t), s in zip(labelled, found, strict=True) if x == lang and s and len(s) == 1 and s[0][0] == lang]
@@ -144,20 +145,22 @@ class Filter:
         self.weight = 1 - np.log(held) / np.log(max(len(self.langs), 2))
 
     @staticmethod
-    def _places(h: np.ndarray) -> list[np.ndarray]:
-        return [(h >> np.uint64(i * 24)) & np.uint64((1 << BITS) - 1) for i in range(HASHES)]
+    def _places(key: np.ndarray) -> list[np.ndarray]:
+        return [((key * np.uint64(k)) >> np.uint64(64 - BITS)).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[:HASHES]]
 
     def scores(self, points: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
         """Weighted hits of each owner in each language, corrected for false positives."""
-        counts = np.zeros(owners * len(self.bits), np.int64)
+        held, seen = [np.zeros(0, np.int64)], np.zeros(owners, np.int64)
         for h, who in ngrams(*folded(points, owner)):
-            mask = self.table[self._places(h)[0]]
-            for place in self._places(h)[1:]:
-                mask &= self.table[place]
-            counts += np.bincount(who * len(self.bits) + mask, minlength=len(counts))
-        counts = counts.reshape(owners, len(self.bits))
-        seen = counts.sum(1, keepdims=True)
-        return np.maximum(counts @ (self.bits * self.weight[:, None]) - seen * self.false, 0) / (1 - self.false)
+            first, *more = self._places(h)
+            mask = self.table.take(first)
+            for place in more:
+                mask &= self.table.take(place)
+            known = np.flatnonzero(mask)
+            seen += np.bincount(who, minlength=owners)
+            held.append(who[known] * len(self.bits) + mask[known])
+        counts = np.bincount(np.concatenate(held), minlength=owners * len(self.bits)).reshape(owners, len(self.bits))
+        return np.maximum(counts.astype(np.float64) @ (self.bits * self.weight[:, None]) - seen[:, None] * self.false, 0) / (1 - self.false)
 
 
 def plain_words(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +271,7 @@ def detect(text: Column | str, flt: Filter) -> Column:
     @F.arrow_udf(ARRAY)
     def run(texts: pa.Array) -> pa.Array:
         values, out = [t or "" for t in texts.to_pylist()], []
-        for a, b in cp.slices(values):
+        for a, b in cp.slices(values, SLICE):
             out += segments(flt, values[a:b])
         kind = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.array([None if s is None else [dict(zip(("lang", "confidence", "start", "end"), x, strict=True)) for x in s] for s in out], kind)
