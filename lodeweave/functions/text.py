@@ -76,4 +76,4 @@ def find(haystack: Column, needle: Column) -> Column:
 
 def shown(c: Column, signed: bool = False) -> Column:
     """A number with three decimals for tables; `-` for null."""
-    return F.coalesce(F.format_string("%+.3f" if signed else "%.3f", c), F.lit("-"))
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%+.3f" if signed else "%.3f", c))

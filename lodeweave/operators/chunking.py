@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import chunk_key, cosine, sentences, strip
 
 MAX_CHUNK_CHARS = 6000
-HEADING = r"(?dmU)^(#{1,6})\s+(.+)$"
 #: Document types that the clause chunker takes; all others get the default one.
 LEGAL_TYPES = ["regulation", "policy", "contract", "standard", "guideline"]
 

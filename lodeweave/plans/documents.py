@@ -73,8 +73,9 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_row_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as lines of `name: value`, one text per nation."""
-    return rendered_rows(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment"], ["c_nationkey"], ["c_custkey"])
+    """Customers as lines of `name: value`, one text per nation and thousand of numbers, so that no text grows with the table."""
+    pages = table(spark, sf_dir, "customer").withColumn("page", F.floor(F.col("c_custkey") / 1000))
+    return rendered_rows(pages, ["c_custkey", "c_name", "c_mktsegment"], ["c_nationkey", "page"], ["c_custkey"])
 
 
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +139,35 @@ SQL = {
         w AS (SELECT document_id, k, heading, CASE WHEN length(body) <= 500 THEN [body] ELSE list_transform(range(ceil(length(body) / 350)::BIGINT), lambda i: substr(body, i * 350 + 1, 500)) END AS ts FROM b WHERE body <> ''),
         u AS (SELECT document_id, k, heading, unnest(ts) AS text, generate_subscripts(ts, 1) AS i FROM w)
         SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY k, i) - 1)::INT AS chunk_index, heading, text FROM u""",
+    "clause_parse": r"""WITH d AS (SELECT DISTINCT document_id, content FROM source_documents WHERE content IS NOT NULL),
+        l AS (SELECT document_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM d),
+        h AS (SELECT *, nullif(regexp_extract(line, '^(?:Article|ARTICLE|Art\.)\s+(\d+[A-Za-z]?)\s*$', 1), '') AS a, nullif(regexp_extract(line, '^(?:Section|SECTION|Sec\.)\s+([\d.]+)\s*$', 1), '') AS s,
+            regexp_matches(line, '^(?:Chapter|CHAPTER)\s+([IVXLCDM]+|\d+)\s*$') OR regexp_matches(line, '^(?:Annex|ANNEX|Appendix|APPENDIX)\s+([A-Za-z0-9]+)\s*$') AS o FROM l),
+        b AS (SELECT *, sum((coalesce(a, s) IS NOT NULL OR o)::INT) OVER w AS k, sum((coalesce(a, s) IS NOT NULL)::INT) OVER w AS c FROM h WINDOW w AS (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+        e AS (SELECT *, max(CASE WHEN c > 0 THEN a END) OVER (PARTITION BY document_id, c) AS article, max(CASE WHEN c > 0 THEN s END) OVER (PARTITION BY document_id, c) AS section,
+            max(CASE WHEN """
+    + _STRIP.format("line")
+    + r""" <> '' THEN n END) OVER (PARTITION BY document_id, k) AS last FROM b WHERE k > 0),
+        m AS (SELECT *, nullif(regexp_extract(line || CASE WHEN n < last THEN chr(10) ELSE '' END, '^\(?(\d+(?:\.\d+)*(?:\([a-z]\))?)\)?[\s\p{Z}\x{85}\x1c-\x1f.:]', 1), '') AS num FROM e),
+        u AS (SELECT *, sum((num IS NOT NULL)::INT) OVER (PARTITION BY document_id, k ORDER BY n ROWS UNBOUNDED PRECEDING) AS sub FROM m),
+        p AS (SELECT document_id, k, sub, any_value(article) AS article, any_value(section) AS section, max(num) AS num, """
+    + _STRIP.format("string_agg(line, chr(10) ORDER BY n)")
+    + r""" AS t FROM u GROUP BY document_id, k, sub),
+        j AS (SELECT *, lead(sub) OVER w AS nxt, lag(t) OVER w AS lead_, lag(sub) OVER w AS prev FROM p WINDOW w AS (PARTITION BY document_id, k ORDER BY sub)),
+        r AS (SELECT document_id, k, sub, article, section, CASE WHEN num IS NULL THEN NULL WHEN article IS NOT NULL THEN article || '.' || num ELSE num END AS clause,
+            CASE WHEN sub = 1 AND prev = 0 AND lead_ <> '' THEN lead_ || chr(10) || t ELSE t END AS text FROM j WHERE NOT (sub = 0 AND nxt IS NOT NULL)),
+        g AS (SELECT document_id, sum(length(text)) AS n FROM r GROUP BY document_id)
+        SELECT r.document_id, (row_number() OVER (PARTITION BY r.document_id ORDER BY k, sub) - 1)::INT AS ord, article, section, clause, text, round(least(1, 0.5::DOUBLE + 0.5::DOUBLE * least(g.n / greatest(length(d.content), 1), 1)), 6)::DOUBLE AS confidence, FALSE AS fallback
+        FROM r JOIN g USING (document_id) JOIN d USING (document_id)
+        UNION ALL SELECT document_id, 0, NULL, NULL, NULL, """
+    + _STRIP.format("content")
+    + r""", 0, TRUE FROM d WHERE """
+    + _STRIP.format("content")
+    + """ <> '' AND document_id NOT IN (SELECT document_id FROM g)""",
     "semantic_islands": """WITH n AS (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
         SELECT vec_id, label, sum(CASE WHEN p IS NOT NULL AND round(list_cosine_similarity(embedding::DOUBLE[], p::DOUBLE[]), 6) < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::INT AS island FROM n""",
     "doc_hash_dedup": "SELECT sha256(text) AS document_id, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "csv_row_render": """SELECT c_nationkey, string_agg('c_custkey: ' || c_custkey || ', c_name: ' || coalesce(c_name, 'None') || ', c_mktsegment: ' || coalesce(c_mktsegment, 'None'), chr(10) ORDER BY c_custkey) AS content FROM customer GROUP BY c_nationkey""",
+    "csv_row_render": """SELECT c_nationkey, c_custkey // 1000 AS page, string_agg('c_custkey: ' || c_custkey || ', c_name: ' || coalesce(c_name, 'None') || ', c_mktsegment: ' || coalesce(c_mktsegment, 'None'), chr(10) ORDER BY c_custkey) AS content FROM customer GROUP BY c_nationkey, c_custkey // 1000""",
     "upload_validation": r"""WITH s AS (SELECT source_path, nullif(regexp_extract(lower(regexp_extract(source_path, '([^/]*)$', 1)), '(\.[^.]+)$', 1), '') AS x, strlen(coalesce(content, '')) AS n, coalesce(content, '') AS c FROM source_documents),
         f AS (SELECT *, CASE WHEN x IN ('.md', '.markdown') THEN 'markdown' WHEN x IN ('.html', '.htm') THEN 'html' WHEN x = '.txt' THEN 'text' WHEN x IN ('.pdf', '.csv', '.xlsx', '.docx') THEN x[2:] END AS format FROM s)
         SELECT source_path, format, CASE WHEN regexp_extract(source_path, '([^/]*)/*$', 1) NOT IN ('', '.', '..') THEN regexp_extract(source_path, '([^/]*)/*$', 1) END AS name,

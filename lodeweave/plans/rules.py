@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, compliance, fusion
 from ..operators.bm25 import BM25Index
 from ..session import cut, table
-from .retrieval import STORED, stored_chunks
+from .retrieval import STORED, bm25_sql, stored_chunks
 
 #: Names of regulations that questions over these tables may hold.
 NAMES = ["CARD HANDLING STANDARD", "CLOUD ASSURANCE FRAMEWORK", "DATA STEWARDSHIP REGULATION", "GDPR", "HEALTH RECORDS CODE", "LEDGER RESILIENCE ACT"]
@@ -131,3 +131,18 @@ SQL = {
         concat_ws(' ', nullif(m.regulation, ''), CASE WHEN m.article <> '' THEN 'Art. ' || m.article || CASE WHEN tail IS NULL THEN '' WHEN instr(tail, '(') > 0 THEN '(' || substr(tail, 1, instr(tail, '(') - 1) || ')' || substr(tail, instr(tail, '(')) ELSE '(' || tail || ')' END
         WHEN m.clause <> '' THEN 'Clause ' || m.clause END) || coalesce(', p.' || pg, '') END AS display FROM p""",
 }
+
+_KINDS = SQL["route_classify"].split(" SELECT query_id, CASE WHEN coalesce(c, a, s)")[0]
+_ROUTED = (
+    _KINDS
+    + rf""", i AS (SELECT query_id, t, CASE WHEN coalesce(c, a, s) IS NOT NULL THEN CASE WHEN regexp_matches(t, '{_ELABORATE}') THEN 'mixed' ELSE 'structured' END WHEN coalesce(g, j) IS NOT NULL THEN 'metadata' ELSE 'semantic' END AS kind,
+        CASE WHEN c IS NOT NULL THEN 'clause' WHEN a IS NOT NULL THEN 'article' WHEN s IS NOT NULL THEN 'section' WHEN g IS NOT NULL THEN 'regulation' WHEN j IS NOT NULL THEN 'jurisdiction' END AS field, coalesce(c, a, s, g, j) AS value FROM r WHERE query_id % 20 = 0),
+    {STORED}, """
+    + bm25_sql("hits", "SELECT chunk_id AS id, text FROM stored", "SELECT query_id, t AS text FROM i WHERE kind <> 'structured'")
+    + r""", named AS (SELECT query_id, chunk_id AS id, kind, document_id, chunk_index FROM i JOIN stored ON CASE field WHEN 'clause' THEN legal_metadata.clause = value WHEN 'article' THEN regexp_extract(legal_metadata.article, '(\d+[A-Za-z]?)', 1) = value
+        WHEN 'section' THEN regexp_extract(legal_metadata.section, '([\d.]+)', 1) = value WHEN 'jurisdiction' THEN legal_metadata.jurisdiction = value WHEN 'regulation' THEN contains(lower(legal_metadata.regulation), lower(value)) END),
+    rest AS (SELECT h.query_id, h.id, round(0.3 / (60 + rank), 9)::DOUBLE AS rrf_score, rank, kind FROM hits h JOIN i USING (query_id) WHERE kind = 'semantic' OR EXISTS (SELECT 1 FROM named n WHERE n.query_id = h.query_id AND n.id = h.id))
+    SELECT query_id, id, 1.0::DOUBLE AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY document_id NULLS FIRST, chunk_index NULLS FIRST, id)::INT AS final_rank, kind FROM named WHERE kind = 'structured'
+    UNION ALL SELECT query_id, id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT, kind FROM rest"""
+).replace("\\\\", "\\")
+SQL["routed_search"] = _ROUTED

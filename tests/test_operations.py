@@ -135,6 +135,13 @@ def test_settings():
             settings_from(wrong)
 
 
+def test_numbers_for_tables(spark):
+    from lodeweave.functions import approximate_tokens, find, shown
+
+    r = spark.createDataFrame([(1.23456, None, "abcdefgh", "de")], "a double, b double, t string, s string").select(shown(F.col("a")), shown(F.col("a"), True), shown(F.col("b")), approximate_tokens(F.col("t")), find(F.col("t"), F.col("s")), find(F.col("s"), F.col("t"))).first()
+    assert tuple(r) == ("1.235", "+1.235", "-", 2, 3, -1)
+
+
 def test_judges(spark):
     rows = [('{"verdict": "partial", "reasoning": "r"}',), ("broken",), ('{"verdict": "maybe"}',), (None,)]
     got = [r[0].verdict for r in spark.createDataFrame(rows, "r string").select(evaluation.judged(F.col("r"))).collect()]
