@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_a_name_and_sql_only_for_queries():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 70
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 60
 
 
 def test_entry(spark):
