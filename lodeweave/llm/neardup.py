@@ -31,18 +31,22 @@ from . import likeness as lk
 
 THRESHOLD = 0.70
 M, SELECTIVITY, SUBSETS = 3, 2.8, 40
-STEP = 2**0.5  # ratio of the sizes at the ends of a band
 RUN = 20_000
 BUCKET_ROWS = 25_000  # texts whose signatures one partition pairs, on average, at most
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (lk.SKETCH_BITS // 64,))])
 SIGNED = np.dtype([("signature", "<u4"), ("entry", "<u4")])
 
 
+def step(threshold: float) -> float:
+    """Ratio of the sizes at the ends of a band: sizes that the threshold allows for are of one band or of neighbours."""
+    return (1 + 1e-6) / threshold
+
+
 class Band:
     """Parts and subsets for the sets of a band; number 0 begins at the least size."""
 
     def __init__(self, number: int, threshold: float, selectivity: float, subsets: int):
-        self.top = lk.LEAST_WORDS * STEP ** (number + 1)
+        self.top = lk.LEAST_WORDS * step(threshold) ** (number + 1)
         self.differ = (1 - threshold) / (1 + threshold) * 2 * self.top
         self.parts = max(M + 3, round(M / (1 - np.exp(-selectivity / self.differ))))
         if subsets >= comb(self.parts, M):
@@ -59,19 +63,19 @@ class Band:
         return 1 - (1 - (1 - M / self.parts) ** differ) ** len(self.chosen)
 
 
-def band_of(sizes: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(sizes / lk.LEAST_WORDS) / np.log(STEP) + 1e-9).astype(np.int64)
+def band_of(sizes: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    return np.floor(np.log(sizes / lk.LEAST_WORDS) / np.log(step(threshold)) + 1e-9).astype(np.int64)
 
 
 class PartEnum:
     def __init__(self, threshold: float = THRESHOLD, selectivity: float = SELECTIVITY, subsets: int = SUBSETS):
-        last = int(band_of(np.array([lk.MOST_WORDS]))[0]) + 2
+        last = int(band_of(np.array([lk.MOST_WORDS]), threshold)[0]) + 2
         self.threshold = threshold
         self.bands = [Band(i, threshold, selectivity, subsets) for i in range(last)]
 
     def sign(self, s: lk.Sets) -> tuple[np.ndarray, np.ndarray]:
         """(row, 64-bit signature) of all rows, in their own band and the next."""
-        own, rows, out = band_of(s.sizes), [], []
+        own, rows, out = band_of(s.sizes, self.threshold), [], []
         for number, band in enumerate(self.bands):
             here = (own == number) | (own == number - 1)
             if not here.any():

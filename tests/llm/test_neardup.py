@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from lodeweave.llm import likeness as lk
@@ -75,6 +76,16 @@ def test_bands_promise_recall():
         assert len({tuple(sorted(c)) for c in own.chosen.tolist()}) == len(own.chosen)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.7, 0.8, 0.9])
+def test_sizes_that_may_be_alike_share_a_band(threshold):
+    sizes = np.arange(lk.LEAST_WORDS, lk.MOST_WORDS + 1)
+    band = nd.band_of(sizes, threshold)
+    alike = sizes[:, None] >= threshold * sizes[None, :] - 1e-9
+    apart = band[None, :] - band[:, None]
+    assert not (alike & (sizes[:, None] <= sizes[None, :]) & (apart > 1)).any()
+    assert nd.PartEnum(threshold).bands[-1].top > lk.MOST_WORDS and len(nd.PartEnum(threshold).bands) > band[-1] + 1
+
+
 def test_all_subsets_of_enough_parts_lose_nothing():
     band = nd.Band(0, 0.7, selectivity=0.5, subsets=10**9)
     assert band.parts >= band.differ + nd.M and len(band.chosen) == pytest.approx(band.parts * (band.parts - 1) * (band.parts - 2) / 6)
