@@ -1,9 +1,9 @@
 """Word multisets of texts and what is computed from them: keys, sketches and the exact likeness of pairs.
 
 A text is the set of its (word, occurrence) features, so that the likeness of two texts, with repeated words counted, is
-the Jaccard similarity of two sets. A sketch has a bit for each of SKETCH_BITS parts of the feature domain: the parity of
-the features' bits in it. Parts that hold no different feature agree, others agree half the time, which bounds from below
-how many bits agree in sufficiently similar texts.
+the Jaccard similarity of two sets. A sketch has a bit for each of SKETCH_BITS parts of the feature domain: whether the
+number of features in it is odd. A feature that only one text has changes one bit, so the bits that differ are never more
+than the features that differ: what sketches rule out is never a sufficiently similar pair.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from . import codepoints as cp
 
 LEAST_WORDS, MOST_WORDS = 20, 400
-SKETCH_BITS = 128
-SIGMAS = 3.0  # a sufficiently similar pair is passed over by its sketches with a chance of 0.13 %
+SKETCH_BITS = 256
 
 
 class Sets:
@@ -66,8 +65,8 @@ class Sets:
     def sketches(self) -> np.ndarray:
         """(rows, SKETCH_BITS / 64) uint64."""
         part = (self.features >> np.uint64(7)) % np.uint64(SKETCH_BITS)
-        bits = np.bincount(self.of * SKETCH_BITS + part.astype(np.int64), ((self.features >> np.uint64(50)) & np.uint64(1)).astype(np.float64), len(self.rows) * SKETCH_BITS)
-        return np.packbits(bits.reshape(len(self.rows), SKETCH_BITS).astype(np.int64) & 1, axis=1).view(np.uint64)
+        counts = np.bincount(self.of * SKETCH_BITS + part.astype(np.int64), minlength=len(self.rows) * SKETCH_BITS)
+        return np.packbits(counts.reshape(len(self.rows), SKETCH_BITS) & 1, axis=1).view(np.uint64)
 
     def blobs(self) -> pa.Array:
         """The features of each row as sorted 32-bit numbers."""
@@ -78,10 +77,8 @@ class Sets:
 
 
 def most_bits(threshold: float, most: int = MOST_WORDS) -> np.ndarray:
-    """How many sketch bits may differ, by the sum of two sizes, for a likeness of at least the threshold."""
-    differ = np.arange(2 * most + 1) * (1 - threshold) / (1 + threshold)
-    q = 0.5 - 0.5 * (1 - 1 / SKETCH_BITS) ** differ
-    return np.floor(SKETCH_BITS * q + SIGMAS * np.sqrt(SKETCH_BITS * q * (1 - q)) + 1e-9).astype(np.int64)
+    """How many features, so how many sketch bits, may differ, by the sum of two sizes, for a likeness of at least the threshold."""
+    return np.floor(np.arange(2 * most + 1) * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
 
 
 class Entries:
@@ -106,6 +103,20 @@ class Entries:
         ok[near] = (small >= self.threshold * large - 1e-9) & (differ <= self.allowed[np.minimum(small + large, len(self.allowed) - 1)])
         return ok
 
+    def within(self, order: np.ndarray, tile: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of a run, given in order of size, that may reach the threshold."""
+        sizes, words = self.sizes[order], [w[order] for w in self.words]
+        end = np.searchsorted(sizes, sizes / self.threshold + 1e-6, "right")
+        for a in range(0, len(order), tile[0]):
+            b = min(a + tile[0], len(order))
+            for c in range(a, int(end[b - 1]), tile[1]):
+                d = min(c + tile[1], int(end[b - 1]))
+                differ = sum(np.bitwise_count(w[a:b, None] ^ w[None, c:d]) for w in words[:3])  # close has the rest
+                i, j = np.nonzero(differ <= self.allowed[min(sizes[b - 1] + sizes[d - 1], len(self.allowed) - 1)])
+                i, j = i[a + i < c + j] + a, j[a + i < c + j] + c
+                ok = self.close(order[i], self, order[j])
+                yield order[i[ok]], order[j[ok]]
+
 
 def text_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """(id columns, _key, _n, _features) of the rows whose text has 20 to 400 words. Texts with equal words, however ordered, share a key."""

@@ -8,6 +8,12 @@ evenly over the parts, so that a pair at the threshold shares a signature with t
 cost that is the same for small and large sets. A text signs in its own
 band and in the next one (which is where it meets the larger texts of that band, and others of its own again).
 
+What these subsets miss, an exact route finds: in it, too, the domain is partitioned, and the subsets of PAIR features of a
+part are enumerated, of the rarest features alone. A text that may lack ``lost`` of its features in a similar one takes
+features, rarest first, until its parts hold lost + 1 more than PAIR - 1 each: whatever is lost, one part keeps PAIR features,
+and the one of two texts that ends first on the common order has them all in common with the other. The order comes from
+counts over all rows in a table of fixed size; it decides how many pairs are met by chance, never which are found.
+
 Texts are first reduced to classes of equal word multisets. Signatures travel packed, many texts to a row, to the
 partition that their hash names; equal ones are paired there, and pairs whose sizes or sketches rule them out never leave
 the task. The pairs that do are verified exactly. A signature of more than RUN texts is cut into blocks, whose pairs of
@@ -31,7 +37,10 @@ from . import likeness as lk
 
 THRESHOLD = 0.70
 M, SELECTIVITY, SUBSETS = 3, 2.8, 40
+PAIR, WIDE = 2, 3.0  # features of an exact signature; ratio of the sizes at the ends of an exact route's band, at least
+COUNTS = 1 << 19  # places of the table of feature counts: 4 MB whatever the data
 RUN = 20_000
+LONG, TILE = 64, (64, 2048)  # runs from this length are paired in tiles
 BUCKET_ROWS = 25_000  # texts whose signatures one partition pairs, on average, at most
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (lk.SKETCH_BITS // 64,))])
 SIGNED = np.dtype([("signature", "<u4"), ("entry", "<u4")])
@@ -67,11 +76,79 @@ def band_of(sizes: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     return np.floor(np.log(sizes / lk.LEAST_WORDS) / np.log(step(threshold)) + 1e-9).astype(np.int64)
 
 
+class Rare:
+    """The exact route's parts of the bands, and its signatures: two texts that reach the threshold share one for sure."""
+
+    def __init__(self, threshold: float):
+        self.threshold, wide, self.low = threshold, max(WIDE, step(threshold)), [float(lk.LEAST_WORDS)]
+        while self.low[-1] * wide <= lk.MOST_WORDS:
+            self.low.append(self.low[-1] * wide)
+        # a text as small as any that signs in the band has enough features even if no part is empty
+        self.parts = [max(1, int(threshold * max(lk.LEAST_WORDS, threshold * a)) - 1) for a in self.low]
+
+    def sign(self, s: lk.Sets, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, 64-bit signature) of all rows; counts: of the features' places, for the order."""
+        often = np.zeros(len(s.features), np.int64) if counts is None else counts[place_of(s.features)]
+        order = np.lexsort((s.features, often, s.of))
+        of, features = s.of[order], s.features[order]
+        lost = s.sizes - np.ceil(self.threshold * s.sizes - 1e-9).astype(np.int64)
+        rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for number, (a, b, parts) in enumerate(zip(self.low, [*self.low[1:], np.inf], self.parts, strict=True)):
+            here = ((s.sizes >= self.threshold * a - 1e-6) & (s.sizes < b))[of]
+            if not here.any():
+                continue
+            t, x = of[here], features[here]
+            group = t * parts + ((x >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            more = nth(group) >= PAIR - 1
+            held = np.cumsum(more) - more
+            first = np.append(True, t[1:] != t[:-1])
+            held -= held[np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))]
+            taken = held <= lost[t]
+            t, x, group = t[taken], cp.mix64(x[taken] + np.uint64(number + 1)), group[taken]
+            by = np.argsort(group, kind="stable")
+            t, x, place = t[by], x[by], nth(group[by])
+            for back in range(1, int(place.max(initial=0)) + 1):
+                i = np.flatnonzero(place >= back)
+                rows.append(t[i])
+                out.append(cp.mix64(x[i] + x[i - back]))
+        return np.concatenate(rows), np.concatenate(out)
+
+
+def nth(group: np.ndarray) -> np.ndarray:
+    """How many of the same group come before each."""
+    order = np.argsort(group, kind="stable")
+    g, at = group[order], np.arange(len(group))
+    out = np.empty(len(group), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(np.append(True, g[1:] != g[:-1])[: len(g)], at, 0)) if len(g) else at
+    return out
+
+
+def place_of(features: np.ndarray) -> np.ndarray:
+    return (features >> np.uint64(40)).astype(np.int64) % COUNTS
+
+
+def feature_counts(rows: DataFrame) -> np.ndarray:
+    """How often the features of each place occur in (_key, _features) rows; at most COUNTS numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            n += np.bincount(place_of(cp.mix64(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").astype(np.uint64))), minlength=COUNTS)
+        at = np.flatnonzero(n)
+        yield pa.record_batch({"place": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
+
+    got = rows.select("_features").mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTS, np.int64)
+    counts[got["place"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
 class PartEnum:
     def __init__(self, threshold: float = THRESHOLD, selectivity: float = SELECTIVITY, subsets: int = SUBSETS):
         last = int(band_of(np.array([lk.MOST_WORDS]), threshold)[0]) + 2
         self.threshold = threshold
         self.bands = [Band(i, threshold, selectivity, subsets) for i in range(last)]
+        self.rare = Rare(threshold)
 
     def sign(self, s: lk.Sets) -> tuple[np.ndarray, np.ndarray]:
         """(row, 64-bit signature) of all rows, in their own band and the next."""
@@ -132,6 +209,17 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
 def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Distinct close pairs of keys (smaller first) within runs of entries."""
     found, entries, key = [], lk.Entries(e["size"], e["sketch"], threshold), np.ascontiguousarray(e["key"])
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        x, y = key[i], key[j]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y])
+        if len(found) > 1 and sum(f.shape[1] for f in found[1:]) > max(1 << 20, found[0].shape[1]):
+            found[:] = [distinct(found)]
+
+    for a, n in zip(starts[sizes >= LONG].tolist(), sizes[sizes >= LONG].tolist(), strict=True):
+        for i, j in entries.within(a + np.argsort(entries.sizes[a : a + n], kind="stable"), TILE):
+            keep(i, j)
+    starts, sizes = starts[sizes < LONG], sizes[sizes < LONG]
     first = np.repeat(starts, sizes)
     end = first + np.repeat(sizes, sizes)
     at = first + (np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
@@ -142,8 +230,7 @@ def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, threshold
         for a in range(0, len(at), 1 << 18):
             i = at[a : a + (1 << 18)]
             i = i[entries.close(i, entries, i + step)]
-            x, y = key[i], key[i + step]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y])
+            keep(i, i + step)
         step += 1
     return distinct(found)
 
@@ -172,6 +259,7 @@ def candidates(rows: DataFrame, plan: PartEnum, run: int = RUN) -> DataFrame:
     """Distinct candidate pairs (_a, _b) of text keys of (_key, _features) rows."""
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_ROWS))
     threshold = plan.threshold
+    counts = rows.sparkSession.sparkContext.broadcast(feature_counts(rows))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -191,7 +279,7 @@ def candidates(rows: DataFrame, plan: PartEnum, run: int = RUN) -> DataFrame:
                 s.select(~np.isin(s.keys, seen))
                 seen = np.concatenate([seen, s.keys])
                 if len(s.keys):
-                    signing, signatures = plan.sign(s)
+                    signing, signatures = (np.concatenate(x) for x in zip(plan.sign(s), plan.rare.sign(s, counts.value), strict=True))
                     kept.append((entries_of(s), signing, signatures))
                     held += len(signing)
                 if held > 2_000_000:

@@ -86,6 +86,47 @@ def test_sizes_that_may_be_alike_share_a_band(threshold):
     assert nd.PartEnum(threshold).bands[-1].top > lk.MOST_WORDS and len(nd.PartEnum(threshold).bands) > band[-1] + 1
 
 
+def test_contained_texts_at_the_threshold_are_never_missed():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    texts = []
+    for small, large in [(20, 28), (39, 55), (42, 60), (59, 84), (79, 112), (113, 160), (126, 180), (159, 226), (280, 400)] * 25:
+        base = [rng.choice(vocabulary) for _ in range(large)]
+        texts += [" ".join(rng.sample(base, small)), " ".join(base)]
+    s = lk.Sets(texts)
+    for counts in (None, np.bincount(nd.place_of(s.features), minlength=nd.COUNTS)):
+        rows, signatures = nd.Rare(nd.THRESHOLD).sign(s, counts)
+        of = [set() for _ in texts]
+        for row, signature in zip(rows.tolist(), signatures.tolist()):
+            of[row].add(signature)
+        assert all(of[i] & of[i + 1] for i in range(0, len(texts), 2))
+    e = lk.Entries(s.sizes, s.sketches(), nd.THRESHOLD)
+    even = np.arange(0, len(texts), 2)
+    assert e.close(even, e, even + 1).all()
+
+
+def test_pairs_at_the_bound_are_all_found(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(800):
+        base = [f"w{rng.randrange(4000)}" for _ in range(113)]
+        rows += [(f"a{k}", " ".join(base[:80])), (f"b{k}", " ".join(base))]
+    got = {tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, "chunk_id string, text string")).collect()}
+    assert got == {(f"a{k}", f"b{k}") for k in range(800)}
+
+
+def test_runs_in_tiles_give_the_pairs_of_steps():
+    s = lk.Sets(corpus(21, families=60))
+    entries, far = nd.entries_of(s), (np.array([0, 100]), np.array([100, len(s.keys) - 100]))
+    one = lk.Entries(entries["size"], entries["sketch"], nd.THRESHOLD)
+    want = set()
+    for a, n in zip(*far):
+        i, j = (x + a for x in np.triu_indices(n, 1))
+        ok = one.close(i, one, j)
+        want |= {(min(p), max(p)) for p in zip(s.keys[i[ok]].tolist(), s.keys[j[ok]].tolist()) if p[0] != p[1]}
+    assert {tuple(p) for p in nd.pairs_within(entries, *far, nd.THRESHOLD).T.tolist()} == want
+
+
 def test_all_subsets_of_enough_parts_lose_nothing():
     band = nd.Band(0, 0.7, selectivity=0.5, subsets=10**9)
     assert band.parts >= band.differ + nd.M and len(band.chosen) == pytest.approx(band.parts * (band.parts - 1) * (band.parts - 2) / 6)
