@@ -1,7 +1,7 @@
 """Problem 4: new batches deduplicated against all history by a prefix-tree hash forest.
 
-A tree orders all texts by a label: a sequence of min-hash values of the text's word multiset, taken from the tree's own
-permutations. Texts share a label's first d values with the chance likeness ** d, so the texts that agree longest are the
+A tree orders all texts by a label: a sequence of min-hash values of the text's word multiset, of hash functions that are
+the tree's own, so that trees miss a text independently of each other. Texts share a label's first d values with the chance likeness ** d, so the texts that agree longest are the
 likeliest. The forest keeps the labels of all accepted texts sorted, as runs in a table bucketed by the labels' first
 values. A batch is sent to the same buckets (only the batch moves), its labels are located in the runs by range search,
 and the prefix that must agree is widened, value by value, until the recall target holds: at depth d and TREES trees a
@@ -26,7 +26,7 @@ from . import likeness as lk
 from .neardup import BUCKET_ROWS, ENTRY, distinct, pairs_within
 
 THRESHOLD, TREES, RECALL = 0.70, 40, 0.99
-HASHES, DEEPER = 96, 3  # min-hash values of a text; values of a label beyond the widest prefix
+DEEPER = 3  # values of a label beyond the widest prefix
 SIGNED = np.dtype([("label", "<u8"), ("entry", "<u4")])
 PAIRS = "_a bigint, _b bigint, _stored boolean"
 
@@ -44,17 +44,16 @@ class Labels:
 
     def __init__(self, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL):
         self.threshold, self.depth = threshold, widest_depth(threshold, trees, recall)
-        rng, rows, size = np.random.default_rng(4), [], self.depth + DEEPER
-        self.factors = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        while len(rows) < trees:
-            p = rng.permutation(HASHES)
-            rows += [p[i : i + size] for i in range(0, HASHES - size + 1, size)]
-        self.trees = np.array(rows[:trees])
+        # values up to the widest prefix are of one tree alone; those beyond it only order the search and are shared
+        own, rng = trees * self.depth, np.random.default_rng(4)
+        self.factors = rng.integers(1, 1 << 63, own, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        deeper = np.array([rng.permutation(own)[:DEEPER] for _ in range(trees)])
+        self.trees = np.concatenate([np.arange(own).reshape(trees, self.depth), deeper], axis=1)
 
     def of(self, s: lk.Sets) -> np.ndarray:
         """(texts, trees) uint64."""
         starts = np.concatenate([[0], np.cumsum(s.sizes)[:-1]]).astype(np.int64)
-        least = np.empty((len(s.keys), HASHES), np.uint64)
+        least = np.empty((len(s.keys), len(self.factors)), np.uint64)
         for m, a in enumerate(self.factors):
             x = s.features * a
             least[:, m] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), starts)

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from lodeweave.llm import forest
 from lodeweave.llm import likeness as lk
 from tests.llm.test_neardup import bag, corpus, likeness
@@ -56,6 +60,27 @@ def test_depth_keeps_the_recall_target():
     assert 1 - (1 - 0.7**d) ** forest.TREES >= forest.RECALL > 1 - (1 - 0.7 ** (d + 1)) ** forest.TREES
 
 
+def test_trees_miss_independently():
+    labels = forest.Labels()
+    own = labels.trees[:, : labels.depth]
+    assert len(np.unique(own)) == own.size == forest.TREES * labels.depth
+    # recall of the actual layout at the threshold, where the values agree independently of each other
+    agree = np.random.default_rng(1).random((20_000, len(labels.factors))) < forest.THRESHOLD
+    met = agree[:, own].all(axis=2).any(axis=1).mean()
+    assert met >= forest.RECALL
+
+
+def test_labels_of_texts_at_the_threshold_meet():
+    rng = random.Random(2)
+    texts = []
+    for _ in range(3000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join(base[:70])]
+    labels = forest.Labels()
+    prefix = labels.of(lk.Sets(texts)) >> np.uint64(8 * forest.DEEPER)
+    assert (prefix[::2] == prefix[1::2]).any(axis=1).mean() > 0.988
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "arrival_no bigint, text string")
     some = spark.createDataFrame([(1, "a b c " * 10)], "arrival_no bigint, text string")
