@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,21 +26,39 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def similar_to_store(new: DataFrame, store: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO) -> DataFrame:
+def near_vectors(new: DataFrame, store: DataFrame, cosine_above: float, model_col: str | None = None) -> DataFrame:
+    """(query_id, id): pairs of chunks whose vectors, of one model where model_col names it, have a greater cosine; once each."""
+    one = lambda q, v: scores(q.select(F.col("chunk_id").alias("query_id"), "embedding"), v.select(F.col("chunk_id").alias("id"), "embedding"), above=cosine_above).select("query_id", "id")
+    if model_col is None:
+        return one(new, store)
+    models = sorted(r[0] for r in new.select(model_col).distinct().collect() if r[0] is not None)
+    pairs = [one(new.filter(F.col(model_col) == m), store.filter(F.col(model_col) == m)) for m in models]
+    return reduce(DataFrame.unionByName, pairs).distinct() if pairs else one(new.limit(0), store.limit(0))
+
+
+def _texts(chunks: DataFrame, columns: list[str], model_col: str | None) -> DataFrame:
+    """Each chunk once, whatever models it has vectors of."""
+    return chunks.select(*columns).dropDuplicates(["chunk_id"]) if model_col else chunks.select(*columns)
+
+
+def similar_to_store(new: DataFrame, store: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO, model_col: str | None = None) -> DataFrame:
     """(chunk_id, other): chunks (chunk_id, text, embedding) with a stored one of strictly greater cosine and text ratio.
-    The cheap exact test of vectors comes first, the texts of its pairs alone are compared."""
-    near = scores(new.select(F.col("chunk_id").alias("query_id"), "embedding"), store.select(F.col("chunk_id").alias("id"), "embedding"), above=cosine_above)
-    texts = near.select(F.col("query_id").alias("chunk_id"), F.col("id").alias("other")).filter("chunk_id <> other").join(new.select("chunk_id", F.col("text").alias("_a")), "chunk_id").join(store.select(F.col("chunk_id").alias("other"), F.col("text").alias("_b")), "other")
+    The cheap exact test of vectors comes first, the texts of its pairs alone are compared. With model_col a chunk has a
+    row for each model it has a vector of, and vectors are compared within a model."""
+    near = near_vectors(new, store, cosine_above, model_col)
+    a = _texts(new, ["chunk_id", "text"], model_col).toDF("chunk_id", "_a")
+    b = _texts(store, ["chunk_id", "text"], model_col).toDF("other", "_b")
+    texts = near.select(F.col("query_id").alias("chunk_id"), F.col("id").alias("other")).filter("chunk_id <> other").join(a, "chunk_id").join(b, "other")
     return texts.filter(text_ratio("_a", "_b") > ratio_above).select("chunk_id", "other")
 
 
-def repeats_within(new: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO) -> DataFrame:
+def repeats_within(new: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO, model_col: str | None = None) -> DataFrame:
     """(chunk_id) of chunks that repeat an earlier surviving chunk of their document (by chunk_index).
 
     Pairs are found as in similar_to_store; the greedy choice then streams through each document's pairs, sorted by the
     later chunk, and remembers the dropped ones alone."""
-    near = scores(new.select(F.col("chunk_id").alias("query_id"), "embedding"), new.select(F.col("chunk_id").alias("id"), "embedding"), above=cosine_above)
-    own = new.select("chunk_id", "document_id", "chunk_index", "text")
+    near = near_vectors(new, new, cosine_above, model_col)
+    own = _texts(new, ["chunk_id", "document_id", "chunk_index", "text"], model_col)
     a = own.toDF("query_id", "_d", "_i", "_a")
     b = own.toDF("id", "_e", "_j", "_b")
     pairs = near.join(a, "query_id").join(b, "id").filter("_d = _e and _j < _i").filter(text_ratio("_a", "_b") > ratio_above)
@@ -60,7 +79,7 @@ def repeats_within(new: DataFrame, cosine_above: float = COSINE, ratio_above: fl
     return ordered.mapInPandas(greedy, "chunk_id string")
 
 
-def survivors(new: DataFrame, store: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO) -> DataFrame:
+def survivors(new: DataFrame, store: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO, model_col: str | None = None) -> DataFrame:
     """New chunks that repeat neither the store nor an earlier survivor of their own document."""
-    fresh = new.join(similar_to_store(new, store, cosine_above, ratio_above).select("chunk_id").distinct(), "chunk_id", "left_anti")
-    return fresh.join(repeats_within(fresh, cosine_above, ratio_above), "chunk_id", "left_anti")
+    fresh = new.join(similar_to_store(new, store, cosine_above, ratio_above, model_col).select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return fresh.join(repeats_within(fresh, cosine_above, ratio_above, model_col), "chunk_id", "left_anti")

@@ -102,11 +102,13 @@ def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth chunk against all others by vector and text: those that repeat nothing."""
-    v = table(spark, sf_dir, "embedding_records").filter("embedding_model = 'embed-compact-v1' and size(embedding) = 64").filter(~F.exists("embedding", lambda x: F.isnan(x) | x.isNull())).groupBy("chunk_id").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    """Every twentieth chunk against all others by vector and text: those that repeat nothing. Chunks with a usable vector of
+    any model take part; vectors are compared within a model."""
+    v = table(spark, sf_dir, "embedding_records").filter("embedding_model is not null and size(embedding) = 64").filter(~F.exists("embedding", lambda x: F.isnan(x) | x.isNull()))
+    v = v.groupBy("chunk_id", "embedding_model").agg(F.max_by("embedding", "created_at").alias("embedding"))
     held = cut(stored_chunks(spark, sf_dir).filter("text is not null").select("chunk_id", "document_id", "chunk_index", "text").join(v, "chunk_id"), "dedup-chunks")
     mine = F.conv(F.substring("chunk_id", -8, 8), 16, 10).cast("bigint") % 20 == 0
-    return dedup.survivors(held.filter(mine), held.filter(~mine)).select("chunk_id", "document_id", "chunk_index")
+    return dedup.survivors(held.filter(mine), held.filter(~mine), model_col="embedding_model").select("chunk_id", "document_id", "chunk_index").distinct()
 
 
 QUERIES = {

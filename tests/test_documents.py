@@ -131,6 +131,28 @@ def test_dedup_needs_both(spark):
     assert {r.chunk_id for r in dedup.survivors(new, store).collect()} == {"n1", "n4"}
 
 
+def test_dedup_within_each_model(spark):
+    rows = [("n1", "d", 0, "same words here", "v1", [1.0, 0.0]), ("n1", "d", 0, "same words here", "v2", [1.0, 0.0]), ("n2", "e", 0, "same words here", "v2", [0.0, 1.0]), ("n3", "e", 1, "same words here", "v2", [0.0, 1.0]), ("n4", "f", 0, "another text", "v1", [0.0, 1.0])]
+    new = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string, model string, embedding array<float>")
+    store = spark.createDataFrame([("s", "z", 0, "same words here", "v2", [1.0, 0.0]), ("t", "z", 1, "another text", "v2", [0.0, 1.0])], new.schema)
+    assert [tuple(r) for r in dedup.similar_to_store(new, store, model_col="model").collect()] == [("n1", "s")]
+    assert {r.chunk_id for r in dedup.survivors(new, store, model_col="model").collect()} == {"n2", "n4"}
+    assert dedup.survivors(new.limit(0), store, model_col="model").count() == 0
+
+
+def test_dedup_survivors_takes_vectors_of_every_model(spark, tmp_path):
+    from lodeweave.plans.documents import dedup_survivors
+
+    e = [1.0] + [0.0] * 63
+    chunks = [("c00000014", "d", 0, "held by the second model alone"), ("c00000028", "d", 1, "held by the second model alone"), ("c0000003c", "d", 2, "held by the first")]
+    late = F.lit("2024-01-01").cast("timestamp")
+    held = spark.createDataFrame(chunks, "chunk_id string, document_id string, chunk_index int, text string")
+    held.select("*", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("struct<a:int>").alias("legal_metadata"), late.alias("ingested_at")).write.parquet(f"{tmp_path}/chunks.parquet")
+    vectors = [("c00000014", e, "embed-compact-v2"), ("c00000028", e, "embed-compact-v2"), ("c0000003c", e, "embed-compact-v1")]
+    spark.createDataFrame(vectors, "chunk_id string, embedding array<float>, embedding_model string").withColumn("created_at", late).write.parquet(f"{tmp_path}/embedding_records.parquet")
+    assert {r.chunk_id for r in dedup_survivors(spark, str(tmp_path)).collect()} == {"c00000014", "c0000003c"}
+
+
 def test_providers(spark):
     assert embed_text("ab") == [0.0] * 8 and sum(x * x for x in embed_text("abcdef")) == pytest.approx(1)
     df = spark.createDataFrame([("hello",), (None,)], "t string")
