@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udf import lazy_pandas_udf
+from ..session import cut
 from .dense import scores
 
 COSINE, RATIO = 0.95, 0.9
@@ -81,5 +82,5 @@ def repeats_within(new: DataFrame, cosine_above: float = COSINE, ratio_above: fl
 
 def survivors(new: DataFrame, store: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO, model_col: str | None = None) -> DataFrame:
     """New chunks that repeat neither the store nor an earlier survivor of their own document."""
-    fresh = new.join(similar_to_store(new, store, cosine_above, ratio_above, model_col).select("chunk_id").distinct(), "chunk_id", "left_anti")
+    fresh = cut(new.join(similar_to_store(new, store, cosine_above, ratio_above, model_col).select("chunk_id").distinct(), "chunk_id", "left_anti"), "dedup-fresh")  # it is read several times
     return fresh.join(repeats_within(fresh, cosine_above, ratio_above, model_col), "chunk_id", "left_anti")
