@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +34,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set to a local one only where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; set to a local one only where it is unset and the master
+    is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lodeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -46,7 +51,38 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _cuts.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodeweave_cut = path
+    return out
+
+
+_cuts: dict[str, list[str]] = {}  # of each application
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a DataFrame that ``cut`` gave, once nothing that is still to run reads it."""
+    path = df._lodeweave_cut
+    _delete(df.sparkSession, path)
+    _cuts.get(df.sparkSession.sparkContext.applicationId, [path]).remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all folders that ``cut`` wrote within: results must have been written elsewhere by then."""
+    held = _cuts.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    try:
+        yield
+    finally:
+        for path in held[before:]:
+            _delete(spark, path)
+        del held[before:]
 
 
 def ensure_importable(spark: SparkSession) -> None:
