@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut, shared_dir
 from . import codepoints as cp
 from . import likeness as lk
-from .neardup import BUCKET_ROWS, ENTRY, distinct, pairs_within
+from .neardup import BUCKET_ROWS, ENTRY, distinct, pairs_within, unseen
 
 THRESHOLD, TREES, RECALL = 0.70, 40, 0.99
 DEEPER = 3  # values of a label beyond the widest prefix
@@ -93,7 +93,7 @@ class HashForest:
         labels, ids = self.labels, np.array(self.ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(0, np.int64)
+            seen: set[int] = set()
             kept: list[tuple[np.ndarray, np.ndarray]] = []
 
             def flush() -> pa.RecordBatch:
@@ -115,8 +115,7 @@ class HashForest:
                 for x in range(0, b.num_rows, 2000):
                     part = b.slice(x, 2000)
                     s = lk.Sets.of_rows(part.column(0), part.column(1))
-                    s.select(~np.isin(s.keys, seen))
-                    seen = np.concatenate([seen, s.keys])
+                    s.select(unseen(s.keys, seen))
                     if len(s.keys):
                         e = np.zeros(len(s.keys), ENTRY)
                         e["key"], e["size"], e["sketch"] = s.keys, s.sizes, s.sketches()
@@ -178,7 +177,9 @@ class HashForest:
             prefix = s["label"] >> np.uint64(8 * DEEPER)
             edges = np.append(np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)]), len(prefix))
             sizes = np.diff(edges)
-            within = pairs_within(e[s["entry"]], edges[:-1][sizes > 1], sizes[sizes > 1], threshold)
+            order = np.lexsort((e["size"][s["entry"]], prefix))
+            several = sizes > 1
+            within = pairs_within(e[s["entry"][order]], edges[:-1][several], sizes[several], sizes[several], threshold)
             return pa.table({"_a": pa.array(np.concatenate([against[0], within[0]])), "_b": pa.array(np.concatenate([against[1], within[1]])), "_stored": pa.array(np.arange(against.shape[1] + within.shape[1]) < against.shape[1])})
 
         table = self.spark.table(self.name)

@@ -88,34 +88,54 @@ class Entries:
         self.threshold, self.allowed = threshold, most_bits(threshold)
         self.sizes = sizes.astype(np.int64)
         self.words = [np.ascontiguousarray(sketches[:, k]) for k in range(sketches.shape[1])]
-        # the most bits that may differ from any text of a fitting size
+        # the most bits that may differ from any text of a fitting size; at most 128, so that two words' counts fit a byte
         self.most = self.allowed[np.minimum((self.sizes * (1 + 1 / threshold)).astype(np.int64) + 1, len(self.allowed) - 1)].astype(np.uint8)
 
     def close(self, i: np.ndarray, other: Entries, j: np.ndarray) -> np.ndarray:
-        """A mask of the pairs (i of these, j of the others); most are ruled out by the first word of their sketches."""
+        """A mask of the pairs (i of these, j of the others); most are ruled out by the first two words of their sketches."""
         first = np.bitwise_count(self.words[0][i] ^ other.words[0][j])
+        first += np.bitwise_count(self.words[1][i] ^ other.words[1][j])
         near = np.flatnonzero(first <= self.most[i])
         x, y, differ = i[near], j[near], first[near].astype(np.int64)
-        for a, b in zip(self.words[1:], other.words[1:], strict=True):
+        for a, b in zip(self.words[2:], other.words[2:], strict=True):
             differ += np.bitwise_count(a[x] ^ b[y])
         small, large = np.minimum(self.sizes[x], other.sizes[y]), np.maximum(self.sizes[x], other.sizes[y])
         ok = np.zeros(len(i), bool)
         ok[near] = (small >= self.threshold * large - 1e-9) & (differ <= self.allowed[np.minimum(small + large, len(self.allowed) - 1)])
         return ok
 
-    def within(self, order: np.ndarray, tile: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The pairs of a run, given in order of size, that may reach the threshold."""
-        sizes, words = self.sizes[order], [w[order] for w in self.words]
-        end = np.searchsorted(sizes, sizes / self.threshold + 1e-6, "right")
-        for a in range(0, len(order), tile[0]):
-            b = min(a + tile[0], len(order))
-            for c in range(a, int(end[b - 1]), tile[1]):
-                d = min(c + tile[1], int(end[b - 1]))
-                differ = sum(np.bitwise_count(w[a:b, None] ^ w[None, c:d]) for w in words[:3])  # close has the rest
-                i, j = np.nonzero(differ <= self.allowed[min(sizes[b - 1] + sizes[d - 1], len(self.allowed) - 1)])
-                i, j = i[a + i < c + j] + a, j[a + i < c + j] + c
-                ok = self.close(order[i], self, order[j])
-                yield order[i[ok]], order[j[ok]]
+    def within(self, start: int, n: int, small: int, tile: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs that may reach the threshold of a run in order of size: of its first ``small`` with all after them."""
+        for i, j in self.across(self, small, 0, tile, start, start + n):
+            yield i, j
+
+    def across(self, other: Entries, small: int, others: int, tile: tuple[int, int], start: int = 0, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs (i of these, j of the others) that may reach the threshold, both in order of size and each of one of the
+        first ``small`` of these or ``others`` of the others; of one run, if ``other`` is the same, each pair once."""
+        same, end = other is self, len(other.sizes) if end is None else end
+        stop = len(self.sizes) if not same else end
+        top = start + small if same else stop
+        for a in range(start, top, tile[0]):
+            b = min(a + tile[0], top)
+            low = a if same else int(np.searchsorted(other.sizes, self.sizes[a] * self.threshold - 1e-6, "left"))
+            high = start + int(np.searchsorted(other.sizes[start:end], self.sizes[b - 1] / self.threshold + 1e-6, "right"))
+            if not same and a >= small:  # larger ones meet the smaller of the others alone
+                high = min(high, others)
+            for c in range(low, high, tile[1]):
+                d = min(c + tile[1], high)
+                differ = np.bitwise_count(self.words[0][a:b, None] ^ other.words[0][None, c:d])
+                differ += np.bitwise_count(self.words[1][a:b, None] ^ other.words[1][None, c:d])
+                hit = np.flatnonzero(differ <= self.allowed[min(self.sizes[b - 1] + other.sizes[d - 1], len(self.allowed) - 1)])
+                if not len(hit):
+                    continue
+                i, j = hit // (d - c) + a, hit % (d - c) + c
+                if same:
+                    i, j = i[i < j], j[i < j]
+                else:
+                    fit = (i < small) | (j < others)
+                    i, j = i[fit], j[fit]
+                ok = self.close(i, other, j)
+                yield i[ok], j[ok]
 
 
 def text_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
@@ -153,7 +173,7 @@ def feature_rows(rows: DataFrame, bitmap: bytes) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(shared.value, np.uint8), np.zeros(0, np.int64)
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             p = keys % BITMAP
@@ -162,8 +182,8 @@ def feature_rows(rows: DataFrame, bitmap: bytes) -> DataFrame:
             kept = (bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
             first = np.zeros(len(keys), bool)
             first[np.unique(keys, return_index=True)[1]] = True
-            kept &= first & ~np.isin(keys, seen)
-            seen = np.concatenate([seen, keys[kept]])
+            kept &= first
+            kept[kept] = [not (k in seen or seen.add(k)) for k in keys[kept].tolist()]
             yield b.filter(pa.array(kept))
 
     kept = rows.select("_key", "_n", "_features").mapInArrow(run, "_key bigint, _n int, _features binary")
