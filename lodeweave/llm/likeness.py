@@ -88,54 +88,58 @@ class Entries:
         self.threshold, self.allowed = threshold, most_bits(threshold)
         self.sizes = sizes.astype(np.int64)
         self.words = [np.ascontiguousarray(sketches[:, k]) for k in range(sketches.shape[1])]
-        # the most bits that may differ from any text of a fitting size; at most 128, so that two words' counts fit a byte
-        self.most = self.allowed[np.minimum((self.sizes * (1 + 1 / threshold)).astype(np.int64) + 1, len(self.allowed) - 1)].astype(np.uint8)
+
+    def fit(self, small: np.ndarray, large: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """A mask of pairs of sizes, in order, whose sketches differ in so many bits."""
+        return (small >= self.threshold * large - 1e-9) & (differ <= self.allowed[np.minimum(small + large, len(self.allowed) - 1)])
 
     def close(self, i: np.ndarray, other: Entries, j: np.ndarray) -> np.ndarray:
-        """A mask of the pairs (i of these, j of the others); most are ruled out by the first two words of their sketches."""
-        first = np.bitwise_count(self.words[0][i] ^ other.words[0][j])
-        first += np.bitwise_count(self.words[1][i] ^ other.words[1][j])
-        near = np.flatnonzero(first <= self.most[i])
-        x, y, differ = i[near], j[near], first[near].astype(np.int64)
-        for a, b in zip(self.words[2:], other.words[2:], strict=True):
-            differ += np.bitwise_count(a[x] ^ b[y])
-        small, large = np.minimum(self.sizes[x], other.sizes[y]), np.maximum(self.sizes[x], other.sizes[y])
+        """A mask of the pairs (i of these, j of the others)."""
+        differ = np.zeros(len(i), np.uint16)
+        for a, b in zip(self.words, other.words, strict=True):
+            differ += np.bitwise_count(a[i] ^ b[j])
+        near = np.flatnonzero(differ <= self.allowed[-1])
+        x, y = self.sizes[i[near]], other.sizes[j[near]]
         ok = np.zeros(len(i), bool)
-        ok[near] = (small >= self.threshold * large - 1e-9) & (differ <= self.allowed[np.minimum(small + large, len(self.allowed) - 1)])
+        ok[near] = self.fit(np.minimum(x, y), np.maximum(x, y), differ[near])
         return ok
 
     def within(self, start: int, n: int, small: int, tile: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs that may reach the threshold of a run in order of size: of its first ``small`` with all after them."""
-        for i, j in self.across(self, small, 0, tile, start, start + n):
-            yield i, j
-
-    def across(self, other: Entries, small: int, others: int, tile: tuple[int, int], start: int = 0, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The pairs (i of these, j of the others) that may reach the threshold, both in order of size and each of one of the
-        first ``small`` of these or ``others`` of the others; of one run, if ``other`` is the same, each pair once."""
-        same, end = other is self, len(other.sizes) if end is None else end
-        stop = len(self.sizes) if not same else end
-        top = start + small if same else stop
-        for a in range(start, top, tile[0]):
-            b = min(a + tile[0], top)
-            low = a if same else int(np.searchsorted(other.sizes, self.sizes[a] * self.threshold - 1e-6, "left"))
-            high = start + int(np.searchsorted(other.sizes[start:end], self.sizes[b - 1] / self.threshold + 1e-6, "right"))
-            if not same and a >= small:  # larger ones meet the smaller of the others alone
+        end = start + n
+        for a in range(start, start + small, tile[0]):
+            b = min(a + tile[0], start + small)
+            high = start + int(self.sizes[start:end].searchsorted(self.sizes[b - 1] / self.threshold + 1e-6, "right"))
+            for c in range(a, high, tile[1]):
+                i, j = self._tile(a, b, self, c, min(c + tile[1], high))
+                if len(i):
+                    after = i < j
+                    yield i[after], j[after]
+
+    def across(self, other: Entries, small: int, others: int, tile: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs (i of these, j of the others) that may reach the threshold, both in order of size, each of one of the
+        first ``small`` of these or ``others`` of the others."""
+        for a in range(0, len(self.sizes), tile[0]):
+            b = min(a + tile[0], len(self.sizes))
+            low = int(other.sizes.searchsorted(self.sizes[a] * self.threshold - 1e-6, "left"))
+            high = int(other.sizes.searchsorted(self.sizes[b - 1] / self.threshold + 1e-6, "right"))
+            if a >= small:  # larger ones meet the smaller of the others alone
                 high = min(high, others)
             for c in range(low, high, tile[1]):
-                d = min(c + tile[1], high)
-                differ = np.bitwise_count(self.words[0][a:b, None] ^ other.words[0][None, c:d])
-                differ += np.bitwise_count(self.words[1][a:b, None] ^ other.words[1][None, c:d])
-                hit = np.flatnonzero(differ <= self.allowed[min(self.sizes[b - 1] + other.sizes[d - 1], len(self.allowed) - 1)])
-                if not len(hit):
-                    continue
-                i, j = hit // (d - c) + a, hit % (d - c) + c
-                if same:
-                    i, j = i[i < j], j[i < j]
-                else:
-                    fit = (i < small) | (j < others)
-                    i, j = i[fit], j[fit]
-                ok = self.close(i, other, j)
-                yield i[ok], j[ok]
+                i, j = self._tile(a, b, other, c, min(c + tile[1], high))
+                one = (i < small) | (j < others)
+                yield i[one], j[one]
+
+    def _tile(self, a: int, b: int, other: Entries, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        differ = np.zeros((b - a, d - c), np.uint8)  # may pass 255 by one, which only lets a pair through
+        for x, y in zip(self.words, other.words, strict=True):
+            differ += np.bitwise_count(x[a:b, None] ^ y[None, c:d])
+        hit = np.flatnonzero(differ <= self.allowed[min(self.sizes[b - 1] + other.sizes[d - 1], len(self.allowed) - 1)])
+        i, j = np.divmod(hit, d - c)
+        i, j = i + a, j + c
+        x, y = self.sizes[i], other.sizes[j]
+        ok = self.fit(np.minimum(x, y), np.maximum(x, y), differ.ravel()[hit])
+        return i[ok], j[ok]
 
 
 def text_rows(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:

@@ -35,7 +35,7 @@ THRESHOLD = 0.70
 PAIR, SPARSE = 2, 0.16  # features of a signature; parts of a band by the sizes of its texts
 COUNTS = 1 << 19  # places of the table of feature counts: 4 MB whatever the data
 RUN, HOT = 50_000, 1_000_000
-LONG, TILE = 48, (64, 2048)  # runs from this length are paired in tiles
+LONG, TILE = 64, (128, 256)  # runs from this length are paired in tiles
 BUCKET_ROWS = 25_000  # texts whose signatures one partition pairs, on average, at most
 COPIES = 5_000  # texts of equal words that one task pairs with each other, about
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (lk.SKETCH_BITS // 64,))])
@@ -189,13 +189,16 @@ def gathered(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
 def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, small: np.ndarray, threshold: float) -> np.ndarray:
     """Distinct close pairs of keys (smaller first) within runs of entries in order of size: of each of the first ``small``
     of a run with all that come after it."""
-    found, entries, key = [], lk.Entries(e["size"], e["sketch"], threshold), np.ascontiguousarray(e["key"])
+    found, entries, key, held = [], lk.Entries(e["size"], e["sketch"], threshold), np.ascontiguousarray(e["key"]), [0, 1 << 20]
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        x, y = key[i], key[j]
-        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y])
-        if len(found) > 1 and sum(f.shape[1] for f in found[1:]) > max(1 << 20, found[0].shape[1]):
-            found[:] = [distinct(found)]
+        if len(i):
+            x, y = key[i], key[j]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y])
+            held[0] += len(i)
+            if held[0] > held[1]:
+                found[:] = [distinct(found)]
+                held[:] = [found[0].shape[1], max(1 << 20, 2 * found[0].shape[1])]
 
     for a, n, m in zip(*(x[sizes >= LONG].tolist() for x in (starts, sizes, small)), strict=True):
         for i, j in entries.within(a, n, m, TILE):
@@ -207,8 +210,8 @@ def pairs_within(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, small: np
     for back in range(1, LONG):
         alive = at + back < end
         at, end = at[alive], end[alive]
-        for a in range(0, len(at), 1 << 16):
-            i = at[a : a + (1 << 16)]
+        for a in range(0, len(at), 1 << 15):
+            i = at[a : a + (1 << 15)]
             i = i[entries.close(i, entries, i + back)]
             keep(i, i + back)
         if not len(at):
