@@ -30,12 +30,19 @@ def recall(got, x, k=5):
 
 def test_recall_against_brute_force(spark):
     x = clustered(1500)
-    with mock.patch.object(vectors, "CELL", 100), mock.patch.object(vectors, "BLOCK", 64):
+    with mock.patch.object(vectors, "CELL", 100), mock.patch.object(vectors, "BLOCK", 64), mock.patch.object(vectors, "ASKED", 200):
         got = vectors.nearest(table(spark, x)).collect()
     assert recall(got, x) >= 0.9 and len(got) == 1500 * 5
     assert all(r.chunk_id != r.neighbour for r in got)
 
 
+def test_recall_with_coarse_cells_and_far_more_cells_than_probes(spark):
+    x = clustered(2000, 4)
+    with mock.patch.object(vectors, "CELL", 50), mock.patch.object(vectors, "FIRST", 9):
+        got = vectors.nearest(table(spark, x), flat=10, sample=600).collect()
+    assert recall(got, x) >= 0.9 and len(got) == 2000 * 5
+
+
 def test_lengths_do_not_matter_and_small_models(spark):
     x = clustered(4)
     got = vectors.nearest(table(spark, x * np.array([[1e-30], [1e20], [3.0], [0.1]]))).collect()
@@ -71,8 +78,9 @@ def test_bounds_hold():
     turn, centre = vectors.rotation(64), x.mean(0)
     m = vectors.encode(np.arange(400), x, np.broadcast_to(centre, x.shape), turn)
     q = np.zeros(400, vectors.query_type(64))
-    q["id"], q["vector"] = np.arange(400) + 1000, x
-    i, j, c = vectors.search(m, q, centre, turn, 5)
+    q["id"], q["least"], q["vector"] = np.arange(400) + 1000, -np.inf, x
+    i, j, c, reranked = vectors.search(m, q, centre, turn, 5)
+    assert reranked < 0.25 * 400 * 400
     s = x @ x.T
     best = np.sort(s, axis=1)[:, -5:]
     assert np.isclose(np.sort(c.reshape(400, 5), axis=1), best, atol=1e-5).mean() > 0.97
