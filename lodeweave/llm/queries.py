@@ -11,7 +11,7 @@ from .languages import label_languages
 from .neardup import near_duplicate_groups, near_duplicates
 from .packing import pack
 from .splitting import split_oversized
-from .tokens import encode_corpus, token_count
+from .tokens import decoded, encode_corpus, token_count
 from .vectors import nearest, similar_pairs
 
 
@@ -69,6 +69,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def p6_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as its ids give it back."""
+    return p6_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_ids"), decoded("ids").alias("text")).select("doc_id", (F.col("n_ids") > 0).alias("has_ids"), "text")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its container."""
     return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_count("text").alias("n_tokens")))
@@ -109,13 +114,14 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
-    "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    "p6_ids": p6_ids, "p6_round": p6_round, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {
     "p1_found": """
         SELECT DISTINCT 'document' AS item_kind, document_id AS item_id FROM source_documents WHERE length(content) > 6000
         UNION ALL
         SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE length(text) > 6000
     """,
+    "p6_round": "SELECT doc_id, coalesce(text, '') <> '' AS has_ids, coalesce(text, '') AS text FROM documents",
     "p2_found": """
         WITH texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
         used AS (SELECT row_number() OVER () AS t, chunk_id, ws, len(ws) AS n FROM texts WHERE len(ws) BETWEEN 20 AND 400),

@@ -1,4 +1,6 @@
 import base64
+import random
+from unittest import mock
 
 import public_tokenizers as P
 import pytest
@@ -63,3 +65,46 @@ def test_encode_corpus(spark, reference):
 def test_counts_are_lengths(spark):
     df = spark.createDataFrame([("a b c",), (None,), ("",)], "text string")
     assert [tuple(r) for r in df.select(tokens.token_count("text"), "text").collect()] == [(3, "a b c"), (0, None), (0, "")]
+
+
+def test_rows_made_by_replay_are_those_of_single_steps():
+    auto = tokens.Automaton(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    rng = random.Random(1)
+    arcs = sorted(auto.ids.values())
+    for state in [*rng.sample(arcs, 25), auto.ids[b"a"], auto.ids[b" "]]:
+        row = auto.row(state)
+        assert all(bool(row[a]) == auto._step(state, a, tokens.LAST) for a in [*rng.sample(arcs, 4000), state])
+
+
+def test_dense_rows_change_nothing(reference):
+    auto = tokens.Automaton(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgherstn") for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    for often in (10**9, 1):
+        with mock.patch.object(tokens, "OFTEN", often), mock.patch.object(tokens, "DENSE", 300):
+            for w in words[: 3000 if often > 1 else 600]:
+                ids = auto.encode(w.encode())
+                assert ids == reference.encode_ordinary(w) and auto.decode(ids) == w.encode()
+    assert 0 < len(auto.rows) <= 300
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.lists(piece, max_size=12).map("".join), st.text(max_size=60)))
+def test_labels_on_the_path_give_the_text_back(encoder, text):
+    flat, _ = encoder.encode([text])
+    assert encoder.automaton.decode(flat.tolist()).decode() == text
+
+
+def test_words_of_one_hash_are_told_apart(reference):
+    enc = tokens.Encoder(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    with mock.patch.object(tokens.cp, "run_hashes", lambda points, starts, ends: (ends - starts).astype("uint64") % 3):
+        for texts in (["the cat sat", "tin can"], ["a dog ran", "the tin"]):
+            assert ids_of(enc, texts) == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_decoded(spark):
+    df = spark.createDataFrame([(1, "Grüße 🙂 <|endoftext|>"), (2, None), (3, "")], "doc_id bigint, text string")
+    got = tokens.encode_corpus(df).select("doc_id", tokens.decoded("ids").alias("t"))
+    assert {r.doc_id: r.t for r in got.collect()} == {1: "Grüße 🙂 <|endoftext|>", 2: "", 3: ""}
+    odd = spark.createDataFrame([([0, 10**6, None, -5],), (None,)], "ids array<int>").select(tokens.decoded("ids").alias("t"))
+    assert [r.t for r in odd.collect()] == ["!", ""]
