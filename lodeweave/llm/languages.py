@@ -1,6 +1,6 @@
 """Problem 8: the language of documents and of their segments by language-bitmask n-gram filters.
 
-The filter is a bit-sliced Bloom filter: one table of bit masks, a bit for each language. An n-gram of checked samples
+The filter is a bit-sliced Bloom filter: a table of bit masks, a bit for each language (beyond 64 languages several). An n-gram of checked samples
 sets its language's bit in HASHES places; looking an n-gram up is an AND of HASHES masks and gives all languages that
 may contain it. A sentence counts these masks, per-language hits are corrected by the share of false positives that the
 fill of the language's slice implies, and n-grams of few languages weigh more. Sentences of a text are then decided
@@ -21,8 +21,9 @@ from . import codepoints as cp
 
 SIZES = (3, 4, 5)  # letters of an n-gram; word ends count as one
 HASHES = 2
-BITS = 19  # the table has 2**BITS masks: 1 MB, whatever the data
-MAX_SAMPLES = 2000  # checked rows the filter is made from, at most
+BITS = 19  # a table has 2**BITS masks: 1 MB for up to 16 languages, whatever the data
+PATTERNS = 12  # languages up to which hits are counted by mask
+MAX_SAMPLES = 2000  # checked rows the filter is made from, at most, the same share of each language
 MAX_LABELLED = 2500  # rows of the data with a usable label, of up to LABELLED_CHARS, that widen it, at most
 LABELLED_CHARS = 3000
 SEEN = 3  # texts of a language an n-gram must be in to widen its slice,
@@ -30,7 +31,7 @@ RATE = 0.2  # and the least share of its rate in the language where it is most c
 SWITCH = 6.0
 SLICE = 1 << 18  # characters decided at once, so that counts stay in the processor's cache
 MIN_WORDS = 3  # words of letters that make a sentence
-#: Other spellings of the language codes.
+#: Other spellings of language codes. Every language of the samples is known by its own code besides.
 SPELLINGS = {
     "en": ["eng", "english"],
     "de": ["deu", "ger", "german"],
@@ -94,17 +95,18 @@ def ngrams(f: np.ndarray, owner: np.ndarray):
 
 
 class Filter:
-    """The bit-sliced filter of some languages (up to 16)."""
+    """The bit-sliced filter of some languages."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in samples})
-        self.table = np.zeros(1 << BITS, np.uint16)
+        many = len(self.langs)
+        kind = np.uint16 if many <= 16 else np.uint32 if many <= 32 else np.uint64
+        self.tables = [np.zeros(1 << BITS, kind) for _ in range(max(1, -(-many // 64)))]
         for k, lang in enumerate(self.langs):
             points, at = cp.buffer([t for x, t in samples if x == lang])
             owner = np.searchsorted(at, np.arange(len(points)), "right") - 1
             for h, _ in ngrams(*folded(points, owner)):
-                for place in self._places(h):
-                    self.table[place] |= np.uint16(1 << k)
+                self._mark(k, h)
         self._settle()
 
     def widen(self, labelled: list[tuple[str, str]]) -> None:
@@ -132,17 +134,25 @@ class Filter:
         most = np.zeros(len(distinct))
         np.maximum.at(most, where, rate)
         for k in range(len(self.langs)):
-            for place in self._places(gram[(lang == k) & (rate >= RATE * most[where])]):
-                self.table[place] |= np.uint16(1 << k)
+            self._mark(k, gram[(lang == k) & (rate >= RATE * most[where])])
         self._settle()
 
+    def _mark(self, k: int, grams: np.ndarray) -> None:
+        table = self.tables[k // 64]
+        for place in self._places(grams):
+            table[place] |= table.dtype.type(1 << k % 64)
+
+    def _has(self, k: int, masks: list[np.ndarray]) -> np.ndarray:
+        m = masks[k // 64]
+        return m & m.dtype.type(1 << k % 64) != 0
+
     def _settle(self) -> None:
-        bits = (self.table[:, None] >> np.arange(len(self.langs), dtype=np.uint16)) & 1
-        self.false = bits.mean(0) ** HASHES
-        masks = np.arange(1 << len(self.langs))
-        self.bits = ((masks[:, None] >> np.arange(len(self.langs))) & 1).astype(float)
-        held = np.maximum(self.bits.sum(1), 1)
-        self.weight = 1 - np.log(held) / np.log(max(len(self.langs), 2))
+        many = len(self.langs)
+        self.false = np.array([self._has(k, self.tables).mean() for k in range(many)]) ** HASHES
+        #: What an n-gram weighs by the number of languages that have it.
+        self.weight = 1 - np.log(np.maximum(np.arange(many + 1), 1)) / np.log(max(many, 2))
+        if many <= PATTERNS:
+            self.bits = ((np.arange(1 << many)[:, None] >> np.arange(many)) & 1).astype(float)
 
     @staticmethod
     def _places(key: np.ndarray) -> list[np.ndarray]:
@@ -150,17 +160,24 @@ class Filter:
 
     def scores(self, points: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
         """Weighted hits of each owner in each language, corrected for false positives."""
-        held, seen = [np.zeros(0, np.int64)], np.zeros(owners, np.int64)
+        many, seen, hits = len(self.langs), np.zeros(owners, np.int64), [(np.zeros(0, np.int64), [t[:0] for t in self.tables])]
         for h, who in ngrams(*folded(points, owner)):
-            first, *more = self._places(h)
-            mask = self.table.take(first)
-            for place in more:
-                mask &= self.table.take(place)
-            known = np.flatnonzero(mask)
+            places = self._places(h)
+            masks = [t.take(places[0]) for t in self.tables]
+            for place in places[1:]:
+                for m, t in zip(masks, self.tables, strict=True):
+                    m &= t.take(place)
+            known = np.flatnonzero(masks[0]) if len(masks) == 1 else np.flatnonzero(np.any([m != 0 for m in masks], axis=0))
             seen += np.bincount(who, minlength=owners)
-            held.append(who[known] * len(self.bits) + mask[known])
-        counts = np.bincount(np.concatenate(held), minlength=owners * len(self.bits)).reshape(owners, len(self.bits))
-        return np.maximum(counts.astype(np.float64) @ (self.bits * self.weight[:, None]) - seen[:, None] * self.false, 0) / (1 - self.false)
+            hits.append((who[known], [m[known] for m in masks]))
+        who, masks = np.concatenate([w for w, _ in hits]), [np.concatenate(m) for m in zip(*(m for _, m in hits), strict=True)]
+        if many <= PATTERNS:
+            counts = np.bincount(who * len(self.bits) + masks[0], minlength=owners * len(self.bits)).reshape(owners, len(self.bits))
+            total = counts.astype(np.float64) @ (self.bits * self.weight[self.bits.sum(1).astype(int)][:, None])
+        else:
+            weight = self.weight[np.sum([np.bitwise_count(m) for m in masks], axis=0, dtype=np.int64)]
+            total = np.stack([np.bincount(who[at], weight[at], owners) for at in (np.flatnonzero(self._has(k, masks)) for k in range(many))], axis=1)
+        return np.maximum(total - seen[:, None] * self.false, 0) / (1 - self.false)
 
 
 def plain_words(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,10 +270,20 @@ def segments(flt: Filter, texts: list[str]) -> list[list[tuple[str, float, int,
 
 
 def train(samples: DataFrame, labelled: DataFrame | None = None, lang_col: str = "lang", text_col: str = "text", max_samples: int = MAX_SAMPLES, max_labelled: int = MAX_LABELLED) -> Filter:
-    """The filter made from at most ``max_samples`` checked rows (rows without text or language are passed over), widened
-    by at most ``max_labelled`` rows (id, label, text) of the data itself, chosen by a hash of their id."""
-    rows = samples.select(lang_col, text_col).dropna().limit(max_samples).collect()
-    flt = Filter([(r[0], r[1]) for r in rows])
+    """The filter made from at most ``max_samples`` checked rows, of each language as many as of the others, chosen by a
+    hash of their text (rows without text or language are passed over), widened by at most ``max_labelled`` rows (id,
+    label, text) of the data itself, chosen by a hash of their id."""
+    rows = samples.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    each = max(1, max_samples // max(1, len(counts)))
+    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    if any(n > each for n in counts.values()):  # about twice as many reach the driver, at least
+        shares = samples.sparkSession.createDataFrame([(k, min(1 << 30, int((2 * each + 20) / n * (1 << 30)))) for k, n in counts.items()], "lang string, share long")
+        rows = rows.join(F.broadcast(shares), "lang").filter(order <= F.col("share"))
+    chosen: dict[str, list[tuple[int, str]]] = {}
+    for r in rows.select("lang", "text", order.alias("o")).collect():
+        chosen.setdefault(r["lang"], []).append((r["o"], r["text"]))
+    flt = Filter([(lang, t) for lang in sorted(chosen) for _, t in sorted(chosen[lang])[:each]])
     if labelled is not None and max_labelled:
         usable = labelled.toDF("id", "label", "text").filter(F.col("label").isNotNull())
         share = min(1.0, 4 * max_labelled / max(1, usable.select("label").count()))  # so that few rows besides the sample reach the driver
@@ -279,22 +306,29 @@ def detect(text: Column | str, flt: Filter) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-def normal_label(label: Column) -> Column:
-    """Two-letter code of a label in any spelling (case, spaces, region, three letters, English name); null if it names none of the languages."""
-    pairs = [F.lit(x) for code, names in SPELLINGS.items() for name in [code, *names] for x in (name, code)]
-    key = F.regexp_extract(F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", "")), r"^([a-z]+)(?:[-_].*)?$", 1)
-    return F.try_element_at(F.create_map(*pairs), key)
+def normal_label(label: Column, langs: list[str], spellings: dict[str, list[str]] | None = None) -> Column:
+    """The code among ``langs`` of a label in any spelling (case, spaces, region, three letters, English name); null if it
+    names none of them. Spellings: other names of a code (default: those of nine languages)."""
+    known = SPELLINGS if spellings is None else spellings
+    names = {name.lower(): code for code in langs for name in [code, *known.get(code, [])]}
+    if not names:
+        return F.lit(None).cast("string")
+    whole = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
+    code = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(code, whole), F.try_element_at(code, F.regexp_extract(whole, r"^(\p{L}+)(?:[-_].*)?$", 1)))
 
 
-def label_languages(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def label_languages(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", spellings: dict[str, list[str]] | None = None) -> DataFrame:
     """(id_col, seg_no, lang, confidence, start, end, label, label_state), one row per segment; label_state is ok, missing or wrong.
 
     Rows whose text is null, blank or without any sentence have no segment and do not come out. A label is wrong if it is
     not the language of the largest segment. Repeated rows come out repeatedly, an empty table gives an empty one, other
     columns are left out.
     """
-    flt = train(samples, df.select(F.col(id_col), normal_label(F.col(label_col)), F.col(text_col)))
-    found = df.select(F.col(id_col), normal_label(F.col(label_col)).alias("label"), detect(text_col, flt).alias("_segs")).filter("_segs is not null")
+    langs = sorted(r[0] for r in samples.select("lang").dropna().distinct().collect())  # a row per language
+    label = normal_label(F.col(label_col), langs, spellings)
+    flt = train(samples, df.select(F.col(id_col), label, F.col(text_col)))
+    found = df.select(F.col(id_col), label.alias("label"), detect(text_col, flt).alias("_segs")).filter("_segs is not null")
     main = F.expr("array_max(transform(_segs, s -> struct(s.end - s.start as size, s.lang as lang))).lang")
     state = F.when(F.col("label").isNull(), "missing").when(F.col("label") != main, "wrong").otherwise("ok")
     return found.withColumn("label_state", state).select(id_col, "label", "label_state", F.size("_segs").alias("n_segments"), F.posexplode("_segs").alias("_pos", "_seg")).select(

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -56,7 +58,7 @@ def test_filter_never_misses_what_it_holds(samples):
     for k, lang in enumerate(flt.langs):
         points, at = cp.buffer([t for x, t in samples if x == lang])
         for h, _ in lg.ngrams(*lg.folded(points, np.searchsorted(at, np.arange(len(points)), "right") - 1)):
-            mask = np.bitwise_and.reduce([flt.table[p] for p in flt._places(h)])
+            mask = np.bitwise_and.reduce([flt.tables[0][p] for p in flt._places(h)])
             assert ((mask >> k) & 1).all()
 
 
@@ -71,3 +73,42 @@ def test_operator(spark, samples):
     got = sorted(((r.doc_id or 0), r.seg_no, r.lang, r.label_state, r.n_segments) for r in lg.label_languages(df, sm).collect())
     assert got == [(0, 1, "it", "missing", 1), (1, 1, "en", "ok", 1), (2, 1, "de", "wrong", 1), (3, 1, "fr", "missing", 1), (7, 1, "el", "ok", 1), (8, 1, "pt", "ok", 2), (8, 2, "pl", "ok", 2), (9, 1, "es", "ok", 1), (9, 1, "es", "ok", 1), (10, 1, "nl", "ok", 1), (11, 1, "en", "missing", 1)]
     assert lg.label_languages(df.limit(0), sm).count() == 0
+
+
+def made_up(n, seed=5):
+    """Texts of n languages that have words of their own."""
+    rng = random.Random(seed)
+    out = {}
+    for k in range(n):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(150)]
+        out[f"q{chr(97 + k // 26)}{chr(97 + k % 26)}"] = lambda rng, words=words: " ".join(rng.choice(words) for _ in range(12)) + "."
+    return out
+
+
+@pytest.mark.parametrize("n", [17, 40, 90])
+def test_many_languages(spark, n):
+    langs, rng = made_up(n), random.Random(6)
+    sm = spark.createDataFrame([(k, make(rng)) for k, make in langs.items() for _ in range(30)], "lang string, text string")
+    names = list(langs)
+    rows = [(i, make(rng) + " " + make(rng), k.upper() + "-XX") for i, (k, make) in enumerate(langs.items())] + [(n, langs[names[0]](rng) * 3 + "\n" + langs[names[-1]](rng) * 3, None)]
+    got = sorted((r.doc_id, r.seg_no, r.lang, r.label_state) for r in lg.label_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sm).collect())
+    assert got == [(i, 1, k, "ok") for i, k in enumerate(langs)] + [(n, 1, names[0], "missing"), (n, 2, names[-1], "missing")]
+
+
+def test_sorted_samples_beyond_the_bound_keep_every_language(spark):
+    langs, rng = made_up(9), random.Random(7)
+    sizes = [2000, 1500, 900, 300, 200, 50, 30, 15, 5]
+    rows = [(k, make(rng)) for (k, make), n in zip(langs.items(), sizes) for _ in range(n)]
+    sm = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    flt = lg.train(sm, max_samples=450)
+    assert flt.langs == list(langs)
+    found = [lg.segments(flt, [make(rng)])[0] for make in langs.values() for _ in range(20)]
+    right = sum(f is not None and f[0][0] == k for f, k in zip(found, [k for k in langs for _ in range(20)]))
+    assert right >= 0.97 * len(found)
+
+
+def test_own_code_and_given_spellings(spark):
+    df = spark.createDataFrame([("Cy",), ("CYM",), ("welsh",), ("zh-Hans",), ("zh",), ("",), (None,)], "l string")
+    got = [r[0] for r in df.select(lg.normal_label(df.l, ["cy", "zh-hans"], {"cy": ["cym", "welsh"]})).collect()]
+    assert got == ["cy", "cy", "cy", "zh-hans", None, None, None]
