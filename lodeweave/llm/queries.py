@@ -45,8 +45,8 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals that repeat something stored or accepted before."""
-    return repeated_arrivals(spread(table(spark, sf_dir, "chunks").select("text")), spread(table(spark, sf_dir, "incoming_chunks").select("arrival_no", "text")))
+    """Arrivals that repeat something stored or accepted before, batch after batch."""
+    return repeated_arrivals(spread(table(spark, sf_dir, "chunks").select("text")), spread(table(spark, sf_dir, "incoming_chunks").select("arrival_no", "batch_no", "text")), batch_col="batch_no")
 
 
 def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,21 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_segments": p8_segments,
     "p6_ids": p6_ids, "p6_round": p6_round, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+#: Arrivals in their order; the list of accepted ones goes from one to the next.
+_ACCEPTED = """
+    WITH RECURSIVE texts AS (SELECT DISTINCT no, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM (SELECT -1 AS no, text FROM chunks UNION ALL SELECT arrival_no, text FROM incoming_chunks) WHERE text IS NOT NULL AND no IS NOT NULL),
+    used AS MATERIALIZED (SELECT row_number() OVER () AS t, no, ws, len(ws) AS n FROM texts WHERE len(ws) BETWEEN 20 AND 400),
+    counted AS (SELECT t, no, w, count(*) AS c FROM (SELECT t, no, unnest(ws) AS w FROM used) GROUP BY ALL),
+    both_ AS (SELECT a.t AS x, b.t AS y, sum(least(a.c, b.c)) AS s FROM counted a JOIN counted b ON a.w = b.w AND a.no >= 0 AND b.no < a.no GROUP BY ALL),
+    alike AS (SELECT a.no AS no, b.no AS other FROM both_ JOIN used a ON a.t = x JOIN used b ON b.t = y WHERE s >= 0.7 * (a.n + b.n - s)),
+    links AS (SELECT u.no, coalesce(list(DISTINCT l.other) FILTER (l.other IS NOT NULL), []) AS earlier, row_number() OVER (ORDER BY u.no) AS k FROM used u LEFT JOIN alike l ON l.no = u.no WHERE u.no >= 0 GROUP BY u.no),
+    steps AS (SELECT 0::BIGINT AS k, [-1]::BIGINT[] AS accepted
+        UNION ALL SELECT s.k + 1, CASE WHEN list_has_any(l.earlier, s.accepted) THEN s.accepted ELSE list_append(s.accepted, l.no) END FROM steps s JOIN links l ON l.k = s.k + 1),
+    last AS (SELECT accepted FROM steps ORDER BY k DESC LIMIT 1),
+    found AS (SELECT no FROM links, last WHERE NOT list_contains(accepted, no))"""
 SQL: dict[str, str] = {
+    "p4_found": _ACCEPTED + " SELECT no AS arrival_no FROM found",
+    "p4_accepted": _ACCEPTED + " SELECT DISTINCT ON (arrival_no) arrival_no, batch_no, chunk_id FROM incoming_chunks WHERE arrival_no NOT IN (SELECT no FROM found)",
     "p1_found": """
         SELECT DISTINCT 'document' AS item_kind, document_id AS item_id FROM source_documents WHERE length(content) > 6000
         UNION ALL
