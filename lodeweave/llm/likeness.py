@@ -201,7 +201,7 @@ def shared_features(a: Column, b: Column) -> Column:
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         parts = []
         for v in (x, y):
-            sizes = np.fromiter((len(z) for z in v), np.int64, len(v)) if len(v) < 2 else np.diff(np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64))
+            sizes = np.fromiter(map(len, v.to_pylist()), np.int64, len(v)) if len(v) < 2 else np.diff(np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64))
             flat = np.frombuffer(b"".join(v.to_pylist()), "<u4").astype(np.uint64)
             parts.append((np.repeat(np.arange(len(v), dtype=np.uint64), sizes // 4) << np.uint64(32)) | flat)
         both = np.sort(np.concatenate(parts), kind="stable")

@@ -185,3 +185,9 @@ def test_sets():
     s = lk.Sets(["a " * 20, "b", None, " ".join("ab" for _ in range(19)) + " c", "a " * 20 + "."])
     assert s.rows.tolist() == [0, 3, 4] and s.keys[0] == s.keys[2] != s.keys[1]
     assert s.sketches().shape == (3, lk.SKETCH_BITS // 64) and len(s.blobs()) == 3
+
+
+def test_features_shared_by_a_single_pair(spark):
+    rows = lk.text_rows(spark.createDataFrame([(t,) for t in ("a b c d " * 8, "a b c e " * 8)], "text string"), [], "text").orderBy("_key").collect()
+    one = spark.createDataFrame([(bytes(rows[0]._features), bytes(rows[1]._features))], "x binary, y binary")
+    assert one.select(lk.shared_features(one.x, one.y)).first()[0] == 24
