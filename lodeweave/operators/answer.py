@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import collapse, has_citation_mark, inline_citations, sigmoid, strip
+from ..functions import collapse, find, has_citation_mark, inline_citations, sigmoid, strip
 from ..functions.udf import lazy_pandas_udf
 
 TOKEN_BUDGET, CHARS_PER_TOKEN = 2000, 4
@@ -42,7 +42,7 @@ def context_text(context: DataFrame, grouped: bool = False) -> DataFrame:
     if not grouped:
         return context.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("context"))
     part = context.groupBy("query_id", "primary_subquery", "sub_text").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("_p"))
-    head = F.concat(F.lit("Evidence for subquery "), F.col("primary_subquery") + 1, F.lit('\n\nThis evidence was retrieved to answer:\n\n"'), F.col("sub_text"), F.lit('"\n\n'), F.col("_p"))
+    head = F.concat(F.lit("Passages for part "), F.col("primary_subquery") + 1, F.lit(" ("), F.col("sub_text"), F.lit("):\n\n"), F.col("_p"))
     return part.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("primary_subquery", head.alias("line")))), lambda s: s["line"]), "\n\n").alias("context"))
 
 
@@ -63,45 +63,20 @@ def prompt(question: Column, context: Column, version: str = "v2") -> Column:
 DRAFT = "answer string, claims array<struct<text:string,citation_ids:array<string>,supporting_quote:string>>, error string"
 
 
-def escape_stray_quotes(raw: str) -> str:
-    """JSON in which quotation marks inside strings are escaped: a mark ends a string only before what may follow it there
-    (a colon after a key; a comma, brace or bracket after a value)."""
-    out: list[str] = []
-    stack: list[str] = []
-    mode: str | None = None  # inside a "key" or a "value"
-    last = ""  # last visible character outside strings
-    skip = False
-    for i, ch in enumerate(raw):
-        if skip:
-            skip = False
-            out.append(ch)
-            continue
-        if ch == "\\" and i + 1 < len(raw):
-            skip = True
-            out.append(ch)
-            continue
-        if ch != '"':
-            if mode is None:
-                if ch in "{[":
-                    stack.append(ch)
-                elif ch in "}]" and stack:
-                    stack.pop()
-            out.append(ch)
-        elif mode is None:
-            within = stack[-1] if stack else ""
-            if last == "{" or (last == "," and within == "{"):
-                mode = "key"
-            elif last in ("", ":", "[") or (last == "," and within == "["):
-                mode = "value"
-            out.append(ch if mode else '\\"')
-        else:
-            after = raw[i + 1 :].lstrip()[:1]
-            ends = not after or after in (":" if mode == "key" else ",}]")
-            out.append(ch if ends else '\\"')
-            mode = None if ends else mode
-        if not ch.isspace():
-            last = ch
-    return "".join(out)
+def repaired(raw: str) -> str:
+    """JSON whose strings may hold quotation marks that nobody escaped. A reader that fails does so right after a mark that
+    it took for a string's end: that mark is escaped, and reading starts again, until it ends or fails for another reason."""
+    text = raw
+    for _ in range(raw.count('"')):
+        try:
+            json.loads(text)
+            return text
+        except json.JSONDecodeError as e:
+            mark = text.rfind('"', 0, e.pos)
+            if mark <= 0 or text[mark - 1] == "\\" or not e.msg.startswith(("Expecting ',' delimiter", "Expecting ':' delimiter", "Expecting property name")):
+                return text
+            text = f"{text[:mark]}\\{text[mark:]}"
+    return text
 
 
 def parse_draft(raw: str | None) -> tuple[str | None, list[dict], str | None]:
@@ -110,7 +85,7 @@ def parse_draft(raw: str | None) -> tuple[str | None, list[dict], str | None]:
     if raw is None:
         return None, [], "no output"
     value, problem = None, None
-    for attempt in (json.loads, lambda r: json.loads(escape_stray_quotes(r)), lambda r: json.JSONDecoder().raw_decode(r.strip())[0]):
+    for attempt in (json.loads, lambda r: json.loads(repaired(r)), lambda r: json.JSONDecoder().raw_decode(r.strip())[0]):
         try:
             value = attempt(raw)
             problem = None
@@ -154,20 +129,29 @@ def parsed_subqueries(raw: pd.Series, question: pd.Series) -> pd.Series:
 # ---- quotes and verdicts
 
 
-def containment(quote: str | None, text: str | None) -> float:
-    """Length of the longest common run of quote and text (white space collapsed) by the quote's length; 0 for an empty quote."""
-    q, t = " ".join((quote or "").split()), " ".join((text or "").split())
-    if not q:
-        return 0.0
-    if q in t:
-        return 1.0
-    m = SequenceMatcher(None, q, t)
-    return m.find_longest_match(0, len(q), 0, len(t)).size / len(q)
+def longest_run(a: Column, b: Column) -> Column:
+    """Length of the longest run of characters that two texts share, as an expression: whether a run of some length is
+    shared can be told for every length, and the longest is found by halving."""
+    n = F.length(a)
+
+    def shared(size: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), n - size + 1), lambda i: F.contains(b, F.substring(a, i, size)))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        hit = (s["lo"] < s["hi"]) & shared(middle)
+        return F.struct(F.when(hit, middle).otherwise(s["lo"]).alias("lo"), F.when(hit | (s["lo"] >= s["hi"]), s["hi"]).otherwise(middle - 1).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2((n + 1).cast("double"))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.least(n, F.length(b)).alias("hi")), halve, lambda s: s["lo"])
 
 
-@lazy_pandas_udf("double")
-def containment_score(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([containment(q, t) for q, t in zip(quote, text, strict=True)])
+def containment_score(quote: Column, text: Column) -> Column:
+    """Length of the longest common run of quote and text (white space collapsed) by the quote's length; 0 for an empty quote."""
+    both = F.struct(collapse(F.coalesce(quote, F.lit(""))).alias("q"), collapse(F.coalesce(text, F.lit(""))).alias("t"))
+    # as a lambda's variable the collapsed texts are computed once, not for each comparison
+    share = lambda s: F.when(s["q"] == "", 0.0).when(F.contains(s["t"], s["q"]), 1.0).otherwise(longest_run(s["q"], s["t"]) / F.length(s["q"]))
+    return F.element_at(F.transform(F.array(both), share), 1)
 
 
 def contained(quote: Column, text: Column) -> Column:
@@ -235,6 +219,24 @@ def verify_claims(claims: DataFrame, context: DataFrame, score=containment_score
     return joined.select("query_id", "claim_no", "doc_ids_valid", own.alias("quote_match_score"), passed.alias("passed"), reason.alias("failure_reason"))
 
 
+def claim_diagnostics(claims: DataFrame, results: DataFrame, context: DataFrame) -> DataFrame:
+    """(query_id, claim_no, citation_id, chunk_id, quote_length, quote_found, quote_start, quote_end, crossed_boundary,
+    failure_reason) of every claim: where its quote stands in the text of its first label, -1 if it doesn't."""
+    known = context.select("query_id", F.col("label").alias("citation_id"), "chunk_id", F.col("text").alias("_t"))
+    c = claims.select("query_id", "claim_no", F.expr("try_element_at(citation_ids, 1)").alias("citation_id"), F.coalesce("supporting_quote", F.lit("")).alias("_q"))
+    joined = c.join(known, ["query_id", "citation_id"], "left").join(results.select("query_id", "claim_no", "failure_reason"), ["query_id", "claim_no"], "left")
+    start = F.when(F.col("_q") == "", -1).otherwise(F.coalesce(find(F.col("_t"), F.col("_q")), F.lit(-1)))
+    out = joined.withColumn("_at", start).withColumn("_n", F.length("_q"))
+    crossed = F.coalesce(F.col("failure_reason") == "quote_spans_multiple_chunks", F.lit(False))
+    return out.select("query_id", "claim_no", "citation_id", "chunk_id", F.col("_n").alias("quote_length"), (F.col("_at") >= 0).alias("quote_found"), F.col("_at").alias("quote_start"), F.when(F.col("_at") >= 0, F.col("_at") + F.col("_n")).otherwise(-1).alias("quote_end"), crossed.alias("crossed_boundary"), "failure_reason")
+
+
+def verification_pass(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, verification_pass): whether an answer has claims and all of them passed."""
+    each = results.groupBy("query_id").agg(F.bool_and("passed").alias("_all"))
+    return queries.select("query_id").join(each, "query_id", "left").select("query_id", F.coalesce("_all", F.lit(False)).alias("verification_pass"))
+
+
 def verification_report(results: DataFrame) -> DataFrame:
     """(query_id, total_claims, verified_claims, failed_claims, hallucinated, missing_quotes) per answer."""
     good = F.sum(F.col("passed").cast("int"))
@@ -282,6 +284,6 @@ def citation_status(failed: Column, drift_ok: Column) -> Column:
 
 
 def cited_documents(claims: DataFrame, context: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, document_ids): the distinct documents behind the claims' labels, sorted; unknown labels are dropped."""
+    """(query_id, document_ids, documents_used): the distinct documents behind the claims' labels, sorted, and how many; unknown labels are dropped."""
     ids = claims.select("query_id", F.explode("citation_ids").alias("label")).join(context.select("query_id", "label", "chunk_id"), ["query_id", "label"]).join(chunks.select("chunk_id", "document_id").distinct(), "chunk_id")
-    return ids.groupBy("query_id").agg(F.sort_array(F.collect_set("document_id")).alias("document_ids"))
+    return ids.groupBy("query_id").agg(F.sort_array(F.collect_set("document_id")).alias("document_ids"), F.count_distinct("document_id").alias("documents_used"))

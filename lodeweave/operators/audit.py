@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import norm
 
+#: The fields of an event.
 SCHEMA = """event_id string, event_type string, timestamp timestamp, request_id string, key_id string, role string, endpoint string,
 action string, status string, duration_ms double, error string, document_id string, regulation_metadata map<string,string>,
 query_text string, metadata_filters map<string,string>, retrieval_mode string, retrieved_document_ids array<string>,
@@ -42,6 +43,19 @@ def page(events: DataFrame, offset: int = 0, limit: int = 50, descending: bool =
     return events.orderBy(F.desc(time) if descending else F.asc(time), tie).offset(offset).limit(limit)
 
 
+def page_with_total(events: DataFrame, offset: int = 0, limit: int = 50, descending: bool = True, time: str = "timestamp", tie: str = "event_id") -> DataFrame:
+    """A page, with the number of all events that it is a page of in every row."""
+    total = events.agg(F.count("*").alias("total"))  # one row
+    return page(events, offset, limit, descending, time, tie).crossJoin(F.broadcast(total)).orderBy(F.desc(time) if descending else F.asc(time), tie)
+
+
+def answered(citations: DataFrame) -> DataFrame:
+    """(query_id, retrieved_document_ids, cited_regulations) of structured citations, distinct and sorted: what the event of
+    a query records."""
+    regulation = F.when(F.col("regulation") != "", F.col("regulation"))
+    return citations.groupBy("query_id").agg(F.sort_array(F.collect_set("document_id")).alias("retrieved_document_ids"), F.sort_array(F.collect_set(regulation)).alias("cited_regulations"))
+
+
 def by_day(events: DataFrame, first: str, last: str, time: str = "timestamp") -> DataFrame:
     return events.filter(F.to_date(time).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
@@ -93,3 +107,32 @@ def trace(queries: DataFrame, fused: DataFrame, final: DataFrame, subqueries: Da
     if prompts is not None:
         out = out.join(prompts.select("query_id", F.length("prompt").alias("prompt_chars"), F.floor(F.length("prompt") / 4).alias("prompt_tokens")), "query_id", "left")
     return out
+
+
+def pruning_trace(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, before, after, dropped) of ranked chunks (query_id, id) before and after pruning; dropped ones by rank."""
+    kept = after.select("query_id", "id", F.lit(True).alias("_kept"))
+    gone = F.transform(F.array_sort(F.collect_list(F.when(F.col("_kept").isNull(), F.struct("final_rank", "id")))), lambda s: s["id"])
+    return before.select("query_id", "id", "final_rank").join(kept, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("before"), F.count("_kept").alias("after"), gone.alias("dropped"))
+
+
+def provenance_trace(merged: DataFrame) -> DataFrame:
+    """(query_id, id, primary_subquery, all_subqueries, shared): which sub-queries found a chunk; shared if several did."""
+    return merged.select("query_id", "id", "primary_subquery", "all_subqueries", (F.size("all_subqueries") > 1).alias("shared"))
+
+
+def generation_trace(drafts: DataFrame) -> DataFrame:
+    """(query_id, raw_chars, parsed, claims, quotes, error) of drafts (query_id, raw, claims, error)."""
+    quotes = F.size(F.filter("claims", lambda c: F.coalesce(c["supporting_quote"], F.lit("")) != ""))
+    return drafts.select("query_id", F.length("raw").alias("raw_chars"), F.col("error").isNull().alias("parsed"), F.size("claims").alias("claims"), quotes.alias("quotes"), "error")
+
+
+def verification_trace(report: DataFrame) -> DataFrame:
+    """(query_id, total, verified, failed, ratio) of verification reports; the ratio of no claims is 0."""
+    ratio = F.when(F.col("total_claims") > 0, F.col("verified_claims") / F.col("total_claims")).otherwise(0.0)
+    return report.select("query_id", F.col("total_claims").alias("total"), F.col("verified_claims").alias("verified"), F.col("failed_claims").alias("failed"), F.round(ratio, 6).alias("ratio"))
+
+
+def write_traces(traces: DataFrame, path: str) -> None:
+    """One JSON object per request."""
+    traces.write.mode("append").json(path)

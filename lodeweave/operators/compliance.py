@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Regulations and jurisdictions that make a question a filter, the first in the alphabet winning.
 REGULATIONS = ["CCPA", "GDPR", "HIPAA", "ISO27001", "PCI-DSS", "SOC2"]
 JURISDICTIONS = ["EU", "INDIA", "UK", "US"]
@@ -77,6 +78,14 @@ def as_of(rows: DataFrame, day: str, date: Column) -> DataFrame:
     return dated.join(F.broadcast(latest), F.col("_d") == F.col("_m")).drop("_d", "_m")
 
 
+def as_of_days(rows: DataFrame, days: DataFrame, date: Column) -> DataFrame:
+    """As ``as_of`` for every day of (day) at once: adds day. Only distinct dates meet the days, then the rows of one date
+    are looked up by it."""
+    dated = rows.withColumn("_d", date).filter(F.col("_d").isNotNull())
+    latest = dated.select("_d").distinct().join(days, F.col("_d") <= F.col("day")).groupBy("day").agg(F.max("_d").alias("_d"))
+    return dated.join(latest, "_d").drop("_d")
+
+
 def match_questions(questions: DataFrame, chunks: DataFrame, meta: str = "legal_metadata") -> DataFrame:
     """(query_id, chunk_id) of all chunks that the filters of (query_id, intent) name. One equi-join per exact field, a
     broadcast of the few distinct values for the loosely matched ones."""
@@ -87,7 +96,8 @@ def match_questions(questions: DataFrame, chunks: DataFrame, meta: str = "legal_
         q = wanted.filter(F.col("field") == field).select("query_id", F.col("value").alias("_v"))
         parts.append(held.select("chunk_id", F.col(f"{meta}.{field}").alias("_v")).join(q, "_v").select("query_id", "chunk_id"))
     q = wanted.filter(F.col("field") == "regulation").select("query_id", F.col("value").alias("_w"))
-    names = held.select(F.col(f"{meta}.regulation").alias("_v")).distinct().join(F.broadcast(q.select("_w").distinct()), F.contains(F.lower("_v"), F.lower("_w")))
+    # distinct names alone; Spark broadcasts the smaller side if it is small
+    names = held.select(F.col(f"{meta}.regulation").alias("_v")).distinct().join(q.select("_w").distinct(), F.contains(F.lower("_v"), F.lower("_w")))
     parts.append(held.select("chunk_id", F.col(f"{meta}.regulation").alias("_v")).join(names, "_v").join(q, "_w").select("query_id", "chunk_id"))
     out = parts[0]
     for p in parts[1:]:
@@ -112,92 +122,117 @@ def route(questions: DataFrame, chunks: DataFrame, retrieved: DataFrame, meta: s
     return structured.unionByName(ranked.select(*structured.columns))
 
 
-def supersede(rows: DataFrame, identity: list[str] | None = None) -> DataFrame:
+def supersede(rows: DataFrame, identity: list[str] | None = None, new: Column | None = None) -> DataFrame:
     """Adds new_is_current and new_superseded_by to rows of (identity fields, document_id, effective_date, is_current, superseded_by).
 
-    Of rows with one identity (nulls equal) and at least two dates, those of the document of the latest date are current
-    and all other dated ones superseded by it, unless several documents share the latest date; all else stays as it is.
-    Dates and documents are first pre-aggregated, so a frequent identity is no large group."""
-    keys = identity or IDENTITY
-    dated = rows.filter(F.col("effective_date").isNotNull())
-    small = dated.groupBy(*keys, "effective_date", "document_id").agg(F.count("*").alias("_n"))
-    days = small.groupBy(*keys, "effective_date").agg(F.count("*").alias("_docs"), F.min("document_id").alias("_doc"), F.sum("_n").alias("_n"))
-    best = days.groupBy(*keys).agg(F.max_by(F.struct("effective_date", "_docs", "_doc"), "effective_date").alias("_w"), F.sum("_n").alias("_rows"))
-    winners = best.filter("_rows >= 2 and _w._docs = 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_w._doc").alias("_winner"))
-    same = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        same = eq if same is None else same & eq
-    out = rows.join(winners, same, "left")
-    decided = F.col("_winner").isNotNull() & F.col("effective_date").isNotNull()
+    Every dated row with a regulation and an article or a section names a provision by its identity, in which missing
+    fields match anything and regulation and authority match anywhere in the stored value. Of the dated rows that a
+    provision matches (two at least) those of the document of the latest date are current and the others superseded by it,
+    unless several documents share that date. Rows whose state is right already, and rows that no provision decides, stay
+    as they are; of several provisions the one with the most fields counts, then the smallest by its key. ``new``: which
+    rows name provisions (default: all). Rows are first pre-aggregated by identity, date and document, so a frequent
+    provision is no large group.
+    """
+    fields = identity or IDENTITY
+    rows = rows.withColumn("_ident", F.md5(F.concat_ws("|", *[F.coalesce(f, F.lit("-")) for f in fields])))
+    names = F.col("effective_date").isNotNull() & F.col("regulation").isNotNull()
+    places = [F.col(c).isNotNull() for c in ("article", "section") if c in fields]
+    names = names & (places[0] if len(places) == 1 else places[0] | places[1])
+    if new is not None:
+        names = names & new
+    dated = rows.filter(F.col("effective_date").isNotNull()).groupBy("_ident", *fields, "effective_date", "document_id").agg(F.count("*").alias("_n"), F.max(names.cast("int")).alias("_names"))
+    dated = cut(dated, "supersession")
+    idents = dated.groupBy("_ident", *fields).agg(F.max("_names").alias("_names"))
+    keys = idents.filter("_names = 1").withColumnRenamed("_ident", "key_id")
+    match = cut(wildcard_matches(keys, idents.withColumnRenamed("_ident", "row_id"), fields), "supersession-matches")
+    seen = match.join(dated.select(F.col("_ident").alias("row_id"), "effective_date", "document_id", "_n"), "row_id")
+    days = seen.groupBy("key_id", "effective_date", "document_id").agg(F.sum("_n").alias("_n")).groupBy("key_id", "effective_date").agg(F.count("*").alias("_docs"), F.min("document_id").alias("_doc"), F.sum("_n").alias("_n"))
+    best = days.groupBy("key_id").agg(F.max_by(F.struct("_docs", "_doc"), "effective_date").alias("_w"), F.sum("_n").alias("_rows"))
+    winners = best.filter("_rows >= 2 and _w._docs = 1 and _w._doc is not null").select("key_id", F.col("_w._doc").alias("_winner"))
+    missing = sum((F.col(f).isNull().cast("int") for f in fields), F.lit(0))
+    decided = match.join(winners.join(keys.select("key_id", missing.alias("_missing")), "key_id"), "key_id").groupBy("row_id").agg(F.min_by("_winner", F.struct("_missing", "key_id")).alias("_winner"))
+    out = rows.join(decided.withColumnRenamed("row_id", "_ident"), "_ident", "left")
     wins = F.col("document_id").eqNullSafe(F.col("_winner"))
-    return out.withColumn("new_is_current", F.when(decided, wins).otherwise(F.col("is_current"))).withColumn("new_superseded_by", F.when(decided & ~wins, F.col("_winner")).when(decided, F.lit(None)).otherwise(F.col("superseded_by"))).drop("_winner", *[f"_{k}" for k in keys])
-
-
-def wildcard_matches(keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows that match keys in which a null field matches anything, regulation and authority anywhere in the stored value.
-    (key_id, row_id). Keys with an article or a section join on it; keys with neither match nothing, as in indexing."""
-    where = lambda x, y, f: F.col(f"{y}.{f}").isNull() | matches(f, F.col(f"{x}.{f}"), F.col(f"{y}.{f}"))
+    changes = F.col("_winner").isNotNull() & F.col("effective_date").isNotNull() & ~F.col("is_current").eqNullSafe(wins)
+    return out.withColumn("new_is_current", F.when(changes, wins).otherwise(F.col("is_current"))).withColumn("new_superseded_by", F.when(changes & ~wins, F.col("_winner")).when(changes, F.lit(None)).otherwise(F.col("superseded_by"))).drop("_winner", "_ident")
+
+
+def wildcard_matches(keys: DataFrame, rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(key_id, row_id): rows that match keys in which a null field matches anything, regulation and authority anywhere in
+    the stored value. Keys with neither article nor section match nothing, as in indexing.
+
+    Each pattern of given fields is one equi-join on all of them; loosely matched names are first replaced by the keys'
+    names that they hold, from the distinct names alone."""
+    fields = fields or IDENTITY
+    place = [c for c in ("article", "section") if c in fields]
+    keys = keys.filter(" or ".join(f"{c} is not null" for c in place))
+    given = F.concat(*[F.when(F.col(f).isNull(), "0").otherwise("1") for f in fields])
+    patterns = sorted(r[0] for r in keys.select(given.alias("p")).distinct().collect())  # at most 2 ** fields
+    loose = {}
+    for f in [f for f in fields if f in MATCHED_LOOSELY]:
+        held, wanted = rows.select(F.col(f).alias("_held")).distinct(), keys.select(F.col(f).alias("_name")).distinct()
+        loose[f] = cut(held.join(wanted, matches(f, F.col("_held"), F.col("_name"))), "names")  # distinct names alone
     parts = []
-    for lead, others in (("article", "k.article is not null"), ("section", "k.article is null and k.section is not null")):
-        k, r = keys.alias("k").filter(others), rows.alias("r")
-        on = F.col(f"r.{lead}") == F.col(f"k.{lead}")
-        for f in IDENTITY:
-            if f != lead:
-                on = on & where("r", "k", f)
-        parts.append(r.join(k, on).select("k.key_id", "r.row_id"))
-    return parts[0].unionByName(parts[1])
+    for p in patterns:
+        on = [f for f, g in zip(fields, p, strict=True) if g == "1"]
+        k = keys.filter(given == p).select("key_id", *on)
+        r = rows.select("row_id", *on)
+        for f in [f for f in on if f in loose]:
+            r = r.join(loose[f], F.col(f) == F.col("_held")).drop(f, "_held").withColumnRenamed("_name", f)
+        parts.append(r.join(k, on).select("key_id", "row_id"))
+    out = parts[0] if parts else keys.select("key_id").crossJoin(rows.select("row_id")).limit(0)
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out
 
 
-CLAUSES = "ord int, article string, section string, clause string, text string, confidence double, fallback boolean"
 #: Lines that are headings, and line starts that are numbered clauses.
-_HEADINGS = [
-    ("article", re.compile(r"^(?:Article|ARTICLE|Art\.)\s+(\d+[A-Za-z]?)\s*$", re.M)),
-    ("section", re.compile(r"^(?:Section|SECTION|Sec\.)\s+([\d.]+)\s*$", re.M)),
-    ("other", re.compile(r"^(?:Chapter|CHAPTER)\s+([IVXLCDM]+|\d+)\s*$", re.M)),
-    ("other", re.compile(r"^(?:Annex|ANNEX|Appendix|APPENDIX)\s+([A-Za-z0-9]+)\s*$", re.M)),
-]
-_NUMBERED = re.compile(r"^\(?(\d+(?:\.\d+)*(?:\([a-z]\))?)\)?[\s.:]", re.M)
-
-
-def parse_text(text: str | None) -> list[tuple]:
-    """Clause rows of one text, see parse_clauses."""
-    if text is None or not text.strip():
-        return []
-    heads = sorted((m.start(), kind, m.group(1)) for kind, rx in _HEADINGS for m in rx.finditer(text))
-    if not heads:
-        return [(0, None, None, None, text.strip(), 0.0, True)]
-    rows, article, section = [], None, None
-    for (at, kind, value), (end, *_) in zip(heads, [*heads[1:], (len(text), "", "")], strict=True):
-        if kind != "other":
-            article, section = (value, None) if kind == "article" else (None, value)
-        block = text[at:end].strip()
-        marks = list(_NUMBERED.finditer(block))
-        if not marks:
-            rows.append((article, section, None, block))
-            continue
-        before = block[: marks[0].start()].strip()
-        for n, m in enumerate(marks):
-            body = block[m.start() : marks[n + 1].start() if n + 1 < len(marks) else len(block)].strip()
-            label = m.group(1) if article is None else f"{article}.{m.group(1)}"
-            rows.append((article, section, label, f"{before}\n{body}" if n == 0 and before else body))
-    covered = sum(len(r[3]) for r in rows) / max(len(text), 1)
-    sure = min(1.0, 0.5 + 0.5 * min(covered, 1.0))
-    return [(i, *r, sure, False) for i, r in enumerate(rows)]
+HEADINGS = {
+    "article": r"^(?:Article|ARTICLE|Art\.)\s+(\d+[A-Za-z]?)\s*$",
+    "section": r"^(?:Section|SECTION|Sec\.)\s+([\d.]+)\s*$",
+    "chapter": r"^(?:Chapter|CHAPTER)\s+([IVXLCDM]+|\d+)\s*$",
+    "annex": r"^(?:Annex|ANNEX|Appendix|APPENDIX)\s+([A-Za-z0-9]+)\s*$",
+}
+NUMBERED = r"^\(?(\d+(?:\.\d+)*(?:\([a-z]\))?)\)?[\s\p{Z}\x85\x1c-\x1f.:]"
+EDGES = r"(?s)^[\s\p{Z}\x85\x1c-\x1f]+|[\s\p{Z}\x85\x1c-\x1f]+$"
 
 
 def parse_clauses(df: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
     """(id_col, ord, article, section, clause, text, confidence, fallback): a text cut at Article, Section, Chapter and
     Annex headings and at numbered clauses, each with its lettered items. An article ends the section and the other way
     round; text before the first heading is left out; a text without headings comes out whole, with confidence 0; null
-    and blank texts give nothing. Lines that begin with a number open a clause even where they are none (`20 000 EUR`)."""
-
-    @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in CLAUSES.split(', '))}>>")
-    def parse(texts: pd.Series) -> pd.Series:
-        names = [c.split(" ")[0] for c in CLAUSES.split(", ")]
-        return texts.map(lambda t: [dict(zip(names, r, strict=True)) for r in parse_text(t)])
-
-    return df.select(F.col(id_col), F.explode(parse(F.col(text_col))).alias("_c")).select(id_col, "_c.*")
+    and blank texts give nothing; repeated rows come out repeatedly. Lines that begin with a number open a clause even
+    where they are none (`20 000 EUR`).
+
+    Lines are events: headings and numbers are told by line, the heading in force is the last one so far, and runs of
+    lines with the same numbers of headings and clauses so far are one piece."""
+    bare = lambda c: F.regexp_replace(c, EDGES, "")
+    found = lambda name: F.nullif(F.regexp_extract("_line", f"(?U){HEADINGS[name]}", 1), F.lit(""))
+    texts = df.select(F.monotonically_increasing_id().alias("_r"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(bare(F.col("_t")) != "")
+    lines = texts.select("_r", "_id", F.length("_t").alias("_len"), F.posexplode(F.split("_t", "\n")).alias("_n", "_line"))
+    other = F.coalesce(found("chapter"), found("annex"))
+    lines = lines.select("*", found("article").alias("_a"), found("section").alias("_s")).withColumn("_head", F.coalesce("_a", "_s", other).isNotNull())
+    so_far = W.partitionBy("_r").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
+    force = F.last(F.when(F.coalesce("_a", "_s").isNotNull(), F.struct("_a", "_s")), ignorenulls=True).over(so_far)
+    lines = lines.withColumn("_k", F.sum(F.col("_head").cast("int")).over(so_far)).withColumn("_f", force).filter("_k > 0")
+    within = W.partitionBy("_r", "_k")
+    # a block ends with its last line that isn't blank, and no line end follows that
+    more = F.col("_n") < F.max(F.when(bare(F.col("_line")) != "", F.col("_n"))).over(within)
+    number = F.nullif(F.regexp_extract(F.concat("_line", F.when(more, F.lit("\n")).otherwise("")), NUMBERED, 1), F.lit(""))
+    lines = lines.withColumn("_num", number).withColumn("_sub", F.count("_num").over(within.orderBy("_n").rowsBetween(W.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]), "\n")
+    pieces = lines.groupBy("_r", "_id", "_len", "_k", "_sub").agg(F.first("_f").alias("_f"), F.max("_num").alias("_num"), bare(joined).alias("_text"))
+    order = within.orderBy("_sub")
+    pieces = pieces.withColumn("_next", F.lead("_sub").over(order)).withColumn("_lead", F.when(F.lag("_sub").over(order) == 0, F.lag("_text").over(order))).filter("_sub > 0 or _next is null")
+    text = F.when((F.col("_sub") == 1) & (F.col("_lead") != ""), F.concat("_lead", F.lit("\n"), F.col("_text"))).otherwise(F.col("_text"))
+    label = F.when(F.col("_f._a").isNull(), F.col("_num")).otherwise(F.concat("_f._a", F.lit("."), "_num"))
+    parts = pieces.select("_r", "_id", "_len", (F.row_number().over(W.partitionBy("_r").orderBy("_k", "_sub")) - 1).alias("ord"), F.col("_f._a").alias("article"), F.col("_f._s").alias("section"), label.alias("clause"), text.alias("text"))
+    covered = F.least(F.lit(1.0), F.sum(F.length("text")).over(W.partitionBy("_r")) / F.greatest("_len", F.lit(1)))
+    cut_up = parts.select(F.col("_id").alias(id_col), "ord", "article", "section", "clause", "text", F.least(F.lit(1.0), 0.5 + 0.5 * covered).alias("confidence"), F.lit(False).alias("fallback"))
+    heading = "|".join(f"(?:{h})" for h in HEADINGS.values())
+    whole = texts.filter(~F.col("_t").rlike(f"(?Umd){heading.replace(chr(92) + 's', '[^' + chr(92) + 'S' + chr(92) + 'n]')}"))
+    none = F.lit(None).cast("string")
+    return cut_up.unionByName(whole.select(F.col("_id").alias(id_col), F.lit(0).alias("ord"), none.alias("article"), none.alias("section"), none.alias("clause"), bare(F.col("_t")).alias("text"), F.lit(0.0).alias("confidence"), F.lit(True).alias("fallback")))
 
 
 def chunk_clauses(df: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
@@ -218,6 +253,26 @@ def clause_coverage(parts: DataFrame, texts: DataFrame, id_col: str) -> DataFram
     return texts.join(sums, id_col).select(id_col, F.round(share, 6).alias("coverage"), F.round(F.least(F.lit(1.0), 0.5 + 0.5 * F.least(share, F.lit(1.0))), 6).alias("confidence"))
 
 
+def citations(chunks: DataFrame, titles: DataFrame | None = None, meta: str = "legal_metadata") -> DataFrame:
+    """A structured citation of every ranked chunk (query_id, chunk_id, document_id, chunk_index, page, text, rerank_score,
+    legal metadata): its id, title, confidence (0 without score), display, text and legal fields. titles: (document_id,
+    filename); a document without one is cited by its id. Chunks without legal metadata have null legal fields."""
+    rows = chunks.withColumn("filename", F.lit(None).cast("string")) if titles is None else chunks.join(titles.select("document_id", "filename"), "document_id", "left")
+    title, legal = F.coalesce("filename", "document_id"), F.col(meta)
+    return rows.select(
+        "query_id",
+        F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id"), 256).alias("citation_id"),
+        "document_id",
+        F.when(legal.isNotNull(), legal["document_title"]).otherwise(title).alias("document_title"),
+        "chunk_id",
+        F.coalesce("rerank_score", F.lit(0.0)).alias("confidence"),
+        citation_display(title, F.col("chunk_index"), F.col("page"), legal).alias("display"),
+        F.col("text").alias("chunk_text"),
+        *[legal[f].alias(f) for f in ("regulation", "version", "jurisdiction", "article", "section", "clause", "effective_date", "document_type")],
+        F.coalesce(F.nullif(legal["page"], F.lit(0)), "page").alias("page"),
+    )
+
+
 def citation_display(title: Column, chunk_index: Column, page: Column, meta: Column) -> Column:
     """How a chunk is cited: `GDPR Art. 83(5)(a), p.3`, or title, page and number where there is no legal metadata."""
     own, legal_page = F.nullif(page, F.lit(0)), F.nullif(meta["page"], F.lit(0))

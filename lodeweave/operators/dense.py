@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .bm25 import top
 
-PART_ROWS, BLOCK_ROWS = 20_000, 2_000
+PART_ROWS, BLOCK_ROWS = 10_000, 1_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -39,14 +39,20 @@ def scores(queries: DataFrame, vectors: DataFrame, query_id: str = "query_id", i
             i = j = np.zeros(0, np.int64)
             s = np.zeros(0)
         else:
-            order = b["_i"].combine_chunks().dictionary_encode() if pa.types.is_string(b["_i"].type) else None
             m = np.round(_matrix(a["_v"]) @ _matrix(b["_v"]).T, 6)
             if above is not None:
                 i, j = np.nonzero(m > above)
             else:
-                rank = np.argsort(np.argsort(np.array(b["_i"].to_pylist(), object) if order is not None else b["_i"].to_numpy(), kind="stable"), kind="stable")
-                best = np.lexsort((np.broadcast_to(rank, m.shape), -m), axis=1)[:, :k]
-                i, j = np.repeat(np.arange(len(m)), best.shape[1]), best.ravel()
+                # the k-th best score first, then order the few that reach it
+                least = np.partition(m, m.shape[1] - k, axis=1)[:, m.shape[1] - k] if k < m.shape[1] else np.full(len(m), -2.0)
+                i, j = np.nonzero(m >= least[:, None])
+                ids = np.array(b["_i"].to_pylist(), object)
+                rank = np.empty(len(ids), np.int64)
+                rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                order = np.lexsort((rank[j], -m[i, j], i))
+                i, j = i[order], j[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[best], j[best]
             s = m[i, j]
         return pa.table({"query_id": a["_q"].take(pa.array(i)), "id": b["_i"].take(pa.array(j)), "score": pa.array(s, pa.float64())})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,20 @@ def retrieval_metrics(queries: DataFrame, ranked: DataFrame, relevant: DataFrame
     Documents count once, at their first rank; precision divides by the cut even if fewer documents came."""
     want = relevant.select("query_id", key).distinct()
     n = want.groupBy("query_id").agg(F.count("*").alias("_n"))
-    hits = first_ranks(ranked, key).join(want, ["query_id", key], "left_semi")
+    return _metrics(queries, n, first_ranks(ranked, key).join(want, ["query_id", key], "left_semi"))
+
+
+def retrieval_metrics_by_label(queries: DataFrame, ranked: DataFrame, items: DataFrame, key: str = "document_id", label: str = "label") -> DataFrame:
+    """As retrieval_metrics, where the items (key, label) of a query's label are relevant: labels are counted and the ranked
+    hits looked up, so no list of the relevant items of each query is made. Each item has one label."""
+    sizes = items.groupBy(label).agg(F.count_distinct(key).alias("_n"))
+    n = queries.select("query_id", label).distinct().join(sizes, label).select("query_id", "_n")
+    hits = first_ranks(ranked, key).join(items.select(key, label).distinct(), key).join(queries.select("query_id", label).distinct(), ["query_id", label], "left_semi")
+    return _metrics(queries, n, hits)
+
+
+def _metrics(queries: DataFrame, n: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits: the relevant ones among the ranked (query_id, rank); n: how many are relevant (query_id, _n)."""
     found = hits.groupBy("query_id").agg(F.min("rank").alias("_first"), *[F.sum((F.col("rank") <= k).cast("int")).alias(f"_h{k}") for k in CUTS])
     out = queries.select("query_id").distinct().join(n, "query_id", "left").join(found, "query_id", "left")
     given = lambda c: F.when(F.col("_n").isNotNull(), F.round(F.coalesce(c, F.lit(0.0)), 6))
@@ -79,6 +93,34 @@ def summary(records: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     return records.rollup("category").agg(*columns, F.sum((F.col("status") == "error").cast("int")).alias("error_count"), F.count("*").alias("total"), F.grouping("category").cast("int").alias("overall"))
 
 
+def question_records(questions: DataFrame, answers: DataFrame, metrics: DataFrame, passed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One record per question (query_id, category, citation_doc_ids): what its answer, citations, claims and judge come to.
+
+    answers: (query_id, answer, citations array<string>, coverage, latency_ms, error); metrics: of retrieval_metrics;
+    passed: (query_id, verification_pass); verdicts: (query_id, verdict, reasoning). A question whose answer has an error,
+    or that has no answer at all, gets an error record: status error, its message, and no metrics, citations or verdict.
+    """
+    joined = questions.select("query_id", "category", F.col("citation_doc_ids").alias("expected")).join(answers, "query_id", "left").join(metrics, "query_id", "left").join(passed, "query_id", "left").join(verdicts.select("query_id", "verdict", "reasoning"), "query_id", "left")
+    known = F.col("latency_ms").isNotNull() | F.col("answer").isNotNull() | F.col("error").isNotNull()
+    message = F.when(~known, "no answer").otherwise(F.col("error"))
+    good = message.isNull()
+    kept = lambda c, name: F.when(good, c).alias(name)
+    none = F.array().cast("array<string>")
+    prf = [kept(c, n) for c, n in zip(citation_prf(F.col("citations"), F.col("expected")), OBJECTIVE, strict=False)]
+    return joined.select(
+        "query_id", "category", "expected", kept(F.col("answer"), "model_answer"), F.when(good, F.coalesce("citations", none)).otherwise(none).alias("citations"),
+        F.when(good, "success").otherwise("error").alias("status"), F.when(~good, "pipeline_error").alias("error_type"), message.alias("error_message"),
+        kept(F.col("latency_ms"), "latency_ms"), *prf, kept(F.coalesce("verification_pass", F.lit(False)), "verification_pass"), kept(F.col("coverage"), "coverage"),
+        *[kept(F.col(m), m) for m in RETRIEVAL if m in metrics.columns], kept(F.coalesce("verdict", F.lit("INCORRECT")), "verdict"), kept(F.col("reasoning"), "reasoning"),
+    )
+
+
+def numeric_only(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, and of the other columns those of numbers and truth values, as doubles."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+    return table.select(*keys, *[F.col(c).cast("double").alias(c) for c, t in table.dtypes if c not in keys and t.split("(")[0] in numbers])
+
+
 def tier(delta: Column, warn: Column, fail: Column) -> Column:
     return F.when(delta <= -fail, "fail").when(delta <= -warn, "warn").when(delta > 0, "info").otherwise("ok")
 
@@ -176,13 +218,31 @@ def load_thresholds(path: str | None) -> dict:
 
 
 def save_baseline(values: DataFrame, path: str, question_set_hash: str) -> None:
-    """Per-question values and the hash of their question set; the marker file comes last, so a half-written one can't be read."""
-    values.withColumn("question_set_hash", F.lit(question_set_hash)).withColumn("version", F.lit(1)).write.mode("overwrite").parquet(path)
+    """Per-question values and the hash of their question set, in a folder of its own; the pointer that makes it the baseline
+    is written last and replaced as a whole, so that at every moment one whole baseline can be read."""
+    at = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    marked = values.withColumn("question_set_hash", F.lit(question_set_hash)).withColumn("version", F.lit(1))
+    marked.write.parquet(at)
+    fs, hadoop = _files(values.sparkSession, path)
+    fresh, pointer = hadoop(f"{at}.pointer"), hadoop(f"{path.rstrip('/')}/current")
+    out = fs.create(fresh, False)
+    out.write(at.encode())
+    out.close()
+    context = values.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    over = values.sparkSession.sparkContext._gateway.new_array(context.Options.Rename, 1)
+    over[0] = context.Options.Rename.OVERWRITE
+    context.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), over)
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
 def load_baseline(spark: SparkSession, path: str, question_set_hash: str) -> DataFrame:
     """The values of a baseline of the same version and question set; anything else is an error."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(spark.read.text(f"{path.rstrip('/')}/current", wholetext=True).first()[0])
     wrong = df.filter((F.col("version") != 1) | (F.col("question_set_hash") != question_set_hash))
     if not wrong.isEmpty():
         raise ValueError("the baseline was made from another question set or version; make a new one")

@@ -140,8 +140,7 @@ def ledger(updates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     rows = updates.select("provision_id", version.alias("version"), F.col("effective_date").cast("date").alias("date"), "document_id", F.col("update_id").cast("bigint").alias("update_id"), F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"), (F.col("action") == "repeal").alias("_repeal"))
     rows = rows.filter("date is not null and recorded_at is not null and (_repeal or version is not null)").drop("_repeal")
     sizes = rows.groupBy("provision_id").agg(F.count("*").alias("_n"), F.min("recorded_at").alias("_first"), F.max("recorded_at").alias("_last"))
-    # at most (rows / hot_rows) provisions can be hot
-    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(F.col("provision_id").alias("_hot"), F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"), "_first", "_last"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(F.col("provision_id").alias("_hot"), F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"), "_first", "_last")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     part = F.floor((us("recorded_at") - us("_first")) / (us("_last") - us("_first") + 1) * F.col("_slices")).cast("int")
     named = rows.join(hot, F.col("provision_id").eqNullSafe(F.col("_hot")), "left").withColumn("slice", F.coalesce(part, F.lit(0)))

@@ -1,22 +1,32 @@
-"""The store: chunks, vectors and BM25 postings as versioned snapshots that are committed by one small pointer.
+"""The store: chunks, vectors and BM25 postings that change together, in versions.
 
-A version is a folder of Parquet relations. It becomes visible when a pointer file named after it appears; readers take
-the greatest pointer and stay with that version. A failed write leaves no pointer and is never seen.
+Chunks are kept in BUCKETS parts by their document. A commit writes the parts that it changes into a folder of a fresh
+name, and then a pointer file of the next version that names the folder of every part; unchanged parts stay where they
+are. Readers take the greatest pointer and stay with that version. A failed write leaves no pointer and is never seen, and
+of two writers that plan the same version one gets an error, with nothing of the other's touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basename
+from . import compliance
 from .bm25 import BM25Index
 
 MAX_METADATA_BYTES = 40 * 1024
+BUCKETS = 64
+POSTINGS = "term string, id string, dl int, tf bigint"
+PATHS = "source_path string, document_id string, landed_at timestamp"
 
 
 class ChunkStore:
-    """A store under a path. Relations: chunks (unique chunk_id, with embedding if given) and the BM25 index of their texts."""
+    """A store under a path. Relations: chunks (unique chunk_id, with embedding if given), the BM25 index of their texts,
+    and, where documents come by path, which document a path has."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -30,55 +40,124 @@ class ChunkStore:
         """Committed versions, oldest first."""
         fs, path = self._fs()
         folder = path(f"{self.path}/pointers")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getLen()) if fs.exists(folder) else []
+
+    def _state(self, version: int | None = None) -> dict:
+        v = version if version is not None else next(iter(reversed(self.versions())), None)
+        if v is None:
+            return {"version": 0, "parts": {}, "schema": None, "paths": None}
+        return json.loads(self.spark.read.text(f"{self.path}/pointers/{v:012d}", wholetext=True).first()[0])
 
-    def _commit(self, version: int) -> None:
+    def _commit(self, state: dict) -> int:
+        state = state | {"version": state["version"] + 1}
         fs, path = self._fs()
-        if not fs.createNewFile(path(f"{self.path}/pointers/{version:012d}")):
-            raise RuntimeError(f"version {version} was committed by another writer")
+        try:
+            out = fs.create(path(f"{self.path}/pointers/{state['version']:012d}"), False)
+        except Exception as e:
+            raise RuntimeError(f"version {state['version']} was committed by another writer") from e
+        out.write(json.dumps(state).encode())
+        out.close()
+        return state["version"]
+
+    def _read(self, state: dict, relation: str, parts: list[str] | None = None) -> DataFrame:
+        schema = POSTINGS if relation == "postings" else state["schema"]
+        folders = [f"{self.path}/{f}/{relation}/_bucket={b}" for b, f in state["parts"].items() if parts is None or b in parts]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def chunks(self, version: int | None = None) -> DataFrame | None:
-        v = version if version is not None else next(iter(reversed(self.versions())), None)
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v{v:012d}/chunks")
+        state = self._state(version)
+        return self._read(state, "chunks") if state["version"] else None
 
     def index(self, version: int | None = None) -> BM25Index | None:
-        v = version if version is not None else next(iter(reversed(self.versions())), None)
-        return None if v is None else BM25Index.load(self.spark, f"{self.path}/v{v:012d}/bm25")
+        state = self._state(version)
+        return BM25Index.of_postings(self._read(state, "postings"), self._read(state, "chunks").agg(F.count("*").alias("n"))) if state["version"] else None
+
+    def paths(self, version: int | None = None) -> DataFrame:
+        """(source_path, document_id, landed_at): the document that each path has."""
+        at = self._state(version)["paths"]
+        return self.spark.read.schema(PATHS).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], PATHS)
+
+    def _change(self, state: dict, fresh: DataFrame, gone: DataFrame | None = None, paths: DataFrame | None = None) -> int:
+        """Commit ``fresh`` chunks in place of those of the same ids, without the ids of ``gone``. Only parts that hold
+        chunks of either are read and written."""
+        if "legal_metadata" in fresh.columns:
+            size = F.octet_length(F.to_json("legal_metadata"))
+            fresh = fresh.withColumn("legal_metadata", F.when(F.coalesce(size, F.lit(0)) <= MAX_METADATA_BYTES, F.col("legal_metadata")).otherwise(F.raise_error(F.concat(F.lit("metadata too large: "), F.col("chunk_id")))))
+        at = f"w-{uuid.uuid4().hex}"
+        fresh.write.parquet(f"{self.path}/{at}/fresh")  # read several times
+        fresh = self.spark.read.schema(fresh.schema).parquet(f"{self.path}/{at}/fresh")
+        ids = fresh.select("chunk_id") if gone is None else fresh.select("chunk_id").unionByName(gone.select("chunk_id"))
+        touched, rows = fresh.select(_bucket().alias("b")), fresh
+        if state["parts"]:
+            held = self._read(state, "chunks")
+            touched = touched.unionByName(held.join(ids, "chunk_id", "left_semi").select(_bucket().alias("b")))
+        changed = [str(r["b"]) for r in touched.distinct().collect()]  # at most BUCKETS rows
+        if state["parts"] and any(b in state["parts"] for b in changed):
+            rows = self._read(state, "chunks", changed).join(ids, "chunk_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+        rows = rows.withColumn("_bucket", _bucket())
+        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{at}/chunks")
+        schema = rows.drop("_bucket").schema
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{at}/chunks")
+        BM25Index.postings_of(written, "chunk_id", "text", "_bucket").repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{at}/postings")
+        fs, path = self._fs()
+        parts = {b: f for b, f in state["parts"].items() if b not in changed}
+        for b in changed:
+            if fs.exists(path(f"{self.path}/{at}/chunks/_bucket={b}")):
+                parts[b] = at
+                fs.mkdirs(path(f"{self.path}/{at}/postings/_bucket={b}"))  # texts without a word have no postings
+        fs.delete(path(f"{self.path}/{at}/fresh"), True)
+        if paths is not None:
+            paths.write.parquet(f"{self.path}/{at}/paths")
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        return self._commit(state | {"parts": parts, "schema": ddl, "paths": f"{at}/paths" if paths is not None else state["paths"]})
 
     def write(self, chunks: DataFrame) -> int:
-        """A new version of these chunks. A chunk whose metadata exceeds 40 kB is an error."""
-        if "legal_metadata" in chunks.columns:
-            size = F.octet_length(F.to_json("legal_metadata"))
-            chunks = chunks.withColumn("legal_metadata", F.when(F.coalesce(size, F.lit(0)) <= MAX_METADATA_BYTES, F.col("legal_metadata")).otherwise(F.raise_error(F.concat(F.lit("metadata too large: "), F.col("chunk_id")))))
-        version = next(iter(reversed(self.versions())), 0) + 1
-        at = f"{self.path}/v{version:012d}"
-        chunks.write.mode("overwrite").parquet(f"{at}/chunks")
-        BM25Index.build(self.spark.read.parquet(f"{at}/chunks"), "chunk_id", "text").save(f"{at}/bm25")
-        self._commit(version)
-        return version
-
-    def upsert(self, chunks: DataFrame) -> int:
-        """New chunks replace stored ones of the same id."""
-        held = self.chunks()
-        fresh = chunks.dropDuplicates(["chunk_id"])
-        return self.write(fresh if held is None else held.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh, allowMissingColumns=True))
+        """A new version of these chunks alone. A chunk whose metadata exceeds 40 kB is an error."""
+        return self._change(self._state() | {"parts": {}}, chunks)
+
+    def upsert(self, chunks: DataFrame, superseding: bool = False) -> int:
+        """New chunks replace stored ones of the same id. If ``superseding``, the same commit marks what the new chunks'
+        provisions supersede, in the store and among them."""
+        state, fresh = self._state(), chunks.dropDuplicates(["chunk_id"])
+        if superseding:
+            held = self._read(state, "chunks").join(fresh.select("chunk_id"), "chunk_id", "left_anti") if state["parts"] else fresh.limit(0)
+            every = held.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+            meta = [F.col(f"legal_metadata.{f}").alias(f) for f in (*compliance.IDENTITY, "effective_date", "is_current", "superseded_by")]
+            flags = compliance.supersede(every.filter("legal_metadata is not null").select("chunk_id", "document_id", "_new", *meta), new=F.col("_new"))
+            changed = flags.filter(~F.col("new_is_current").eqNullSafe(F.col("is_current"))).select("chunk_id", F.col("new_is_current").alias("_c"), F.col("new_superseded_by").alias("_s"), F.lit(True).alias("_hit"))
+            meta = F.col("legal_metadata").withField("is_current", F.col("_c")).withField("superseded_by", F.col("_s"))
+            joined = every.join(changed, "chunk_id", "left").filter(F.col("_new") | F.col("_hit"))
+            fresh = joined.withColumn("legal_metadata", F.when(F.col("_hit"), meta).otherwise(F.col("legal_metadata"))).drop("_new", "_c", "_s", "_hit")
+        return self._change(state, fresh)
 
     def delete_document(self, document_id: str) -> int:
         """Without a document's chunks, vectors and postings; they vanish together."""
-        return self.write(self.chunks().filter(~F.col("document_id").eqNullSafe(F.lit(document_id))))
+        state = self._state()
+        held = self._read(state, "chunks")
+        return self._change(state, held.limit(0), held.filter(F.col("document_id").eqNullSafe(F.lit(document_id))))
+
+    def replace(self, chunks: DataFrame, gone: DataFrame, paths: DataFrame) -> int:
+        """New chunks, without the chunks of the documents of ``gone`` (document_id), with a new relation of paths."""
+        state = self._state()
+        lost = self._read(state, "chunks").join(gone.select("document_id").distinct(), "document_id", "left_semi") if state["parts"] else None
+        return self._change(state, chunks, lost, paths)
 
     def update_metadata(self, changes: DataFrame) -> int:
         """is_current and superseded_by of the given chunk ids; a null in ``changes`` leaves is_current as it is."""
-        new = changes.select("chunk_id", F.col("is_current").alias("_c"), F.col("superseded_by").alias("_s"), F.lit(True).alias("_hit"))
-        held = self.chunks().join(new, "chunk_id", "left")
+        state = self._state()
+        new = changes.select("chunk_id", F.col("is_current").alias("_c"), F.col("superseded_by").alias("_s"))
+        held = self._read(state, "chunks").filter("legal_metadata is not null").join(new, "chunk_id")
         meta = F.col("legal_metadata").withField("is_current", F.coalesce("_c", F.col("legal_metadata.is_current"))).withField("superseded_by", F.col("_s"))
-        return self.write(held.withColumn("legal_metadata", F.when(F.col("_hit") & F.col("legal_metadata").isNotNull(), meta).otherwise(F.col("legal_metadata"))).drop("_c", "_s", "_hit"))
+        return self._change(state, held.withColumn("legal_metadata", meta).drop("_c", "_s"))
 
     def get(self, chunk_id: str) -> DataFrame:
         return self.chunks().filter(F.col("chunk_id") == chunk_id)
 
     def by_document(self, document_id: str) -> DataFrame:
-        return self.chunks().filter(F.col("document_id") == document_id).orderBy("chunk_index", "chunk_id")
+        """One document's chunks, from the part that holds it."""
+        state = self._state()
+        part = str(self.spark.range(1).select(_bucket(F.lit(document_id)).alias("b")).first()[0])
+        return self._read(state, "chunks", [part]).filter(F.col("document_id") == document_id).orderBy("chunk_index", "chunk_id")
 
     def drift(self) -> DataFrame:
         """Ids that only the chunks or only the postings have (texts without any word have no postings and don't count)."""
@@ -86,6 +165,10 @@ class ChunkStore:
         return drift(worded, self.index().postings.select(F.col("id").alias("chunk_id")))
 
 
+def _bucket(document_id: Column | None = None) -> Column:
+    return F.pmod(F.xxhash64(F.col("document_id") if document_id is None else document_id), F.lit(BUCKETS)).cast("int")
+
+
 def drift(left: DataFrame, right: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, side) of ids on one side only."""
     a, b = left.select(key).distinct().withColumn("_l", F.lit(1)), right.select(key).distinct().withColumn("_r", F.lit(1))
@@ -104,13 +187,22 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def document_summaries(chunks: DataFrame, time: str = "ingested_at") -> DataFrame:
-    """(document_id, chunk_count, indexed_at): latest indexed first in a listing; the rank says which."""
-    return chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.min(time).alias("indexed_at"))
+def document_summaries(chunks: DataFrame, time: str = "ingested_at", paths: DataFrame | None = None) -> DataFrame:
+    """(document_id, chunk_count, indexed_at, and, with paths, source_path: the first of a document's)."""
+    out = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.min(time).alias("indexed_at"))
+    if paths is None:
+        return out
+    return out.join(paths.groupBy("document_id").agg(F.min("source_path").alias("source_path")), "document_id", "left")
+
+
+def listing(summaries: DataFrame) -> DataFrame:
+    """Summaries as a listing shows them: last indexed first, then by document."""
+    return summaries.orderBy(F.desc("indexed_at"), "document_id")
 
 
-def totals(summaries: DataFrame) -> DataFrame:
-    return summaries.agg(F.count("*").alias("documents"), F.sum("chunk_count").alias("chunks"))
+def totals(summaries: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Documents and chunks of summaries (document_id, chunk_count), by the given columns; null documents count no document."""
+    return summaries.groupBy(*(by or [])).agg(F.count_distinct("document_id").alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
 
 
 def document_detail(chunks: DataFrame, summaries: DataFrame) -> DataFrame:

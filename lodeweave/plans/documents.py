@@ -9,7 +9,7 @@ from ..functions import content_hash
 from ..operators import chunking, compliance, dedup
 from ..providers import deterministic_embedding
 from ..session import cut, table
-from ..sources import format_of, gutters, html_chain, page_texts, rendered_rows, safe_name, upload_problem
+from ..sources import format_of, gutters, load_documents, page_texts, rendered_rows, safe_name, upload_problem
 from .retrieval import STORED, stored_chunks
 
 
@@ -69,7 +69,8 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text is not null")
     body = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     page = F.concat(F.lit('<!DOCTYPE html><html><head><style>p { margin: 0 }</style><script>var s = "</p>";</script></head><body><!-- made --><h1>'), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), body, F.lit("</p><p>&copy; &middot; &quot;end&quot;</p></body></html>"))
-    return d.select("doc_id", html_chain(page).alias("content"))
+    files = d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.encode(page, "utf-8").alias("content"))
+    return load_documents(files).select(F.regexp_extract("source_path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "content")
 
 
 def csv_row_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +181,9 @@ SQL = {
     SELECT page_id, length(t)::INT AS chars, md5(t) AS text_md5 FROM (SELECT page_id, string_agg(line, chr(10) ORDER BY side, top) AS t FROM lines GROUP BY page_id)""",
     "html_to_text": r"""WITH p AS (SELECT doc_id, '<!DOCTYPE html><html><head><style>p { margin: 0 }</style><script>var s = "</p>";</script></head><body><!-- made --><h1>' || coalesce(title, '') || '</h1><p>'
             || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</p><p>&copy; &middot; &quot;end&quot;</p></body></html>' AS h FROM documents WHERE text IS NOT NULL),
-        t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g') AS c FROM p),
-        u AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(c, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS c FROM t)
-        SELECT doc_id, array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda x: """
+        t AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\b.*?</script\s*>', '<x>', 'g'), '(?is)<style\b.*?</style\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '(?s)<[^>]*>') AS cs FROM p),
+        u AS (SELECT doc_id, list_transform(cs, lambda c: replace(replace(replace(replace(replace(c, '&lt;', '<'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')) AS cs FROM t)
+        SELECT doc_id, array_to_string(list_filter(list_transform(cs, lambda x: """
     + _STRIP.format("x")
     + """), lambda x: x <> ''), chr(10)) AS content FROM u""",
     "chunk_oversize": r"""WITH RECURSIVE d AS (SELECT DISTINCT document_id, content FROM source_documents WHERE content IS NOT NULL AND content <> ''),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation
 from ..session import table
 from .retrieval import SQL as RETRIEVAL_SQL
-from .retrieval import dense_topk
+from .retrieval import BM25, bm25_topk, dense_topk
 
 _HITS = RETRIEVAL_SQL["dense_topk"].replace(" SELECT * FROM hits", "")
 
@@ -17,16 +17,15 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, precision and reciprocal rank of dense search; vectors of the query's label are relevant."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = q.join(e.select("vec_id", "label"), "label").select("query_id", F.col("vec_id").alias("id"))
-    return evaluation.retrieval_metrics(q, dense_topk(spark, sf_dir), relevant, "id")
+    return evaluation.retrieval_metrics_by_label(q, dense_topk(spark, sf_dir), e.select(F.col("vec_id").alias("id"), "label"), "id")
 
 
 def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean recall at 3 and reciprocal rank of the query alone as relevant, by label."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    m = evaluation.retrieval_metrics(q, dense_topk(spark, sf_dir).filter("query_id <> id"), q.select("query_id", (F.col("query_id") + 20).alias("id")), "id")
-    return m.join(q, "query_id").groupBy("label").agg(F.count("*").alias("queries"), F.round(F.avg("recall_3"), 6).alias("recall_3"), F.round(F.avg("mrr"), 6).alias("mrr"))
+    """Known-item search: mean recall at 3 and reciprocal rank of a title's own document, by document type."""
+    d = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0 and title is not null")
+    q = d.select(F.col("doc_id").alias("query_id"), "document_type")
+    m = evaluation.retrieval_metrics(q, bm25_topk(spark, sf_dir), q.select("query_id", F.col("query_id").alias("doc_id")), "doc_id")
+    return m.join(q, "query_id").groupBy("document_type").agg(F.count("*").alias("queries"), F.round(F.avg("recall_3"), 6).alias("recall_3"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
 def citation_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +97,7 @@ _COMPARE = (
 )
 SQL = {
     "retrieval_metrics": _HITS + ", ranked AS (SELECT query_id, id, rank FROM hits), rel AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0)" + _METRIC + " SELECT * FROM metrics",
-    "benchmark_summary": _HITS + ", ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM hits WHERE query_id <> id), rel AS (SELECT vec_id AS query_id, vec_id + 20 AS id FROM embeddings WHERE vec_id % 20 = 0)" + _METRIC + " SELECT label, count(*) AS queries, round(avg(recall_3), 6) AS recall_3, round(avg(mrr), 6) AS mrr FROM metrics JOIN embeddings ON vec_id = query_id GROUP BY label",
+    "benchmark_summary": BM25 + ", ranked AS (SELECT query_id, id, rank FROM hits), rel AS (SELECT doc_id AS query_id, doc_id AS id FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL)" + _METRIC + " SELECT document_type, count(*) AS queries, round(avg(recall_3), 6) AS recall_3, round(avg(mrr), 6) AS mrr FROM metrics JOIN documents ON doc_id = query_id GROUP BY document_type",
     "citation_prf": """WITH s AS (SELECT source, coalesce(list(DISTINCT concat_ws('/', document_type, format)) FILTER (doc_id % 2 = 1), []) AS p, coalesce(list(DISTINCT concat_ws('/', document_type, format)) FILTER (doc_id % 2 = 0), []) AS e FROM documents WHERE source IS NOT NULL GROUP BY source),
         n AS (SELECT source, len(p) AS p, len(e) AS e, len(list_intersect(p, e)) AS b FROM s)
         SELECT source, round(CASE WHEN p = 0 AND e = 0 THEN 1 WHEN p > 0 THEN b / p ELSE 0 END, 6) AS citation_precision, round(CASE WHEN p = 0 AND e = 0 THEN 1 WHEN e > 0 THEN b / e ELSE 0 END, 6) AS citation_recall, round(CASE WHEN p = 0 AND e = 0 THEN 1 WHEN b > 0 THEN 2.0 * b / (p + e) ELSE 0 END, 6)::DOUBLE AS citation_f1 FROM n""",

@@ -38,40 +38,21 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_search(*_vectors(spark, sf_dir), k=10)
 
 
-def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q, v = _vectors(spark, sf_dir)
-    half = lambda d: d.withColumn("embedding", F.slice("embedding", 1, 32))
-    return dense_search(q, v, k=10), dense_search(half(q), half(v), k=10)
-
-
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of the same vectors, by all and by half of their dimensions, fused."""
-    return fusion.weighted_rrf(*_two_lists(spark, sf_dir)).select("query_id", "id", "dense_rank", "bm25_rank", "rrf_score", "fused_rank")
-
-
-def hybrid_rerank_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused budget passed on without a reranker."""
-    return fusion.passthrough(fusion.weighted_rrf(*_two_lists(spark, sf_dir))).select("query_id", "id", "rrf_score", "rerank_score", "final_rank")
-
-
-def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every stage for each query, and the chunks that the budget saved."""
-    fused = fusion.weighted_rrf(*_two_lists(spark, sf_dir)).withColumn("id", F.col("id").cast("string"))
-    q = _vectors(spark, sf_dir)[0].select("query_id", "embedding")
-    out = audit.trace(q, fused, fusion.passthrough(fused))
-    return out.withColumn("dropped", F.array_join("dropped", ","))
-
-
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk once, as it came last."""
+    """Each chunk once, as it came last (of several at one time the greatest text)."""
     c = table(spark, sf_dir, "chunks").filter("chunk_id is not null")
-    last = c.groupBy("chunk_id").agg(F.max_by(F.struct("document_id", "chunk_index", "text", "heading", "legal_metadata"), "ingested_at").alias("_c"))
+    last = c.groupBy("chunk_id").agg(F.max_by(F.struct("document_id", "chunk_index", "text", "heading", "legal_metadata"), F.struct("ingested_at", F.coalesce("text", F.lit("")))).alias("_c"))
     return last.select("chunk_id", "_c.*")
 
 
+def _mine(column: str):
+    """Every twentieth chunk, by its id."""
+    return F.conv(F.substring(column, -8, 8), 16, 10).cast("bigint") % 20 == 0
+
+
 def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embedding_records").filter("embedding_model = 'embed-compact-v2' and size(embedding) = 64").filter(~F.exists("embedding", lambda x: F.isnan(x) | x.isNull()))
-    return v.groupBy("chunk_id").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    return v.groupBy("chunk_id").agg(F.max_by("embedding", F.struct("created_at", "embedding")).alias("embedding"))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,13 +60,30 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     chunks = cut(stored_chunks(spark, sf_dir), "hybrid-chunks")
     vectors = cut(_chunk_vectors(spark, sf_dir).join(chunks.select("chunk_id"), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "id"), "hybrid-vectors")
     text = F.concat_ws(" ", "heading", "legal_metadata.document_title")
-    mine = F.conv(F.substring("chunk_id", -8, 8), 16, 10).cast("bigint") % 20 == 0
-    questions = cut(chunks.filter(mine).join(vectors.withColumnRenamed("id", "chunk_id"), "chunk_id").select(F.col("chunk_id").alias("query_id"), text.alias("question"), "embedding"), "hybrid-questions")
+    questions = cut(chunks.filter(_mine("chunk_id")).join(vectors.withColumnRenamed("id", "chunk_id"), "chunk_id").select(F.col("chunk_id").alias("query_id"), text.alias("question"), "embedding"), "hybrid-questions")
     dense = dense_search(questions, vectors, k=10)
     sparse = BM25Index.build(chunks, "chunk_id", "text").search(questions, text_col="question")
     return questions, chunks, fusion.weighted_rrf(dense, sparse)
 
 
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and BM25 hits of chunks fused."""
+    return _hybrid(spark, sf_dir)[2].select("query_id", "id", "dense_rank", "bm25_rank", "rrf_score", "fused_rank")
+
+
+def hybrid_rerank_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused budget passed on without a reranker."""
+    return fusion.passthrough(_hybrid(spark, sf_dir)[2]).select("query_id", "id", "rrf_score", "rerank_score", "final_rank")
+
+
+def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every stage for each query, and the chunks that the budget saved."""
+    questions, _, fused = _hybrid(spark, sf_dir)
+    fused = cut(fused, "trace-fused")
+    out = audit.trace(questions.select("query_id", "embedding"), fused, fusion.passthrough(fused))
+    return out.withColumn("dropped", F.array_join("dropped", ","))
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     questions, chunks, fused = _hybrid(spark, sf_dir)
     held = fusion.hydrate(fused.join(questions.select("query_id", "question"), "query_id"), chunks.select("chunk_id", "document_id", "chunk_index", "text"))
@@ -127,13 +125,28 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every twentieth vector all others of a cosine above 0.6."""
-    return scores(*_vectors(spark, sf_dir), above=0.6).filter("query_id <> id")
+    """For every twentieth chunk all others whose vectors have a cosine above 0.95."""
+    v = cut(_chunk_vectors(spark, sf_dir).withColumnRenamed("chunk_id", "id"), "near-vectors")
+    return scores(v.filter(_mine("id")).withColumnRenamed("id", "query_id"), v, above=0.95).filter("query_id <> id")
+
+
+def pruning_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What margin pruning of dense hits keeps and drops, by question."""
+    ranked = cut(dense_topk(spark, sf_dir).select("query_id", "id", F.col("score").alias("rerank_score"), F.col("rank").alias("final_rank")), "ranked")
+    return audit.pruning_trace(ranked, fusion.prune(ranked, 0.5, 3)).withColumn("dropped", F.array_join("dropped", ","))
+
+
+def provenance_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sub-queries found each chunk, and whether several did."""
+    q, v = _vectors(spark, sf_dir)
+    hits = dense_search(q, v, k=5).select(F.floor(F.col("query_id") / 80).alias("query_id"), (F.floor(F.col("query_id") / 20) % 4).cast("int").alias("sub_id"), "id", F.col("score").alias("rerank_score"))
+    out = audit.provenance_trace(fusion.merge_subqueries(hits))
+    return out.withColumn("all_subqueries", F.array_join(F.transform("all_subqueries", lambda x: x.cast("string")), ","))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_stats, bm25_topk, dense_topk, rrf_fusion, hybrid_rerank_passthrough, retrieval_trace, hybrid_search, neighbor_expand, multiquery_merge, margin_prune, context_budget, near_dup_cosine)
+    for f in (tokenize_stats, bm25_topk, dense_topk, rrf_fusion, hybrid_rerank_passthrough, retrieval_trace, hybrid_search, neighbor_expand, multiquery_merge, margin_prune, context_budget, near_dup_cosine, pruning_trace, provenance_trace)
 }
 
 
@@ -169,15 +182,13 @@ _TITLES = "SELECT doc_id AS query_id, title AS text FROM documents WHERE doc_id
 BM25 = "WITH " + bm25_sql("hits", "SELECT doc_id AS id, text FROM documents", _TITLES)
 _V, _Q = "SELECT vec_id AS id, embedding AS e FROM embeddings", "SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0"
 _DENSE = "WITH " + dense_sql("hits", _V, _Q)
-_HALF = dense_sql("half", "SELECT vec_id AS id, embedding[1:32] AS e FROM embeddings", "SELECT vec_id AS query_id, embedding[1:32] AS e FROM embeddings WHERE vec_id % 20 = 0")
-_RRF = _DENSE + "," + _HALF + "," + rrf_sql("fused", "hits", "half")
 STORED = """
     stored AS (SELECT chunk_id, document_id, chunk_index, text, heading, legal_metadata FROM chunks WHERE chunk_id IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1)"""
+        QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC, coalesce(text, '') DESC) = 1)"""
 _HYBRID = (
     f"WITH {STORED},"
     + """
-    vecs AS (SELECT chunk_id AS id, arg_max(embedding, created_at) AS e FROM embedding_records
+    vecs AS (SELECT chunk_id AS id, arg_max(embedding, (created_at, embedding)) AS e FROM embedding_records
         WHERE embedding_model = 'embed-compact-v2' AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
         AND chunk_id IN (SELECT chunk_id FROM stored) GROUP BY chunk_id),
     questions AS (SELECT chunk_id AS query_id, concat_ws(' ', heading, legal_metadata.document_title) AS text, e
@@ -197,12 +208,12 @@ SQL = {
     "tokenize_stats": "SELECT source, count(*) AS texts, sum(n)::BIGINT AS words, round(avg(n), 6) AS mean_words FROM (SELECT source, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS n FROM documents) GROUP BY source",
     "bm25_topk": BM25 + " SELECT query_id, id AS doc_id, score, rank FROM hits",
     "dense_topk": _DENSE + " SELECT * FROM hits",
-    "rrf_fusion": _RRF + " SELECT query_id, id, dense_rank, bm25_rank, rrf_score, fused_rank FROM fused",
-    "hybrid_rerank_passthrough": _RRF + " SELECT query_id, id, rrf_score, NULL::DOUBLE AS rerank_score, fused_rank AS final_rank FROM fused WHERE fused_rank <= 5",
-    "retrieval_trace": _RRF
+    "rrf_fusion": _HYBRID + " SELECT query_id, id, dense_rank, bm25_rank, rrf_score, fused_rank FROM fused",
+    "hybrid_rerank_passthrough": _HYBRID + " SELECT query_id, id, rrf_score, NULL::DOUBLE AS rerank_score, fused_rank AS final_rank FROM fused WHERE fused_rank <= 5",
+    "retrieval_trace": _HYBRID
     + """ SELECT query_id, 64 AS dimension, any_value(l) AS vector_norm, count(dense_rank) AS dense_hits, count(bm25_rank) AS bm25_hits, count(*) AS fused, least(count(*), 5) AS sent,
-        count(*) - least(count(*), 5) AS saved, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) FILTER (fused_rank > 5), '') AS dropped
-        FROM fused JOIN (SELECT vec_id AS query_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS l FROM embeddings) USING (query_id) GROUP BY query_id""",
+        count(*) - least(count(*), 5) AS saved, coalesce(string_agg(id, ',' ORDER BY id) FILTER (fused_rank > 5), '') AS dropped
+        FROM fused JOIN (SELECT query_id, round(sqrt(list_inner_product(e::DOUBLE[], e::DOUBLE[])), 6) AS l FROM questions) USING (query_id) GROUP BY query_id""",
     "hybrid_search": _HYBRID + " SELECT query_id, id AS chunk_id, dense_rank, bm25_rank, rrf_score, rerank_score, final_rank FROM final",
     "neighbor_expand": _HYBRID
     + """, own AS (SELECT query_id, document_id, chunk_index, min(final_rank) AS final_rank, arg_min(rerank_score, final_rank) AS rerank_score FROM final WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY ALL),
@@ -227,5 +238,14 @@ SQL = {
     "context_budget": BM25
     + """, u AS (SELECT query_id, id AS chunk_id, rank, sum(length(coalesce(text, ''))) OVER (PARTITION BY query_id ORDER BY rank) AS used_chars FROM hits JOIN documents ON doc_id = id)
     SELECT query_id, chunk_id, 'd' || rank AS label, used_chars::BIGINT AS used_chars FROM u WHERE rank = 1 OR used_chars <= 8000""",
-    "near_dup_cosine": f"SELECT query_id, id, score FROM (SELECT query_id, v.id, round(list_cosine_similarity(q.e::DOUBLE[], v.e::DOUBLE[]), 6) AS score FROM ({_Q}) q, ({_V}) v) WHERE score > 0.6 AND query_id <> id",
+    "near_dup_cosine": """WITH v AS (SELECT chunk_id AS id, arg_max(embedding, (created_at, embedding)) AS e FROM embedding_records
+        WHERE embedding_model = 'embed-compact-v2' AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY chunk_id)
+        SELECT query_id, id, score FROM (SELECT q.id AS query_id, v.id, round(coalesce(nullif(list_cosine_similarity(q.e::DOUBLE[], v.e::DOUBLE[]), 'nan'), 0), 6) AS score FROM v q, v WHERE ('0x' || right(q.id, 8))::BIGINT % 20 = 0 AND q.id <> v.id) WHERE score > 0.95""",
 }
+
+_PRUNED = SQL["margin_prune"].split(" SELECT query_id, id, rerank_score, final_rank FROM n WHERE")
+SQL["pruning_trace"] = (
+    f"{_PRUNED[0]}, kept AS (SELECT query_id, id FROM n WHERE{_PRUNED[1]})"
+    " SELECT query_id, count(*) AS before, count(k.id) AS after, coalesce(string_agg(h.id::VARCHAR, ',' ORDER BY h.rank) FILTER (k.id IS NULL), '') AS dropped FROM hits h LEFT JOIN kept k USING (query_id, id) GROUP BY query_id"
+)
+SQL["provenance_trace"] = SQL["multiquery_merge"].split(" SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined")[0] + " SELECT query_id, id, primary_subquery, all_subqueries, contains(all_subqueries, ',') AS shared FROM c"

@@ -47,8 +47,10 @@ def legal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of the latest date up to the end of 2020."""
-    return compliance.legal_filter(stored_chunks(spark, sf_dir), {"regulation": "act", "as_of_date": "2020-12-31"}).select("chunk_id", "document_id", "legal_metadata.effective_date")
+    """Of one kind of regulation the chunks of the latest date up to the end of each month."""
+    held = stored_chunks(spark, sf_dir).filter("legal_metadata is not null and contains(lower(legal_metadata.regulation), 'act')")
+    days = spark.sql("select explode(sequence(date'2015-01-31', date'2026-12-31', interval 1 month)) as day").select(F.last_day("day").alias("day"))
+    return compliance.as_of_days(held, days, F.col("legal_metadata.effective_date")).select("day", "chunk_id", "document_id", "legal_metadata.effective_date")
 
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +60,12 @@ def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which chunk of each provision is current and what supersedes the others."""
-    return compliance.supersede(_metadata(spark, sf_dir), ["regulation", "jurisdiction", "article", "section"]).select("chunk_id", "new_is_current", "new_superseded_by")
+    return compliance.supersede(_metadata(spark, sf_dir)).select("chunk_id", "new_is_current", "new_superseded_by")
 
 
 def supersession_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit event for each chunk that stopped being current."""
-    done = compliance.supersede(_metadata(spark, sf_dir), ["regulation", "jurisdiction", "article", "section"])
+    done = compliance.supersede(_metadata(spark, sf_dir))
     events = audit.supersession_events(done, F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
     return events.select("event_type", "status", "document_id", F.col("regulation_metadata")["superseded_by"].alias("superseded_by"))
 
@@ -86,13 +88,29 @@ def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compliance.route(q, meta, fused)
 
 
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured citations of the chunks that structured questions find, with scores by rank."""
+    hits = routed_search(spark, sf_dir)
+    chunks = table(spark, sf_dir, "chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct("document_id", "chunk_index", "text", "page", "legal_metadata"), F.struct("ingested_at", F.coalesce("text", F.lit("")))).alias("_c")).select("chunk_id", "_c.*")
+    ranked = hits.select("query_id", F.col("id").alias("chunk_id"), F.when(F.col("kind") == "structured", F.col("rrf_score")).alias("rerank_score")).join(chunks, "chunk_id")
+    titles = table(spark, sf_dir, "source_documents").groupBy("document_id").agg(F.min("source_path").alias("filename"))
+    c = compliance.citations(ranked, titles)
+    return c.select("query_id", "chunk_id", "document_id", "document_title", "confidence", "display", F.md5("chunk_text").alias("text_md5"), "regulation", "article", "clause", "effective_date", "page")
+
+
+def audit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and regulations behind the citations of every question, as its event records them."""
+    out = audit.answered(citations(spark, sf_dir))
+    return out.select("query_id", F.array_join("retrieved_document_ids", ",").alias("documents"), F.array_join("cited_regulations", ",").alias("regulations"))
+
+
 def citation_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How every chunk would be cited."""
     c = stored_chunks(spark, sf_dir).withColumn("page", F.lit(None).cast("int"))
     return c.select("chunk_id", compliance.citation_display(F.coalesce("document_id", F.lit("unknown")), F.col("chunk_index"), F.col("page"), F.col("legal_metadata")).alias("display"))
 
 
-QUERIES = {f.__name__: f for f in (route_classify, comparative_flag, legal_filter, as_of_date, supersession, supersession_events, wildcard_candidates, routed_search, citation_display)}
+QUERIES = {f.__name__: f for f in (route_classify, comparative_flag, legal_filter, as_of_date, supersession, supersession_events, wildcard_candidates, routed_search, citations, audit_fields, citation_display)}
 
 _ELABORATE = r"(?i)\b(explain|what|why|how|summarize|does|say|mean)\b"
 _QUESTIONS = """q AS (SELECT update_id AS query_id, CASE update_id % 5 WHEN 0 THEN 'Show ' || coalesce(article, section, 'the annex') WHEN 1 THEN 'What does ' || coalesce(section, article, 'the annex') || ' say?'
@@ -103,13 +121,17 @@ _META = f"""WITH {STORED}, m AS (SELECT chunk_id, document_id, legal_metadata.re
     legal_metadata.clause AS clause, legal_metadata.effective_date AS d, legal_metadata.is_current AS c, legal_metadata.superseded_by AS s FROM stored WHERE legal_metadata IS NOT NULL AND legal_metadata.regulation IS NOT NULL AND (legal_metadata.article IS NOT NULL OR legal_metadata.section IS NOT NULL))"""
 _SUPER = (
     _META
-    + """, w AS (SELECT regulation, jurisdiction, article, section, max(d) AS last, count(*) AS n, arg_max(document_id, d) AS any_ FROM m WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-    one AS (SELECT w.regulation, w.jurisdiction, w.article, w.section, min(m.document_id) AS doc FROM w JOIN m ON m.d = w.last AND m.regulation = w.regulation AND m.jurisdiction IS NOT DISTINCT FROM w.jurisdiction AND m.article IS NOT DISTINCT FROM w.article AND m.section IS NOT DISTINCT FROM w.section
-        GROUP BY ALL HAVING count(DISTINCT coalesce(m.document_id, '?')) = 1 AND min(m.document_id) IS NOT NULL),
-    done AS (SELECT m.*, CASE WHEN one.doc IS NOT NULL AND m.d IS NOT NULL THEN coalesce(m.document_id = one.doc, FALSE) ELSE m.c END AS new_is_current,
-        CASE WHEN one.doc IS NOT NULL AND m.d IS NOT NULL THEN CASE WHEN m.document_id = one.doc THEN NULL ELSE one.doc END ELSE m.s END AS new_superseded_by
-        FROM m LEFT JOIN one ON one.regulation = m.regulation AND one.jurisdiction IS NOT DISTINCT FROM m.jurisdiction AND one.article IS NOT DISTINCT FROM m.article AND one.section IS NOT DISTINCT FROM m.section)"""
-)
+    + """, i AS (SELECT regulation, authority, jurisdiction, article, section, clause, md5(concat_ws('|', coalesce(regulation, '-'), coalesce(authority, '-'), coalesce(jurisdiction, '-'), coalesce(article, '-'), coalesce(section, '-'), coalesce(clause, '-'))) AS key,
+        (regulation IS NULL)::INT + (authority IS NULL)::INT + (jurisdiction IS NULL)::INT + (article IS NULL)::INT + (section IS NULL)::INT + (clause IS NULL)::INT AS missing FROM (SELECT DISTINCT regulation, authority, jurisdiction, article, section, clause FROM m WHERE d IS NOT NULL)),
+    x AS (SELECT k.key, k.missing, r.key AS row FROM i k JOIN i r ON contains(lower(r.regulation), lower(k.regulation)) AND (k.authority IS NULL OR contains(lower(r.authority), lower(k.authority))) AND (k.jurisdiction IS NULL OR r.jurisdiction = k.jurisdiction)
+        AND (k.article IS NULL OR r.article = k.article) AND (k.section IS NULL OR r.section = k.section) AND (k.clause IS NULL OR r.clause = k.clause)),
+    n AS (SELECT m.*, i.key AS row FROM m LEFT JOIN i ON m.d IS NOT NULL AND i.regulation IS NOT DISTINCT FROM m.regulation AND i.authority IS NOT DISTINCT FROM m.authority AND i.jurisdiction IS NOT DISTINCT FROM m.jurisdiction AND i.article IS NOT DISTINCT FROM m.article AND i.section IS NOT DISTINCT FROM m.section AND i.clause IS NOT DISTINCT FROM m.clause),
+    g AS (SELECT key, any_value(missing) AS missing, max(d) AS last, count(*) AS rows FROM x JOIN n USING (row) GROUP BY key HAVING count(*) >= 2),
+    h AS (SELECT g.key, g.missing, min(n.document_id) AS doc FROM g JOIN x ON x.key = g.key JOIN n ON n.row = x.row AND n.d = g.last GROUP BY g.key, g.missing HAVING count(DISTINCT coalesce(n.document_id, '?')) = 1 AND min(n.document_id) IS NOT NULL),
+    one AS (SELECT x.row, arg_min(h.doc, (h.missing, ORDERKEY)) AS doc FROM x JOIN h ON h.key = x.key GROUP BY x.row),
+    done AS (SELECT n.*, CASE WHEN doc IS NOT NULL AND c IS DISTINCT FROM coalesce(document_id = doc, FALSE) THEN coalesce(document_id = doc, FALSE) ELSE c END AS new_is_current,
+        CASE WHEN doc IS NOT NULL AND c IS DISTINCT FROM coalesce(document_id = doc, FALSE) THEN CASE WHEN document_id = doc THEN NULL ELSE doc END ELSE s END AS new_superseded_by FROM n LEFT JOIN one USING (row))"""
+).replace("ORDERKEY", "h.key")
 SQL = {
     "route_classify": rf"""WITH {_QUESTIONS}, r AS (SELECT query_id, t, nullif(regexp_extract(t, '(?i)\bclause\s+([\d.]+(?:\([a-z]\))?)', 1), '') AS c, nullif(regexp_extract(t, '(?i)\barticle\s+(\d+[A-Za-z]?)', 1), '') AS a, nullif(regexp_extract(t, '(?i)\bsection\s+([\d.]+)', 1), '') AS s,
         list_filter({NAMES}, lambda x: contains(upper(t), x))[1] AS g, list_filter(['EU', 'INDIA', 'UK', 'US'], lambda x: regexp_matches(upper(t), '\b' || x || '\b'))[1] AS j FROM q)
@@ -117,8 +139,9 @@ SQL = {
         CASE WHEN c IS NOT NULL THEN 'clause=' || c WHEN a IS NOT NULL THEN 'article=' || a WHEN s IS NOT NULL THEN 'section=' || s WHEN g IS NOT NULL THEN 'regulation=' || g WHEN j IS NOT NULL THEN 'jurisdiction=' || j ELSE '' END AS filters FROM r""",
     "comparative_flag": rf"""WITH {_QUESTIONS} SELECT 'question' AS kind, query_id, regexp_matches(t, '(?i)\b({_COMPARE})\b') AS comparative FROM q UNION ALL SELECT 'document', doc_id, regexp_matches(text, '(?i)\b({_COMPARE})\b') FROM documents WHERE text IS NOT NULL""",
     "legal_filter": f"WITH {STORED} SELECT chunk_id, document_id, chunk_index FROM stored WHERE contains(lower(legal_metadata.regulation), 'data stewardship') AND legal_metadata.jurisdiction = 'EU' AND legal_metadata.is_current",
-    "as_of_date": f"""WITH {STORED}, f AS (SELECT chunk_id, document_id, legal_metadata.effective_date AS effective_date FROM stored WHERE contains(lower(legal_metadata.regulation), 'act') AND legal_metadata.effective_date <= DATE '2020-12-31')
-        SELECT * FROM f WHERE effective_date = (SELECT max(effective_date) FROM f)""",
+    "as_of_date": f"""WITH {STORED}, f AS (SELECT chunk_id, document_id, legal_metadata.effective_date AS effective_date FROM stored WHERE contains(lower(legal_metadata.regulation), 'act') AND legal_metadata.effective_date IS NOT NULL),
+        days AS (SELECT last_day(range::DATE) AS day FROM range(DATE '2015-01-01', DATE '2027-01-01', INTERVAL 1 MONTH)), l AS (SELECT day, max(effective_date) AS effective_date FROM days JOIN f ON effective_date <= day GROUP BY day)
+        SELECT day, chunk_id, document_id, effective_date FROM f JOIN l USING (effective_date)""",
     "supersession": _SUPER + " SELECT chunk_id, new_is_current, new_superseded_by FROM done",
     "supersession_events": _SUPER + " SELECT 'supersession' AS event_type, 'success' AS status, document_id, new_superseded_by AS superseded_by FROM done WHERE c AND NOT new_is_current",
     "wildcard_candidates": _META
@@ -146,3 +169,16 @@ _ROUTED = (
     UNION ALL SELECT query_id, id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT, kind FROM rest"""
 ).replace("\\\\", "\\")
 SQL["routed_search"] = _ROUTED
+SQL["citations"] = (
+    _ROUTED.split(" SELECT query_id, id, 1.0::DOUBLE AS rrf_score")[0]
+    + r""", hit AS (SELECT query_id, id, 1.0::DOUBLE AS score FROM named WHERE kind = 'structured' UNION ALL SELECT query_id, id, NULL FROM rest),
+    c AS (SELECT chunk_id, document_id, chunk_index, text, page, legal_metadata AS m FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC, coalesce(text, '') DESC) = 1),
+    f AS (SELECT document_id, min(source_path) AS filename FROM source_documents GROUP BY document_id),
+    j AS (SELECT hit.query_id, c.*, hit.score, coalesce(filename, c.document_id) AS t, coalesce(nullif(m.page, 0), nullif(c.page, 0)) AS pg, CASE WHEN contains(m.clause, '.') THEN substr(m.clause, instr(m.clause, '.') + 1) END AS tail FROM hit JOIN c ON c.chunk_id = hit.id LEFT JOIN f ON f.document_id = c.document_id)
+    SELECT query_id, chunk_id, document_id, CASE WHEN m IS NOT NULL THEN m.document_title ELSE t END AS document_title, coalesce(score, 0)::DOUBLE AS confidence,
+        CASE WHEN m IS NULL OR (m.regulation IS NULL AND m.article IS NULL) THEN t || coalesce(', p.' || nullif(page, 0), '') || ', chunk ' || chunk_index ELSE
+        concat_ws(' ', nullif(m.regulation, ''), CASE WHEN m.article <> '' THEN 'Art. ' || m.article || CASE WHEN tail IS NULL THEN '' WHEN instr(tail, '(') > 0 THEN '(' || substr(tail, 1, instr(tail, '(') - 1) || ')' || substr(tail, instr(tail, '(')) ELSE '(' || tail || ')' END
+        WHEN m.clause <> '' THEN 'Clause ' || m.clause END) || coalesce(', p.' || pg, '') END AS display, md5(text) AS text_md5, m.regulation AS regulation, m.article AS article, m.clause AS clause, m.effective_date AS effective_date, coalesce(nullif(m.page, 0), page) AS page FROM j"""
+)
+_CITED = SQL["citations"].replace("    SELECT query_id, chunk_id, document_id, CASE WHEN m IS NOT NULL", "    cites AS (SELECT query_id, chunk_id, document_id, CASE WHEN m IS NOT NULL").replace("AND c.legal", "AND c.legal")
+SQL["audit_fields"] = _CITED.replace(" AS tail FROM hit JOIN c ON c.chunk_id = hit.id LEFT JOIN f ON f.document_id = c.document_id)", " AS tail FROM hit JOIN c ON c.chunk_id = hit.id LEFT JOIN f ON f.document_id = c.document_id),") + ") SELECT query_id, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS documents, coalesce(string_agg(DISTINCT nullif(regulation, ''), ',' ORDER BY nullif(regulation, '')), '') AS regulations FROM cites GROUP BY query_id"

@@ -11,17 +11,19 @@ from ..operators import audit, snapshot
 from ..operators.chunking import chunk_recursive
 from ..session import shared_dir, table
 from ..streaming import ingest_stream, limited, sessions
+from .documents import SQL as DOCUMENT_SQL
 from .retrieval import STORED, stored_chunks
 
 
 def doc_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and first time of indexing of every document."""
-    return snapshot.document_summaries(table(spark, sf_dir, "chunks").filter("document_id is not null"))
+    return snapshot.document_summaries(table(spark, sf_dir, "chunks").filter("document_id is not null"), paths=table(spark, sf_dir, "source_documents"))
 
 
 def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and chunks by strategy."""
-    return table(spark, sf_dir, "chunks").groupBy("strategy_version").agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("chunk_id").alias("chunks"))
+    c = table(spark, sf_dir, "chunks").filter("chunk_id is not null").select("strategy_version", "document_id", "chunk_id").distinct()
+    return snapshot.totals(c.groupBy("strategy_version", "document_id").agg(F.count("*").alias("chunk_count")), ["strategy_version"])
 
 
 def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of a month's errors, newest first."""
     e = audit.select(table(spark, sf_dir, "events"), {"event_type": "error"}, "2024-01-02 00:00:00", "2024-01-20 00:00:00", time="ts")
-    return audit.page(e, 100, 50, time="ts").select("event_id", "ts", "user_id")
+    return audit.page_with_total(e, 100, 50, time="ts").select("event_id", "ts", "user_id", "total")
 
 
 def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +95,17 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that land in two files, chunked and indexed batch by batch; the store's final chunks."""
+    """Documents that land in two files, and once more under other paths with every other content changed, chunked and
+    indexed batch by batch; the store's final chunks."""
     at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "source_documents").filter("content is not null").dropDuplicates(["source_path"]).select("document_id", "source_path", "content", "format")
-    docs.repartition(2, "source_path").write.parquet(f"{at}/landing")
+    docs = table(spark, sf_dir, "source_documents").filter("content is not null").select("document_id", "source_path", "content", "format").distinct()
+    docs.coalesce(1).write.parquet(f"{at}/landing")
     store = snapshot.ChunkStore(spark, f"{at}/store")
     ingest_stream(spark, f"{at}/landing", store, f"{at}/checkpoint", chunk_recursive).awaitTermination()
-    return store.chunks().select("chunk_id", "document_id", "chunk_index", "char_count")
+    changed = F.when(F.substring("document_id", 1, 1) < "8", F.concat(F.lit("Changed.\n\n"), "content")).otherwise(F.col("content"))
+    docs.withColumn("content", changed).coalesce(1).write.mode("append").parquet(f"{at}/landing")
+    ingest_stream(spark, f"{at}/landing", store, f"{at}/checkpoint", chunk_recursive).awaitTermination()
+    return store.chunks().select("document_id", "chunk_index", "heading", "text")
 
 
 def store_round(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +122,13 @@ def store_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (doc_summaries, corpus_totals, document_detail, index_drift, resume_anti, change_detect, audit_query, audit_counters, audit_by_day, rate_limit, rate_limit_stream, session_stream, stream_ingest, store_round)}
 SQL = {
-    "doc_summaries": "SELECT document_id, count(*) AS chunk_count, min(ingested_at) AS indexed_at FROM chunks WHERE document_id IS NOT NULL GROUP BY document_id",
-    "corpus_totals": "SELECT strategy_version, count(DISTINCT document_id) AS documents, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY strategy_version",
+    "doc_summaries": "SELECT c.*, source_path FROM (SELECT document_id, count(*) AS chunk_count, min(ingested_at) AS indexed_at FROM chunks WHERE document_id IS NOT NULL GROUP BY document_id) c LEFT JOIN (SELECT document_id, min(source_path) AS source_path FROM source_documents GROUP BY document_id) USING (document_id)",
+    "corpus_totals": "SELECT strategy_version, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM (SELECT DISTINCT strategy_version, document_id, chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY strategy_version",
     "index_drift": """SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, CASE WHEN b.chunk_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) a
         FULL JOIN (SELECT DISTINCT chunk_id FROM embedding_records WHERE chunk_id IS NOT NULL) b ON a.chunk_id = b.chunk_id WHERE a.chunk_id IS NULL OR b.chunk_id IS NULL""",
     "resume_anti": "SELECT DISTINCT document_id, source_path FROM source_documents WHERE document_id NOT IN (SELECT document_id FROM chunks WHERE document_id IS NOT NULL)",
     "change_detect": "SELECT DISTINCT source_path, CASE WHEN format NOT IN ('markdown', 'text') THEN 'new' WHEN document_id[1] < '8' THEN 'changed' ELSE 'unchanged' END AS state FROM source_documents",
-    "audit_query": "SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100",
+    "audit_query": "SELECT event_id, ts, user_id, count(*) OVER () AS total FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100",
     "audit_counters": "SELECT event_type, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status, count(*) AS n, round(avg(value), 2) AS mean_ms FROM events GROUP BY event_type",
     "audit_by_day": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events WHERE ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY ALL",
     "rate_limit": "SELECT event_id, user_id, date_trunc('minute', ts) AS minute FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) > 1",
@@ -135,3 +141,8 @@ SQL["session_stream"] = """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts
     SELECT user_id, min(ts) AS "start", (max(ts) + INTERVAL 30 MINUTE) AS "end", count(*) AS events FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
 SQL["document_detail"] = f"""WITH {STORED}, f AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS n, count(*) OVER (PARTITION BY document_id) AS chunk_count FROM stored WHERE document_id IS NOT NULL)
     SELECT document_id, chunk_count, legal_metadata.regulation AS regulation, md5(substr(text, 1, 1000)) AS preview_md5 FROM f WHERE n = 1"""
+#: The sections of contents as they are at the end, by the SQL of the chunker.
+_LAST = "WITH d AS (SELECT DISTINCT sha256(c) AS document_id, c AS content FROM (SELECT CASE WHEN document_id[1] < '8' THEN 'Changed.' || chr(10) || chr(10) || content ELSE content END AS c FROM source_documents WHERE content IS NOT NULL)),"
+SQL["stream_ingest"] = _LAST + DOCUMENT_SQL["chunk_recursive"].split("WHERE content IS NOT NULL),", 1)[1]
+SQL["store_round"] = f"""WITH {STORED}, s AS (SELECT * FROM stored WHERE document_id IS NOT NULL), g AS (SELECT min(document_id) AS gone FROM s)
+    SELECT document_id, count(*) AS chunks, 0::BIGINT AS current, sum(CASE WHEN legal_metadata.superseded_by = 'next' OR legal_metadata.is_current THEN 1 WHEN legal_metadata.superseded_by IS NOT NULL THEN 0 END)::BIGINT AS superseded FROM s, g WHERE document_id <> gone GROUP BY document_id"""

@@ -72,6 +72,12 @@ def discard(df: DataFrame) -> None:
     _cuts.get(df.sparkSession.sparkContext.applicationId, [path]).remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver look for what nothing refers to any more, so that shuffle files of finished jobs are deleted now and
+    not when its memory is short; for loops that write much."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, all folders that ``cut`` wrote within: results must have been written elsewhere by then."""

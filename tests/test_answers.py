@@ -56,7 +56,7 @@ def test_budget_and_layout(spark):
     assert texts[1].startswith("[d1]\n" + "x" * 50 + "\n\n[d2]\n")
     grouped = got.withColumn("primary_subquery", (F.col("position") + 1) % 2).withColumn("sub_text", F.concat(F.lit("q"), "primary_subquery"))
     text = {r.query_id: r.context for r in answer.context_text(grouped, grouped=True).collect()}[1]
-    assert text.index("Evidence for subquery 1") < text.index("[d1]") < text.index("[d3]") < text.index("Evidence for subquery 2") < text.index("[d2]")
+    assert text.index("Passages for part 1") < text.index("[d1]") < text.index("[d3]") < text.index("Passages for part 2") < text.index("[d2]")
 
 
 def test_prompt_takes_text_as_data(spark):
