@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, discard, shared_dir
+from ..session import cut, discard, release, shared_dir
 from . import codepoints as cp
 from . import likeness as lk
 from .neardup import BUCKET_ROWS, components, distinct, pairs_within, unseen
 
-THRESHOLD, TREES, RECALL = 0.70, 40, 0.99
+THRESHOLD, TREES, RECALL = 0.70, 37, 0.99
 DEEPER = 3  # values of a label beyond the widest prefix
-MERGE_AFTER = 12  # runs
+MERGE_AFTER, MERGE_SHARE = 48, 0.5  # runs, or the share of texts that came since the last merge, after which all are merged
 PLACES, HOT = 1 << 20, 200_000  # places of the counts of prefixes; labels of one place in one bucket, about, at most
 ROUNDS, COMPONENT = 6, 500_000  # of decisions before components are looked for; links of a component that one task decides
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (2,))])
@@ -126,7 +126,7 @@ class HashForest:
     def create(cls, spark: SparkSession, path: str, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, rows: int = 0) -> HashForest:
         """An empty forest. ``rows``: about how many texts it will hold, for the number of buckets; merging adapts it."""
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-        state = {"threshold": threshold, "trees": trees, "recall": recall, "buckets": buckets, "labels": f"labels_{uuid.uuid4().hex}", "rows": [], "hot": [], "texts": 0, "counted": 0, "runs": 0, "version": 0}
+        state = {"threshold": threshold, "trees": trees, "recall": recall, "buckets": buckets, "labels": f"labels_{uuid.uuid4().hex}", "rows": [], "hot": [], "texts": 0, "counted": 0, "merged": 0, "runs": 0, "version": 0}
         out = cls(spark, path, state)
         out._commit()
         return out
@@ -234,8 +234,12 @@ class HashForest:
         self.state["texts"] += added
         self.state["runs"] += 1
         self._commit()
-        if self.state["runs"] > MERGE_AFTER or (self.state["texts"] > 2 * self.state["counted"] and self._recount()):
+        late = self.state["texts"] - self.state["merged"]
+        if self.state["runs"] > MERGE_AFTER or (self.state["merged"] and late > MERGE_SHARE * self.state["merged"]) or (self.state["texts"] > 2 * self.state["counted"] and self._recount()):
             self.merge()
+        elif not self.state["merged"]:
+            self.state["merged"] = self.state["texts"]
+        release(self.spark)
 
     def _write(self, packed: DataFrame) -> None:
         self._table()
@@ -281,7 +285,7 @@ class HashForest:
             return pa.table({"bucket": t["bucket"].slice(0, 1), "entries": pa.array([e.tobytes()], pa.binary()), "labels": pa.array([s.tobytes()], pa.binary())})
 
         self._write(old.mapInArrow(again, PACKED).groupBy("bucket").applyInArrow(one, PACKED))
-        self.state["runs"] = 1 if self.state["runs"] else 0
+        self.state["runs"], self.state["merged"] = (1 if self.state["runs"] else 0), self.state["texts"]
         self._commit()
         self.spark.sql(f"DROP TABLE {gone}")  # its files stay where a late reader may need them
 
@@ -318,7 +322,9 @@ class HashForest:
         bitmap = lk.key_bitmap(apart.select(F.explode(F.array("_a", "_b")).alias("_key")))
         features = lk.feature_rows(self.accepted().unionByName(signed.select("_key", "_n", "_features")), bitmap)
         links = lk.verified(apart.select("_a", "_b").distinct(), features, self.labels.threshold).select("_a", "_b").join(apart, ["_a", "_b"])
-        return links.unionByName(pairs.filter("_a = _b and _stored"))
+        out = cut(links.unionByName(pairs.filter("_a = _b and _stored")), "forest-links")
+        discard(pairs)
+        return out
 
     def accepted(self) -> DataFrame:
         """(_key, _n, _features) of the accepted texts."""
@@ -446,10 +452,12 @@ def repeated_in(forest: HashForest, signed: DataFrame) -> DataFrame:
     an accepted earlier arrival of the batch. The forest stays as it is."""
     members = signed.select("_no", "_key").distinct()
     classes = members.groupBy("_key").agg(F.min("_no").alias("_first"))
-    links = cut(forest.search(signed), "forest-links")
+    links = forest.search(signed)
     found = resolve(classes, links.filter("_stored").select(F.col("_a").alias("_key")), links.filter("not _stored").select("_a", "_b"))
     again = members.join(classes, "_key").filter("_no > _first").select("_no")
-    return cut(members.join(found, "_key", "left_semi").select("_no").unionByName(again).distinct(), "batch-found")
+    out = cut(members.join(found, "_key", "left_semi").select("_no").unionByName(again).distinct(), "batch-found")
+    discard(links)
+    return out
 
 
 def add_batch(forest: HashForest, signed: DataFrame) -> DataFrame:
@@ -474,7 +482,7 @@ def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "
     forest.accept(lk.text_rows(history.select(F.col(text_col).alias("_text")), [], "_text"))
     usable = arrivals.filter(F.col(order_col).isNotNull())
     fresh = usable.select(F.col(order_col).alias("_no"), F.col(text_col).alias("_text"))
-    came = cut(forest.signed(lk.text_rows(fresh, ["_no"], "_text")), "arrivals-signed")
+    came = cut(lk.text_rows(fresh, ["_no"], "_text"), "arrivals")
     firsts = [None] if batch_col is None else sorted(r["_f"] for r in usable.groupBy(batch_col).agg(F.min(order_col).alias("_f")).collect())  # a row per batch
     found = []
     for begin, end in zip(firsts, [*firsts[1:], None], strict=True):
@@ -483,6 +491,8 @@ def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "
             batch = batch.filter(F.col("_no") >= begin)
         if end is not None:
             batch = batch.filter(F.col("_no") < end)
+        batch = cut(forest.signed(batch), "batch-signed")
         found.append(add_batch(forest, batch) if end is not None else repeated_in(forest, batch))
+        discard(batch)
     out = _union(found) if found else came.select("_no").limit(0)
     return out.withColumnRenamed("_no", order_col)

@@ -44,7 +44,7 @@ def test_batches_one_after_the_other(spark):
     arrivals = [(i, i // 30, t) for i, t in enumerate(texts[1::2])] + [(3, 0, texts[7]), (90, 3, None)]
     h = spark.createDataFrame([(t,) for t in texts[::8]], "text string")
     a = spark.createDataFrame(arrivals, "arrival_no bigint, batch_no int, text string")
-    with mock.patch.object(forest, "MERGE_AFTER", 2):
+    with mock.patch.object(forest, "MERGE_AFTER", 2), mock.patch.object(forest, "MERGE_SHARE", 9):
         got = {r.arrival_no for r in forest.repeated_arrivals(h, a, batch_col="batch_no").collect()}
     assert got == brute(texts[::8], [(n, t) for n, _, t in arrivals])
 
