@@ -129,9 +129,9 @@ def parsed_subqueries(raw: pd.Series, question: pd.Series) -> pd.Series:
 # ---- quotes and verdicts
 
 
-def longest_run(a: Column, b: Column) -> Column:
-    """Length of the longest run of characters that two texts share, as an expression: whether a run of some length is
-    shared can be told for every length, and the longest is found by halving."""
+def longest_run(a: Column, b: Column, least: Column | None = None) -> Column:
+    """Length of the longest run of characters that two texts share, 0 if it is shorter than ``least``; as an expression:
+    whether a run of some length is shared can be told for every length, and the longest is found by halving."""
     n = F.length(a)
 
     def shared(size: Column) -> Column:
@@ -143,14 +143,16 @@ def longest_run(a: Column, b: Column) -> Column:
         return F.struct(F.when(hit, middle).otherwise(s["lo"]).alias("lo"), F.when(hit | (s["lo"] >= s["hi"]), s["hi"]).otherwise(middle - 1).alias("hi"))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2((n + 1).cast("double"))).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.least(n, F.length(b)).alias("hi")), halve, lambda s: s["lo"])
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.least(n, F.length(b)).alias("hi")), halve, lambda s: s["lo"])
+    return found if least is None else F.when(shared(F.greatest(least, F.lit(1))), found).otherwise(0)
 
 
-def containment_score(quote: Column, text: Column) -> Column:
-    """Length of the longest common run of quote and text (white space collapsed) by the quote's length; 0 for an empty quote."""
+def containment_score(quote: Column, text: Column, least: float = 0.0) -> Column:
+    """Length of the longest common run of quote and text (white space collapsed) by the quote's length; 0 for an empty
+    quote, and for a share below ``least``, which costs less to tell."""
     both = F.struct(collapse(F.coalesce(quote, F.lit(""))).alias("q"), collapse(F.coalesce(text, F.lit(""))).alias("t"))
     # as a lambda's variable the collapsed texts are computed once, not for each comparison
-    share = lambda s: F.when(s["q"] == "", 0.0).when(F.contains(s["t"], s["q"]), 1.0).otherwise(longest_run(s["q"], s["t"]) / F.length(s["q"]))
+    share = lambda s: F.when(s["q"] == "", 0.0).when(F.contains(s["t"], s["q"]), 1.0).otherwise(longest_run(s["q"], s["t"], F.ceil(F.length(s["q"]) * least - 1e-9).cast("int") if least else None) / F.length(s["q"]))
     return F.element_at(F.transform(F.array(both), share), 1)
 
 
@@ -201,9 +203,12 @@ def verify_claims(claims: DataFrame, context: DataFrame, score=containment_score
     c = claims.select("query_id", "claim_no", F.coalesce("citation_ids", F.array().cast("array<string>")).alias("_ids"), F.coalesce("supporting_quote", F.lit("")).alias("_quote"))
     ctx = context.select("query_id", "label", "text")
     every = ctx.groupBy("query_id").agg(F.collect_set("label").alias("_labels"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.length("label").alias("n"), "label", "text"))), lambda s: s["text"]), " ").alias("_whole"))
+    other = (lambda q, t: containment_score(q, t, threshold)) if score is containment_score else score  # of texts that aren't cited only a good score counts
     base = c.join(every, "query_id", "left").withColumn("doc_ids_valid", F.size(F.array_except("_ids", F.coalesce("_labels", F.array().cast("array<string>")))) == 0)
-    pairs = base.select("query_id", "claim_no", "_ids", "_quote").join(ctx, "query_id").withColumn("_cited", F.array_contains("_ids", F.col("label"))).withColumn("_s", F.round(score(F.col("_quote"), F.col("text")), 6))
-    best = pairs.groupBy("query_id", "claim_no").agg(F.max(F.when(F.col("_cited"), F.col("_s"))).alias("_own"), F.max(F.when(~F.col("_cited"), F.col("_s"))).alias("_other"))
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # scores cost more than their few rows let on
+    pairs = base.select("query_id", "claim_no", "_ids", "_quote").join(ctx, "query_id").repartition(parts, "query_id", "claim_no").withColumn("_cited", F.array_contains("_ids", F.col("label")))
+    own = F.round(F.max(F.when(F.col("_cited"), score(F.col("_quote"), F.col("text")))), 6)
+    best = pairs.groupBy("query_id", "claim_no").agg(own.alias("_own"), F.round(F.max(F.when(~F.col("_cited"), other(F.col("_quote"), F.col("text")))), 6).alias("_other"))
     marked = has_citation_mark(F.col("_quote")) & (F.col("_quote") != "")
     joined = base.join(best, ["query_id", "claim_no"], "left").withColumn("_own", F.coalesce("_own", F.lit(0.0))).withColumn("_other", F.coalesce("_other", F.lit(0.0)))
     own = F.when(F.col("doc_ids_valid") & ~marked, F.col("_own")).otherwise(0.0)
@@ -213,7 +218,7 @@ def verify_claims(claims: DataFrame, context: DataFrame, score=containment_score
         .when(marked, "quote_contains_citation_marker")
         .when(passed, F.lit(None))
         .when((F.col("_other") >= threshold) & (F.col("_other") > F.col("_own")), "citation_reattribution_candidate")
-        .when(score(F.col("_quote"), F.col("_whole")) >= threshold, "quote_spans_multiple_chunks")
+        .when(other(F.col("_quote"), F.col("_whole")) >= threshold, "quote_spans_multiple_chunks")
         .otherwise("quote_not_found")
     )
     return joined.select("query_id", "claim_no", "doc_ids_valid", own.alias("quote_match_score"), passed.alias("passed"), reason.alias("failure_reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chunk_key, cosine, sentences, strip
+from ..session import cut
 
 MAX_CHUNK_CHARS = 6000
 #: Document types that the clause chunker takes; all others get the default one.
@@ -65,10 +66,21 @@ def chunk_recursive(df: DataFrame, size: int = 500, overlap: int = 150, id_col:
 
 
 def islands(df: DataFrame, key: str, order: str, vector: str, threshold: float = 0.5) -> DataFrame:
-    """Adds `island`: the number (from 0) of the run of neighbours within a key whose cosine to the one before is at least the threshold."""
-    w = W.partitionBy(key).orderBy(order)
-    new = F.coalesce((F.round(cosine(F.lag(vector).over(w), F.col(vector)), 6) < threshold).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
+    """Adds `island`: the number (from 0) of the run of neighbours within a key whose cosine to the one before is at least the threshold.
+
+    Keys may be few and large: rows are first sorted as a whole into ranges of (key, order), and runs are numbered within a
+    range; the few numbers of a range (its first and last row of each key, and how many runs begin) join ranges together."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, key, order).sortWithinPartitions(key, order).withColumn("_range", F.spark_partition_id()), "islands")
+    inside = W.partitionBy(key, "_range").orderBy(order)
+    apart = lambda a, b: (F.round(cosine(a, b), 6) < threshold).cast("int")
+    local = ranged.withColumn("_new", F.coalesce(apart(F.lag(vector).over(inside), F.col(vector)), F.lit(0)))
+    ends = local.groupBy(key, "_range").agg(F.sum("_new").alias("_n"), F.min_by(vector, order).alias("_first"), F.max_by(vector, order).alias("_last"))
+    across = W.partitionBy(key).orderBy("_range")  # at most a row per range and key
+    starts = ends.withColumn("_join", F.coalesce(apart(F.lag("_last").over(across), F.col("_first")), F.lit(0)))
+    base = starts.withColumn("_base", F.sum("_join").over(across.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col(key).alias("_k"), F.col("_range").alias("_r"), "_base")
+    joined = local.join(base, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("island", (F.col("_base") + F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))).cast("int")).select(*df.columns, "island")
 
 
 def chunk_semantic(df: DataFrame, embed, threshold: float = 0.5, id_col: str = "document_id", text_col: str = "content") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.udf import lazy_pandas_udf
 from ..session import cut
-from .dense import scores
+from .dense import scores, scores_within
 
 COSINE, RATIO = 0.95, 0.9
 
@@ -56,9 +56,9 @@ def similar_to_store(new: DataFrame, store: DataFrame, cosine_above: float = COS
 def repeats_within(new: DataFrame, cosine_above: float = COSINE, ratio_above: float = RATIO, model_col: str | None = None) -> DataFrame:
     """(chunk_id) of chunks that repeat an earlier surviving chunk of their document (by chunk_index).
 
-    Pairs are found as in similar_to_store; the greedy choice then streams through each document's pairs, sorted by the
+    Only vectors of one document, and of one model, are compared; the greedy choice then streams through each document's pairs, sorted by the
     later chunk, and remembers the dropped ones alone."""
-    near = near_vectors(new, new, cosine_above, model_col)
+    near = scores_within(new, ["document_id", *([model_col] if model_col else [])], cosine_above, "chunk_index", "chunk_id").toDF("query_id", "id").distinct()
     own = _texts(new, ["chunk_id", "document_id", "chunk_index", "text"], model_col)
     a = own.toDF("query_id", "_d", "_i", "_a")
     b = own.toDF("id", "_e", "_j", "_b")

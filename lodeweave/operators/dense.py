@@ -59,6 +59,30 @@ def scores(queries: DataFrame, vectors: DataFrame, query_id: str = "query_id", i
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(product, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
+def scores_within(vectors: DataFrame, group: list[str], above: float, order_col: str, id_col: str = "id", vector_col: str = "embedding", block: int = 4_000) -> DataFrame:
+    """(later, earlier) ids of pairs within a group whose cosine (of six decimals) is greater, the later one by order, then id.
+    Only vectors of one group meet. A group is cut into blocks of about ``block`` vectors, each pair of blocks is a task's
+    matrix product, and a block is sent to the pairs it is in."""
+    v = vectors.filter(F.col(vector_col).isNotNull()).select(*group, F.col(id_col).alias("_i"), F.col(order_col).alias("_o"), F.col(vector_col).alias("_v"))
+    sizes = v.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    dealt = v.join(sizes, group).withColumn("_p", F.pmod(F.xxhash64("_i"), F.col("_parts")).cast("int"))
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda x: F.struct(F.least("_p", x).alias("a"), F.greatest("_p", x).alias("b"))))
+    rows = dealt.withColumn("_m", met).select(*group, "_m.a", "_m.b", "_p", "_i", "_o", "_v")
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def product(t: pa.Table) -> pa.Table:
+        a, b = t["a"][0].as_py(), t["b"][0].as_py()
+        part = t["_p"].to_numpy()
+        left, right = t.filter(pa.array(part == a)), t.filter(pa.array(part == b))
+        m = np.round(_matrix(left["_v"]) @ _matrix(right["_v"]).T, 6)
+        i, j = np.nonzero(m > above)
+        keys = [list(zip(x["_o"].to_pylist(), x["_i"].to_pylist(), strict=True)) for x in (left, right)]
+        pairs = {tuple(sorted((keys[0][x], keys[1][y]), key=lambda k: (k[0] is not None, k))) for x, y in zip(i.tolist(), j.tolist(), strict=True) if keys[0][x] != keys[1][y]} if len(i) else set()
+        return pa.table({"later": pa.array([p[1][1] for p in pairs], t.schema.field("_i").type), "earlier": pa.array([p[0][1] for p in pairs], t.schema.field("_i").type)})
+
+    return rows.groupBy(*group, "a", "b").applyInArrow(product, f"later {kind}, earlier {kind}")
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k most similar vectors of each query by cosine; ties by id."""
     return top(scores(queries, vectors, query_id, id_col, vector_col, k=k), "query_id", "id", k)

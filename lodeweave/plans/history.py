@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.history import believed, current_versions, ledger
@@ -25,6 +26,14 @@ def p3_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_versions(p3_ledger(spark, sf_dir))
 
 
+def p3_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every version of a provision, whether its beliefs follow each other in recorded time, one at a time, the last still open."""
+    w = W.partitionBy("provision_id", "version").orderBy("recorded_from")
+    book = p3_ledger(spark, sf_dir).withColumn("_next", F.lead("recorded_from").over(w))
+    good = (F.col("recorded_to").isNull() & F.col("_next").isNull()) | (F.col("recorded_to") <= F.col("_next"))
+    return book.groupBy("provision_id", "version").agg(F.bool_and(good & (F.col("valid_from") < F.col("valid_to"))).alias("in_order"), F.sum(F.col("recorded_to").isNull().cast("int")).alias("open_rows"))
+
+
 _FOUND = """
     WITH rows AS (
         SELECT provision_id, regexp_extract(version, '(\\d+(?:\\.\\d+)*)', 1) AS version, effective_date, recorded_at, update_id, action, document_id
@@ -40,8 +49,9 @@ _FOUND = """
             coalesce((SELECT min(day) FROM edges e WHERE e.provision_id = s.provision_id AND e.day > s.valid_from), DATE '9999-12-31') AS valid_to
         FROM starts s)
 """
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p3_current": p3_current}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p3_current": p3_current, "p3_checked": p3_checked}
 SQL = {
+    "p3_checked": _FOUND + "SELECT provision_id, version, TRUE AS in_order, 1::BIGINT AS open_rows FROM periods",
     "p3_found": _FOUND + "SELECT provision_id, version, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to FROM periods",
     "p3_current": _FOUND
     + """, nexts AS (SELECT provision_id, valid_from, max(version) AS version, arg_max(document_id, version) AS document_id FROM periods GROUP BY ALL)
