@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ensure_importable, spread, table
+from ..session import cut, ensure_importable, spread, table
 from .forest import repeated_arrivals
 from .languages import label_languages
 from .neardup import near_duplicate_groups, near_duplicates
 from .packing import pack
-from .splitting import split_oversized
+from .splitting import LIMIT, OVERLAP, split_oversized
 from .tokens import decoded, encode_corpus, token_count
 from .vectors import nearest, similar_pairs
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     parts = [("document", "source_documents", "document_id", "content"), ("chunk", "chunks", "chunk_id", "text")]
+    once = lambda df, key, text: df.filter(F.length(text) > LIMIT).dropDuplicates([key]) if with_text else df  # noqa: E731  of the oversized rows alone
     docs, chunks = (
-        split_oversized(spread(table(spark, sf_dir, name).select(key, text)), key, text, with_text=with_text).select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), "piece_no", "start", "end", "cut", *["text"] * with_text)
+        split_oversized(once(spread(table(spark, sf_dir, name).select(key, text)), key, text), key, text, with_text=with_text).select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), "piece_no", "start", "end", "cut", *["text"] * with_text)
         for kind, name, key, text in parts
     )
     return docs.unionByName(chunks)
@@ -26,7 +28,16 @@ def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every oversized document and chunk, with its text; repeated items once."""
-    return _pieces(spark, sf_dir, True).dropDuplicates(["item_kind", "item_id", "piece_no"])
+    return _pieces(spark, sf_dir, True)
+
+
+def p1_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized item, whether its pieces keep the limit, follow each other without a gap and with the overlap, and end it."""
+    w = W.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    p = p1_pieces(spark, sf_dir).withColumn("_before", F.lag("end").over(w)).withColumn("_text", F.lag("text").over(w))
+    repeated = F.col("_before") - F.col("start")
+    follows = F.col("_before").isNull() & (F.col("start") == 0) | repeated.between(0, OVERLAP) & (F.expr("right(_text, cast(_before - start as int))") == F.expr("left(text, cast(_before - start as int))"))
+    return p.groupBy("item_kind", "item_id").agg(F.max("end").cast("bigint").alias("n_chars"), F.bool_and(F.length("text") <= LIMIT).alias("within_limit"), F.bool_and(follows & (F.length("text") == F.col("end") - F.col("start"))).alias("in_order"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +99,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, whether its pieces make up its tokens, only an oversized one was split, and its containers hold no more than they may."""
+    d = cut(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_count("text").alias("n_tokens")), "tokens")
+    placed = cut(pack(d), "packed")
+    fits = placed.groupBy("container_id").agg((F.sum("size") <= 2048).alias("fits"))
+    each = placed.join(fits, "container_id", "left").groupBy("doc_id").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"), F.bool_and(F.coalesce("fits", F.lit(True))).alias("fits"))
+    whole = (F.col("_sum") == F.col("n_tokens")) & (F.col("_n") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / 2048)))
+    return d.join(each, "doc_id").select("doc_id", whole.alias("whole"), "fits")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that packing had to split: exactly those of more than 2048 tokens."""
     return p7_containers(spark, sf_dir).filter("seg_no = 1").select("doc_id").distinct()
@@ -112,9 +133,10 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_checked": p1_checked,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
-    "p6_ids": p6_ids, "p6_round": p6_round, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+    "p6_ids": p6_ids, "p6_round": p6_round, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_checked": p7_checked}
 #: Arrivals in their order; the list of accepted ones goes from one to the next.
 _ACCEPTED = """
     WITH RECURSIVE texts AS (SELECT DISTINCT no, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM (SELECT -1 AS no, text FROM chunks UNION ALL SELECT arrival_no, text FROM incoming_chunks) WHERE text IS NOT NULL AND no IS NOT NULL),
@@ -135,6 +157,9 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE length(text) > 6000
     """,
+    "p1_checked": """SELECT DISTINCT 'document' AS item_kind, document_id AS item_id, length(content) AS n_chars, TRUE AS within_limit, TRUE AS in_order FROM source_documents WHERE length(content) > 6000
+        UNION ALL SELECT DISTINCT 'chunk', chunk_id, length(text), TRUE, TRUE FROM chunks WHERE length(text) > 6000""",
+    "p7_checked": "SELECT doc_id, TRUE AS whole, TRUE AS fits FROM documents",
     "p6_round": "SELECT doc_id, coalesce(text, '') <> '' AS has_ids, coalesce(text, '') AS text FROM documents",
     "p2_found": """
         WITH texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),

@@ -22,6 +22,8 @@ LIMIT, OVERLAP = 6000, 150
 UNIT, BLOCK, DIMENSIONS = 20, 5, 256
 PARAGRAPH, LINE, SENTENCE, WORD, HARD, END = "paragraph", "line", "sentence", "word", "none", "end"
 BONUS = {PARAGRAPH: 0.2, LINE: 0.1, SENTENCE: 0.0}  # added to the depth, as valleys are measured only every UNIT words
+NATURAL = (PARAGRAPH, LINE, SENTENCE)
+WINDOW = 1 << 18  # characters that are worked on at a time: about 20 MB
 ARRAY = "array<struct<start:int,end:int,cut:string>>"
 
 
@@ -72,55 +74,70 @@ def boundaries(points: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, end, kind of cut) of the pieces of a text; one piece if it is within the limit."""
+class _Window:
+    """What is known of a part of a text: places where a piece may end with their scores and kinds, and word ends and starts."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.end, last = end, end == len(text)
+        points = np.frombuffer(text[begin:end].encode("utf-32-le"), np.uint32)
+        gaps, depth = depths(points)
+        kinds = boundaries(points)
+        places, scores, names = [], [], []
+        for number, kind in enumerate(NATURAL):
+            p = kinds[kind]
+            p = p if last else p[p < len(points)]  # the window's end is none of the text
+            d = np.zeros(len(p))
+            if len(gaps):
+                k = np.searchsorted(gaps, p)
+                lo, hi = np.maximum(k - 1, 0), np.minimum(k, len(gaps) - 1)
+                d = depth[np.where(np.abs(gaps[lo] - p) <= np.abs(gaps[hi] - p), lo, hi)]
+            places.append(p + begin)
+            scores.append(d + BONUS[kind])
+            names.append(np.full(len(p), number, np.int8))
+        place = np.concatenate(places)
+        order = np.argsort(place, kind="stable")
+        self.place, self.score, self.name = place[order], np.concatenate(scores)[order], np.concatenate(names)[order]
+        words = kinds[WORD]
+        self.words = (words if last else words[words < len(points)]) + begin
+        white = cp.classes()[points] == cp.SPACE
+        self.word_start = np.flatnonzero(~white & np.append(begin == 0, white[:-1])) + begin
+
+
+def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, window: int = WINDOW) -> list[tuple[int, int, str]]:
+    """(start, end, kind of cut) of the pieces of a text; one piece if it is within the limit. Besides the text itself only a
+    window of it is worked on at a time, so that memory doesn't grow with it; words are weighed within the window."""
     n = len(text)
     if n <= limit:
         return [(0, n, END)]
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    gaps, depth = depths(points)
-    kinds = boundaries(points)
-    places, scores, names = [], [], []
-    for kind in (PARAGRAPH, LINE, SENTENCE):
-        p = kinds[kind]
-        d = np.zeros(len(p))
-        if len(gaps):
-            k = np.searchsorted(gaps, p)
-            lo, hi = np.maximum(k - 1, 0), np.minimum(k, len(gaps) - 1)
-            d = depth[np.where(np.abs(gaps[lo] - p) <= np.abs(gaps[hi] - p), lo, hi)]
-        places.append(p)
-        scores.append(d + BONUS[kind])
-        names += [kind] * len(p)
-    place, score = np.concatenate(places), np.concatenate(scores)
-    order = np.argsort(place, kind="stable")
-    place, score, names = place[order], score[order], [names[i] for i in order.tolist()]
-    words = kinds[WORD]
-    white = cp.classes()[points] == cp.SPACE
-    word_start = np.flatnonzero(~white & np.append(True, white[:-1]))
+    margin = max(2 * limit, 2000)
+    window = max(window, 4 * margin)
+    view = _Window(text, 0, min(n, window))
     out, start, least = [], 0, 2 * overlap + 1
     while n - start > limit:
+        if view.end < n and start + limit + margin > view.end:
+            view = _Window(text, max(0, start - margin), min(n, start - margin + window))
         end, cut = -1, HARD
         top = start + limit
         for low in (start + max(limit // 2, least), start + least):
-            a, b = np.searchsorted(place, [low, top + 1])
+            a, b = np.searchsorted(view.place, [low, top + 1])
             if b > a:
-                k = int(a + score[a:b].argmax())
-                end, cut = int(place[k]), names[k]
+                k = int(a + view.score[a:b].argmax())
+                end, cut = int(view.place[k]), NATURAL[view.name[k]]
                 break
         if end < 0:
-            b = int(np.searchsorted(words, top + 1))
-            if b and words[b - 1] >= start + least:
-                end, cut = int(words[b - 1]), WORD
+            b = int(np.searchsorted(view.words, top + 1))
+            if b and view.words[b - 1] >= start + least:
+                end, cut = int(view.words[b - 1]), WORD
         if end < 0:
             end = top
             while end > start + least and unicodedata.category(text[end])[0] == "M":
                 end -= 1
         out.append((start, end, cut))
         begin = end - overlap
-        if begin > 0 and not white[begin - 1]:
-            k = int(np.searchsorted(word_start, begin))
-            if k < len(word_start) and word_start[k] < end:
-                begin = int(word_start[k])
+        if begin > 0 and cp.classes()[ord(text[begin - 1])] != cp.SPACE:
+            k = int(np.searchsorted(view.word_start, begin))
+            if k < len(view.word_start) and view.word_start[k] < end:
+                begin = int(view.word_start[k])
         start = begin
     out.append((start, n, END))
     return out

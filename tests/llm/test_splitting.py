@@ -1,6 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodeweave.llm import splitting
 from lodeweave.llm.splitting import pieces_of, spans, split_oversized
 
 word = st.text("abcdeé", min_size=1, max_size=9)
@@ -63,3 +64,32 @@ def test_limit_must_hold_overlaps():
 
     with pytest.raises(ValueError):
         pieces_of("text", 100, 30)
+
+
+def test_memory_does_not_grow_with_the_text():
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    text = " ".join(rng.choice(words) + rng.choice(["", "", "", "", ".", ".\n\n"]) for _ in range(700_000))
+    splitting.spans(text[:50_000])
+    tracemalloc.start()
+    got = splitting.spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 3_000_000 and peak < 60_000_000
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(e - s <= 6000 for s, e, _ in got)
+    assert all(0 <= a[1] - b[0] <= 150 for a, b in zip(got, got[1:])) and {c for *_, c in got[:-1]} <= {"paragraph", "sentence", "line"}
+
+
+def test_windows_cut_where_the_whole_would():
+    import random
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abc ") for _ in range(400)) + "\n\n"
+    text = "".join(text[k : k + 300] + rng.choice([". ", "\n", "\n\n", " "]) for k in [rng.randrange(100) for _ in range(400)])
+    whole, parts = splitting.spans(text, 900, 60, window=10**9), splitting.spans(text, 900, 60, window=8000)
+    assert [e for _, e, c in parts] and all(text[e - 1 : e + 1].strip() != text[e - 1 : e + 1] for _, e, c in parts[:-1])
+    same = {e for _, e, _ in whole} & {e for _, e, _ in parts}
+    assert len(same) > 0.5 * len(whole)
