@@ -32,6 +32,7 @@ THRESHOLD, TREES, RECALL = 0.70, 37, 0.99
 DEEPER = 3  # values of a label beyond the widest prefix
 MERGE_AFTER, MERGE_SHARE = 48, 0.5  # runs, or the share of texts that came since the last merge, after which all are merged
 PLACES, HOT = 1 << 20, 200_000  # places of the counts of prefixes; labels of one place in one bucket, about, at most
+FEW_PAIRS = 200_000  # candidates of a batch that are broadcast
 ROUNDS, COMPONENT = 6, 500_000  # of decisions before components are looked for; links of a component that one task decides
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (2,))])
 SIGNED = np.dtype([("label", "<u8"), ("entry", "<u4")])
@@ -222,14 +223,13 @@ class HashForest:
 
         return signed.select("_key", "_n", "_labels", "_sketch").mapInArrow(run, f"{PACKED}, first boolean")
 
-    def accept(self, rows: DataFrame, texts: int | None = None) -> None:
-        """Append texts, signed or not, as a run of their own; merge where there are many runs or prefixes became hot.
-        texts: how many, if known."""
+    def accept(self, rows: DataFrame) -> None:
+        """Append texts, signed or not, as a run of their own; merge where there are many runs or prefixes became hot."""
         at = f"rows_{uuid.uuid4().hex}"
         rows.select("_key", "_n", "_features").write.option("compression", "zstd").parquet(f"{self.path}/{at}")
         signed = rows if "_labels" in rows.columns else self.signed(self.spark.read.schema(ROWS).parquet(f"{self.path}/{at}"))
         self._write(self._packed(signed, False).drop("first"))
-        added = texts if texts is not None else self.spark.read.schema(ROWS).parquet(f"{self.path}/{at}").count()
+        added = self.spark.read.schema(ROWS).parquet(f"{self.path}/{at}").count()
         self.state["rows"].append(at)
         self.state["texts"] += added
         self.state["runs"] += 1
@@ -316,13 +316,20 @@ class HashForest:
 
     def search(self, signed: DataFrame) -> DataFrame:
         """Pairs (_a of the batch, _b, _stored) whose likeness reaches the threshold, equal texts among them (_a = _b) if stored.
-        Signed rows should be written (``cut``), as they are read twice; the texts of the history aren't read."""
+        Signed rows should be written (``cut``) and have a row per key, as they are read twice; the texts of the history
+        aren't read, and of its features only what candidates need is kept."""
         pairs = cut(self.candidates(signed), "forest-pairs")
-        apart = pairs.filter("_a <> _b")
-        bitmap = lk.key_bitmap(apart.select(F.explode(F.array("_a", "_b")).alias("_key")))
-        features = lk.feature_rows(self.accepted().unionByName(signed.select("_key", "_n", "_features")), bitmap)
-        links = lk.verified(apart.select("_a", "_b").distinct(), features, self.labels.threshold).select("_a", "_b").join(apart, ["_a", "_b"])
-        out = cut(links.unionByName(pairs.filter("_a = _b and _stored")), "forest-links")
+        apart, mine = pairs.filter("_a <> _b"), signed.select("_key", "_n", "_features")
+        if pairs.count() <= FEW_PAIRS:  # of 17 bytes
+            feature = lambda x: [F.col("_key").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_features").alias(f"_f{x}")]
+            theirs = self.accepted().unionByName(mine).select(*feature("b"))
+            both = theirs.join(F.broadcast(apart), "_b").dropDuplicates(["_a", "_b", "_stored"]).join(mine.select(*feature("a")), "_a")
+            links = lk.likeness_of(both).filter(F.col("likeness") >= self.labels.threshold)
+        else:
+            bitmap = lk.key_bitmap(apart.select(F.explode(F.array("_a", "_b")).alias("_key")))
+            features = lk.feature_rows(self.accepted().unionByName(mine), bitmap)
+            links = lk.verified(apart.select("_a", "_b").distinct(), features, self.labels.threshold).select("_a", "_b").join(apart, ["_a", "_b"])
+        out = cut(links.select("_a", "_b", "_stored").unionByName(pairs.filter("_a = _b and _stored")), "forest-links")
         discard(pairs)
         return out
 
@@ -394,15 +401,25 @@ def expanded(lo: np.ndarray, hi: np.ndarray, chunk: int = 1 << 18) -> Iterator[t
 
 
 def decided(t: pa.Table) -> pa.Table:
-    """Keys that are found, of one component of links (_late, _early, _fl: the later one's first arrival), in order of arrival."""
-    late, early, order = (t[c].to_numpy() for c in ("_late", "_early", "_fl"))
-    found: set[int] = set()
+    """Keys that are found, of some links (_late, _early, _fl: the later one's first arrival), in order of arrival. A row
+    without an earlier one says that the key repeats a stored text."""
+    early = t["_early"]
+    marks = t.filter(early.is_null())["_late"].to_pylist()
+    links = t.filter(early.is_valid())
+    late, early, order = (links[c].to_numpy() for c in ("_late", "_early", "_fl"))
+    found = set(marks)
     for i in np.lexsort((late, order)).tolist():
         if int(early[i]) not in found:
             found.add(int(late[i]))
     return pa.table({"_key": pa.array(sorted(found), pa.int64())})
 
 
+def _ordered(both: DataFrame) -> DataFrame:
+    """Links with the first arrivals of both sides as (_late, _early, _fl)."""
+    swap = (F.col("_fa") > F.col("_fb")) | ((F.col("_fa") == F.col("_fb")) & (F.col("_a") > F.col("_b")))
+    return both.select(F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias("_late"), F.when(swap, F.col("_b")).otherwise(F.col("_a")).alias("_early"), F.greatest("_fa", "_fb").alias("_fl"))
+
+
 def resolve(classes: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame:
     """Keys (_key) of the classes that repeat something accepted.
 
@@ -412,9 +429,7 @@ def resolve(classes: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFram
     undecided are long chains: a component of up to COMPONENT links is decided in order by one task, larger ones go on in
     rounds, however many it takes."""
     first = classes.select("_key", "_first")
-    both = edges.join(first.toDF("_a", "_fa"), "_a").join(first.toDF("_b", "_fb"), "_b")
-    swap = (F.col("_fa") > F.col("_fb")) | ((F.col("_fa") == F.col("_fb")) & (F.col("_a") > F.col("_b")))
-    ordered = both.select(F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias("_late"), F.when(swap, F.col("_b")).otherwise(F.col("_a")).alias("_early"), F.greatest("_fa", "_fb").alias("_fl"))
+    ordered = _ordered(edges.join(first.toDF("_a", "_fa"), "_a").join(first.toDF("_b", "_fb"), "_b"))
     known = cut(stored.select("_key").distinct(), "found")
     parts = [known]
     left = cut(ordered.distinct().join(known.toDF("_late"), "_late", "left_anti").join(known.toDF("_early"), "_early", "left_anti"), "undecided")
@@ -447,25 +462,40 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def repeated_in(forest: HashForest, signed: DataFrame) -> DataFrame:
-    """(_no) of the arrivals of a written batch (_no, and what ``signed`` gives) that repeat something the forest holds or
-    an accepted earlier arrival of the batch. The forest stays as it is."""
-    members = signed.select("_no", "_key").distinct()
-    classes = members.groupBy("_key").agg(F.min("_no").alias("_first"))
-    links = forest.search(signed)
-    found = resolve(classes, links.filter("_stored").select(F.col("_a").alias("_key")), links.filter("not _stored").select("_a", "_b"))
-    again = members.join(classes, "_key").filter("_no > _first").select("_no")
-    out = cut(members.join(found, "_key", "left_semi").select("_no").unionByName(again).distinct(), "batch-found")
+def classes_of(forest: HashForest, members: DataFrame) -> DataFrame:
+    """The signed classes of a batch (_no, _key, _n, _features): a row per key, with its first arrival (_first), written."""
+    classes = members.groupBy("_key").agg(F.first("_n").alias("_n"), F.first("_features").alias("_features"), F.min("_no").alias("_first"))
+    return cut(forest.signed(classes), "batch-signed")
+
+
+def repeated_in(forest: HashForest, members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a batch (_no, _key) and its classes, what repeats something that the forest holds or an accepted earlier arrival of
+    the batch: arrivals (_no), written, and classes (_key). The forest stays as it is."""
+    links = forest.search(classes)
+    first = classes.select("_key", "_first")
+    stored, edges = links.filter("_stored").select(F.col("_a").alias("_key")), links.filter("not _stored").select("_a", "_b")
+    if links.count() <= COMPONENT:  # so many one task decides in order
+        a, b = first.toDF("_a", "_fa"), first.toDF("_b", "_fb")
+        own = _ordered(edges.join(a, "_a").join(b, "_b")).select("_late", "_early", "_fl")
+        marks = stored.select(F.col("_key").alias("_late"), F.lit(None).cast("bigint").alias("_early"), F.lit(None).cast("bigint").alias("_fl"))
+        found = own.unionByName(marks).groupBy(F.lit(0).alias("_group")).applyInArrow(decided, "_key bigint")
+    else:
+        found = resolve(first, stored, edges)
+    found = cut(found, "batch-keys")
+    keyed = members.select("_no", "_key").join(first, "_key").join(found.select("_key", F.lit(True).alias("_found")), "_key", "left")
+    out = cut(keyed.filter("_found or _no > _first").select("_no").distinct(), "batch-found")
     discard(links)
-    return out
+    return out, found
 
 
-def add_batch(forest: HashForest, signed: DataFrame) -> DataFrame:
-    """The arrivals of a batch that are found (_no), as ``repeated_in`` gives them; the others are accepted into the forest."""
-    found = repeated_in(forest, signed)
-    new = signed.join(found, "_no", "left_anti").dropDuplicates(["_key"])
-    forest.accept(new.drop("_no"))
-    return found
+def add_batch(forest: HashForest, members: DataFrame) -> DataFrame:
+    """The arrivals of a batch (_no, _key, _n, _features) that are found (_no); the others are accepted into the forest."""
+    classes = classes_of(forest, members)
+    out, found = repeated_in(forest, members, classes)
+    forest.accept(classes.join(found, "_key", "left_anti").drop("_first"))
+    discard(classes)
+    discard(found)
+    return out
 
 
 def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "text", order_col: str = "arrival_no", batch_col: str | None = None, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, path: str | None = None) -> DataFrame:
@@ -491,8 +521,6 @@ def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "
             batch = batch.filter(F.col("_no") >= begin)
         if end is not None:
             batch = batch.filter(F.col("_no") < end)
-        batch = cut(forest.signed(batch), "batch-signed")
-        found.append(add_batch(forest, batch) if end is not None else repeated_in(forest, batch))
-        discard(batch)
+        found.append(add_batch(forest, batch) if end is not None else repeated_in(forest, batch, classes_of(forest, batch))[0])
     out = _union(found) if found else came.select("_no").limit(0)
     return out.withColumnRenamed("_no", order_col)

@@ -215,6 +215,10 @@ def verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFra
     """Of candidate pairs (_a, _b) of keys those whose exact likeness reaches the threshold, with it."""
     a = features.select(F.col("_key").alias("_a"), F.col("_n").alias("_na"), F.col("_features").alias("_fa"))
     b = features.select(F.col("_key").alias("_b"), F.col("_n").alias("_nb"), F.col("_features").alias("_fb"))
-    both = pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_na", "_nb", shared_features(F.col("_fa"), F.col("_fb")).alias("_both"))
-    like = F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))
-    return both.select("_a", "_b", like.alias("likeness")).filter(F.col("likeness") >= threshold)
+    return likeness_of(pairs.join(a, "_a").join(b, "_b")).select("_a", "_b", "likeness").filter(F.col("likeness") >= threshold)
+
+
+def likeness_of(both: DataFrame) -> DataFrame:
+    """Adds the exact likeness to pairs with both texts' sizes and features (_na, _nb, _fa, _fb), which go."""
+    counted = both.withColumn("_both", shared_features(F.col("_fa"), F.col("_fb")))
+    return counted.withColumn("likeness", F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).drop("_na", "_nb", "_fa", "_fb", "_both")

@@ -74,8 +74,9 @@ def rows_of(spark, texts):
     return lk.text_rows(spark.createDataFrame([(t,) for t in texts], "text string"), [], "text")
 
 
-def test_runs_can_be_appended_and_merged(spark, tmp_path):
+def test_runs_can_be_appended_and_merged(spark, tmp_path, monkeypatch):
     texts = corpus(12, families=12)
+    monkeypatch.setattr(forest, "MERGE_SHARE", 9)
     f = forest.HashForest.create(spark, f"file://{tmp_path}/f")
     f.accept(rows_of(spark, texts[:20]))
     f.accept(f.signed(rows_of(spark, texts[20:40])))
