@@ -32,6 +32,7 @@ THRESHOLD, TREES, RECALL = 0.70, 37, 0.99
 DEEPER = 3  # values of a label beyond the widest prefix
 MERGE_AFTER, MERGE_SHARE = 48, 0.5  # runs, or the share of texts that came since the last merge, after which all are merged
 PLACES, HOT = 1 << 20, 200_000  # places of the counts of prefixes; labels of one place in one bucket, about, at most
+TOGETHER = 0.1  # share of the history up to which waiting batches are searched in one pass
 FEW_PAIRS = 200_000  # candidates of a batch that are broadcast
 ROUNDS, COMPONENT = 6, 500_000  # of decisions before components are looked for; links of a component that one task decides
 ENTRY = np.dtype([("key", "<i8"), ("size", "<u2"), ("sketch", "<u8", (2,))])
@@ -498,12 +499,14 @@ def add_batch(forest: HashForest, members: DataFrame) -> DataFrame:
     return out
 
 
-def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "text", order_col: str = "arrival_no", batch_col: str | None = None, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, path: str | None = None) -> DataFrame:
+def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "text", order_col: str = "arrival_no", batch_col: str | None = None, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, path: str | None = None, together: float = TOGETHER) -> DataFrame:
     """(order_col) of every arrival that repeats a text of the history or of an accepted earlier arrival; once each.
 
     The history is signed once into a forest (in ``path``, or in a new folder of the shared one), each batch once; batches
     are searched and accepted one after the other, in the order of their first arrivals. Whether an arrival is found
-    depends on its order alone, so a batch is what arrives before the next one's first, or all without batch_col.
+    depends on its order alone, so a batch is what arrives before the next one's first, or all without batch_col; and
+    batches that wait are taken together until they hold a share of ``together`` of the history, as one pass reads the
+    forest once however small the batch is (0: each by itself).
     Texts of fewer than 20 or more than 400 words, null and empty ones are neither found nor compared with. Repeated rows
     of an arrival count once, arrivals with a null order are left out, empty tables give an empty result.
     """
@@ -513,7 +516,13 @@ def repeated_arrivals(history: DataFrame, arrivals: DataFrame, text_col: str = "
     usable = arrivals.filter(F.col(order_col).isNotNull())
     fresh = usable.select(F.col(order_col).alias("_no"), F.col(text_col).alias("_text"))
     came = cut(lk.text_rows(fresh, ["_no"], "_text"), "arrivals")
-    firsts = [None] if batch_col is None else sorted(r["_f"] for r in usable.groupBy(batch_col).agg(F.min(order_col).alias("_f")).collect())  # a row per batch
+    waiting = [] if batch_col is None else sorted((r["_f"], r["_c"]) for r in usable.groupBy(batch_col).agg(F.min(order_col).alias("_f"), F.count("*").alias("_c")).collect())  # a row per batch
+    firsts, held = [None], 0
+    for begin, n in waiting:
+        if held > together * forest.state["texts"]:
+            firsts.append(begin)
+            held = 0
+        held += n
     found = []
     for begin, end in zip(firsts, [*firsts[1:], None], strict=True):
         batch = came

@@ -45,8 +45,8 @@ def test_batches_one_after_the_other(spark):
     h = spark.createDataFrame([(t,) for t in texts[::8]], "text string")
     a = spark.createDataFrame(arrivals, "arrival_no bigint, batch_no int, text string")
     with mock.patch.object(forest, "MERGE_AFTER", 2), mock.patch.object(forest, "MERGE_SHARE", 9):
-        got = {r.arrival_no for r in forest.repeated_arrivals(h, a, batch_col="batch_no").collect()}
-    assert got == brute(texts[::8], [(n, t) for n, _, t in arrivals])
+        got, at_once = ({r.arrival_no for r in forest.repeated_arrivals(h, a, batch_col="batch_no", together=x).collect()} for x in (0, 10))
+    assert got == at_once == brute(texts[::8], [(n, t) for n, _, t in arrivals])
 
 
 def test_chains_are_decided_in_order(spark):
