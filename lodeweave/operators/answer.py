@@ -135,7 +135,7 @@ def longest_run(a: Column, b: Column, least: Column | None = None) -> Column:
     n = F.length(a)
 
     def shared(size: Column) -> Column:
-        return F.exists(F.sequence(F.lit(1), n - size + 1), lambda i: F.contains(b, F.substring(a, i, size)))
+        return (size <= n) & F.exists(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.contains(b, F.substring(a, i, size)))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")

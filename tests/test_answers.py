@@ -1,3 +1,8 @@
+import datetime as dt
+import json
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,8 +121,6 @@ META = "struct<regulation:string,authority:string,jurisdiction:string,article:st
 
 
 def meta_rows(spark):
-    import datetime as dt
-
     m = lambda reg, art=None, cl=None, day=None, cur=True, page=None: (reg, None, "EU", art, None, cl, dt.date(2020, 1, day) if day else None, cur, page, None, None, None)
     rows = [("c1", "d1", 0, m("GDPR (EU) 2016", "5", "5.1(a)", 1, page=3)), ("c2", "d2", 0, m("gdpr", "5", "5.2", 9)), ("c3", "d3", 0, m(None, None, None, None, False)), ("c4", "d4", 1, None), ("c5", "d2", 1, m("GDPR (EU) 2016", None, "7", 20, False))]
     return spark.createDataFrame(rows, f"chunk_id string, document_id string, chunk_index int, legal_metadata {META}")
@@ -138,8 +141,6 @@ def test_display(spark):
 
 
 def test_supersession(spark):
-    import datetime as dt
-
     d = lambda n: dt.date(2020, 1, n)
     rows = [("R", "5", "a", d(1), True, None), ("R", "5", "b", d(9), True, None), ("R", "5", "b", d(9), False, "x"), ("R", "6", "a", d(1), True, None), ("R", "7", "a", d(2), True, None), ("R", "7", "b", d(2), True, None), (None, "5", "q", d(1), True, "k"), ("R", "5", "n", None, True, None)]
     got = compliance.supersede(spark.createDataFrame(rows, "regulation string, article string, document_id string, effective_date date, is_current boolean, superseded_by string"), ["regulation", "article"]).collect()
@@ -159,3 +160,48 @@ def test_prf(spark):
     rows = [(["a", "b", "a"], ["b", "c"]), ([], []), (None, ["a"]), (["a"], [])]
     got = [tuple(r) for r in spark.createDataFrame(rows, "p array<string>, e array<string>").select(*citation_prf(F.col("p"), F.col("e"))).collect()]
     assert got == [(0.5, 0.5, 0.5), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+
+
+def test_longest_runs(spark):
+    rng = random.Random(1)
+    rows = [("".join(rng.choice("ab ") for _ in range(rng.randrange(12))), "".join(rng.choice("ab ") for _ in range(rng.randrange(30)))) for _ in range(150)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", answer.longest_run(F.col("a"), F.col("b")).alias("n"), answer.longest_run(F.col("a"), F.col("b"), F.lit(4)).alias("m")).collect()
+    for r in got:
+        n = SequenceMatcher(None, r.a, r.b, autojunk=False).find_longest_match(0, len(r.a), 0, len(r.b)).size
+        assert r.n == n and r.m == (n if n >= 4 else 0)
+
+
+def test_claim_diagnostics(spark):
+    claims = spark.createDataFrame([(1, 1, ["d1"], "quick"), (1, 2, ["d1"], "slow"), (1, 3, [], "quick"), (1, 4, ["d9"], None)], "query_id int, claim_no int, citation_ids array<string>, supporting_quote string")
+    context = spark.createDataFrame([(1, "d1", "c1", "the quick fox")], "query_id int, label string, chunk_id string, text string")
+    results = answer.verify_claims(claims, context)
+    got = {r.claim_no: (r.chunk_id, r.quote_length, r.quote_found, r.quote_start, r.quote_end) for r in answer.claim_diagnostics(claims, results, context).collect()}
+    assert got == {1: ("c1", 5, True, 4, 9), 2: ("c1", 4, False, -1, -1), 3: (None, 5, False, -1, -1), 4: (None, 0, False, -1, -1)}
+    assert [r.verification_pass for r in answer.verification_pass(claims.select("query_id").distinct(), results).collect()] == [False]
+
+
+def test_provisions_with_missing_fields_match_anything(spark):
+    rows = [("a", "GDPR", "5", "5.1", "d1", "2019-01-01"), ("b", "EU GDPR", "5", None, "d2", "2021-01-01"), ("c", "GDPR", "5", "5.2", "d3", "2020-01-01"), ("d", "CCPA", "5", "5.1", "d4", "2023-01-01"), ("e", None, "5", None, "d5", "2024-01-01")]
+    df = spark.createDataFrame([(*r[:5], dt.date.fromisoformat(r[5]), True, None) for r in rows], "chunk_id string, regulation string, article string, clause string, document_id string, effective_date date, is_current boolean, superseded_by string")
+    got = {r.chunk_id: (r.new_is_current, r.new_superseded_by) for r in compliance.supersede(df, ["regulation", "article", "clause"]).collect()}
+    # `EU GDPR` holds no key but its own name's; a provision without clause decides none of `GDPR` alone
+    assert got["d"] == (True, None) and got["e"] == (True, None) and got["a"] == (True, None) and got["c"] == (True, None)
+    pairs = {tuple(r) for r in compliance.wildcard_matches(df.filter("chunk_id in ('a', 'b')").withColumnRenamed("chunk_id", "key_id"), df.withColumnRenamed("chunk_id", "row_id"), ["regulation", "article", "clause"]).collect()}
+    assert pairs == {("a", "a"), ("b", "b")}
+    wide = df.filter("chunk_id = 'a'").withColumn("clause", F.lit(None).cast("string")).withColumnRenamed("chunk_id", "key_id")
+    assert {r.row_id for r in compliance.wildcard_matches(wide, df.withColumnRenamed("chunk_id", "row_id"), ["regulation", "article", "clause"]).collect()} == {"a", "b", "c"}
+
+
+def test_structured_citations(spark):
+    kind = "query_id int, chunk_id string, document_id string, chunk_index int, page int, text string, rerank_score double, legal_metadata struct<document_title:string,regulation:string,version:string,jurisdiction:string,article:string,section:string,clause:string,effective_date:date,document_type:string,page:int>"
+    rows = [(1, "c1", "d1", 0, 3, "t", 0.9, ("Title", "GDPR", "2", "EU", "83", None, "83.5(a)", None, "regulation", None)), (1, "c2", "d2", 4, None, "u", None, None)]
+    got = {r.chunk_id: r for r in compliance.citations(spark.createDataFrame(rows, kind), spark.createDataFrame([("d2", "notes.md")], "document_id string, filename string")).collect()}
+    assert (got["c1"].display, got["c1"].document_title, got["c1"].confidence, got["c1"].page) == ("GDPR Art. 83(5)(a), p.3", "Title", 0.9, 3)
+    assert (got["c2"].display, got["c2"].document_title, got["c2"].confidence, got["c2"].regulation) == ("notes.md, chunk 4", "notes.md", 0.0, None)
+
+
+def test_repair_of_quotes():
+    assert json.loads(answer.repaired('{"answer": "he said "yes", then "no"", "claims": []}')) == {"answer": 'he said "yes", then "no"', "claims": []}
+    assert json.loads(answer.repaired('{"a": "x"}')) == {"a": "x"}
+    for broken in ("no json", '{"a": "cut', '{"a": }', ""):
+        assert answer.repaired(broken) == broken

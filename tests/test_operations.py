@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -56,6 +57,7 @@ def test_question_files(spark, tmp_path):
 
 def test_baseline(spark, tmp_path):
     v = spark.createDataFrame([("1", "mrr", 1.0, "success")], "question_id string, metric string, value double, status string")
+    evaluation.save_baseline(v.limit(0), str(tmp_path / "b"), "hash")
     evaluation.save_baseline(v, str(tmp_path / "b"), "hash")
     assert evaluation.load_baseline(spark, str(tmp_path / "b"), "hash").collect() == v.collect()
     with pytest.raises(ValueError):
@@ -96,12 +98,58 @@ def test_file_names(spark):
     assert [tuple(r) for r in snapshot.file_names(d).collect()] == [("1", "Policy A.md")]
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    one, other = (snapshot.ChunkStore(spark, str(tmp_path / "s")) for _ in range(2))
+    one.upsert(spark.createDataFrame([("c1", "d1", 0, "alpha", None)], CHUNK))
+    planned = other._state()
+    one.upsert(spark.createDataFrame([("c2", "d2", 0, "beta", None)], CHUNK))
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._change(planned, spark.createDataFrame([("c3", "d3", 0, "gamma", None)], CHUNK))
+    assert {r.text for r in one.chunks().collect()} == {"alpha", "beta"} and one.drift().count() == 0
+
+
+def test_a_commit_writes_only_the_parts_it_changes(spark, tmp_path):
+    store = snapshot.ChunkStore(spark, str(tmp_path / "s"))
+    store.upsert(spark.createDataFrame([(f"c{i}", f"d{i}", 0, f"text {i}", None) for i in range(40)], CHUNK))
+    before = store._state()["parts"]
+    store.upsert(spark.createDataFrame([("c3", "d3", 0, "other", None)], CHUNK))
+    after = store._state()["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.chunks().count() == 40 and store.by_document("d3").first().text == "other"
+
+
+def test_indexing_marks_what_is_superseded_in_the_same_commit(spark, tmp_path):
+    kind = "chunk_id string, document_id string, chunk_index int, text string, legal_metadata struct<regulation:string,authority:string,jurisdiction:string,article:string,section:string,clause:string,effective_date:date,is_current:boolean,superseded_by:string>"
+    meta = lambda clause, year: ("GDPR", None, "EU", "5", None, clause, dt.date(year, 1, 1), True, None)
+    store = snapshot.ChunkStore(spark, str(tmp_path / "s"))
+    store.upsert(spark.createDataFrame([("a", "d1", 0, "x", meta("5.1", 2019)), ("b", "d1", 1, "y", meta("5.2", 2019)), ("n", "d1", 2, "z", None)], kind), superseding=True)
+    store.upsert(spark.createDataFrame([("c", "d2", 0, "x2", meta("5.1", 2022))], kind), superseding=True)
+    assert store.versions() == [1, 2]
+    state = {r.chunk_id: r.legal_metadata and (r.legal_metadata.is_current, r.legal_metadata.superseded_by) for r in store.chunks().collect()}
+    assert state == {"a": (False, "d2"), "b": (True, None), "c": (True, None), "n": None}
+
+
 def test_ingest_replaces_changed_documents(spark, tmp_path):
     store = snapshot.ChunkStore(spark, str(tmp_path / "s"))
     batch = lambda *rows: spark.createDataFrame(rows, "source_path string, content string")
+    texts = lambda: sorted(r.text for r in store.chunks().collect())
     ingest_batch(store, batch(("a.md", "# A\none"), ("b.md", "two"), ("n.md", None)))
     ingest_batch(store, batch(("a.md", "# A\nthree"), ("b.md", "two")))
-    assert sorted((r.source_path, r.text) for r in store.chunks().collect()) == [("a.md", "three"), ("b.md", "two")]
+    assert texts() == ["three", "two"] and {r.source_path for r in store.paths().collect()} == {"a.md", "b.md"}
+
+
+def test_documents_of_several_paths_stay_until_the_last_changes(spark, tmp_path):
+    store = snapshot.ChunkStore(spark, str(tmp_path / "s"))
+    batch = lambda *rows: spark.createDataFrame(rows, "source_path string, content string, landed_at timestamp")
+    texts = lambda: sorted(r.text for r in store.chunks().collect())
+    t = [dt.datetime(2024, 1, d) for d in range(1, 9)]
+    ingest_batch(store, batch(("a.md", "shared", t[0]), ("b.md", "shared", t[0]), ("a.md", "older", t[0] - dt.timedelta(days=1))))
+    assert texts() == ["shared"] and store.paths().count() == 2
+    ingest_batch(store, batch(("a.md", "new", t[1])))
+    assert texts() == ["new", "shared"]
+    ingest_batch(store, batch(("b.md", "late", t[0] - dt.timedelta(days=2))))
+    assert texts() == ["new", "shared"]
+    ingest_batch(store, batch(("b.md", "new", t[2])))
+    assert texts() == ["new"] and {(r.source_path, r.document_id) for r in store.paths().collect()} == {(p, hashlib.sha256(b"new").hexdigest()) for p in ("a.md", "b.md")}
 
 
 def events(spark):
@@ -146,3 +194,37 @@ def test_judges(spark):
     rows = [('{"verdict": "partial", "reasoning": "r"}',), ("broken",), ('{"verdict": "maybe"}',), (None,)]
     got = [r[0].verdict for r in spark.createDataFrame(rows, "r string").select(evaluation.judged(F.col("r"))).collect()]
     assert got == ["PARTIAL", "INCORRECT", "INCORRECT", "INCORRECT"]
+
+
+def test_question_records(spark):
+    q = spark.createDataFrame([(1, "factual", ["A"]), (2, "factual", []), (3, "negative", ["A"])], "query_id int, category string, citation_doc_ids array<string>")
+    answers = spark.createDataFrame([(1, "a", ["A", "B"], 0.5, 10.0, None), (2, None, None, None, None, "boom")], "query_id int, answer string, citations array<string>, coverage double, latency_ms double, error string")
+    metrics = evaluation.retrieval_metrics(q, spark.createDataFrame([(1, "X", 1), (1, "A", 2)], "query_id int, document_id string, rank int"), q.select("query_id", F.explode("citation_doc_ids").alias("document_id")))
+    passed = spark.createDataFrame([(1, True)], "query_id int, verification_pass boolean")
+    got = {r.query_id: r for r in evaluation.question_records(q, answers, metrics, passed, spark.createDataFrame([(1, "CORRECT", "r")], "query_id int, verdict string, reasoning string")).collect()}
+    assert (got[1].status, got[1].citation_precision, got[1].citation_recall, got[1].recall_3, got[1].mrr, got[1].verification_pass, got[1].verdict) == ("success", 0.5, 1.0, 1.0, 0.5, True, "CORRECT")
+    assert (got[2].status, got[2].error_type, got[2].error_message, got[2].citation_f1, got[2].verdict, got[2].citations) == ("error", "pipeline_error", "boom", None, None, [])
+    assert got[3].error_message == "no answer"
+    summary = {r.category: r for r in evaluation.summary(evaluation.question_records(q, answers, metrics, passed, spark.createDataFrame([(1, "CORRECT", "r")], "query_id int, verdict string, reasoning string"))).collect()}
+    assert summary[None].error_count == 2 and summary[None].verification_pass_rate == 1.0
+    assert evaluation.numeric_only(q.withColumn("ok", F.lit(True)), ["query_id"]).columns == ["query_id", "ok"]
+
+
+def test_metrics_by_label_are_those_of_lists(spark):
+    q = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "query_id int, label string")
+    items = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "document_id string, label string")
+    ranked = spark.createDataFrame([(1, "C", 1), (1, "A", 2), (2, "A", 1), (2, "C", 2), (2, "C", 3)], "query_id int, document_id string, rank int")
+    lists = evaluation.retrieval_metrics(q, ranked, q.join(items, "label"))
+    assert sorted(evaluation.retrieval_metrics_by_label(q, ranked, items).collect()) == sorted(lists.collect())
+
+
+def test_traces_and_totals(spark):
+    before = spark.createDataFrame([(1, c, i, float(-i)) for i, c in enumerate("abc", 1)], "query_id int, id string, final_rank int, rerank_score double")
+    t = audit.pruning_trace(before, before.filter("id = 'b'")).first()
+    assert (t.before, t.after, t.dropped) == (3, 1, ["a", "c"])
+    e = events(spark)
+    assert {r.total for r in audit.page_with_total(e, 1, 2).collect()} == {12}
+    drafts = spark.createDataFrame([(1, "{}", [("c", ["d1"], "q"), ("c", ["d1"], "")], None)], "query_id int, raw string, claims array<struct<text:string,citation_ids:array<string>,supporting_quote:string>>, error string")
+    assert tuple(audit.generation_trace(drafts).first()) == (1, 2, True, 2, 1, None)
+    cited = spark.createDataFrame([(1, "d2", "GDPR"), (1, "d1", None), (1, "d2", "")], "query_id int, document_id string, regulation string")
+    assert tuple(audit.answered(cited).first()) == (1, ["d1", "d2"], ["GDPR"])
