@@ -317,7 +317,7 @@ class HashForest:
 
     def search(self, signed: DataFrame) -> DataFrame:
         """Pairs (_a of the batch, _b, _stored) whose likeness reaches the threshold, equal texts among them (_a = _b) if stored.
-        Signed rows should be written (``cut``) and have a row per key, as they are read twice; the texts of the history
+        Signed rows should be written (``cut``), as they are read twice; the texts of the history
         aren't read, and of its features only what candidates need is kept."""
         pairs = cut(self.candidates(signed), "forest-pairs")
         apart, mine = pairs.filter("_a <> _b"), signed.select("_key", "_n", "_features")
@@ -330,7 +330,7 @@ class HashForest:
             bitmap = lk.key_bitmap(apart.select(F.explode(F.array("_a", "_b")).alias("_key")))
             features = lk.feature_rows(self.accepted().unionByName(mine), bitmap)
             links = lk.verified(apart.select("_a", "_b").distinct(), features, self.labels.threshold).select("_a", "_b").join(apart, ["_a", "_b"])
-        out = cut(links.select("_a", "_b", "_stored").unionByName(pairs.filter("_a = _b and _stored")), "forest-links")
+        out = cut(links.select("_a", "_b", "_stored").unionByName(pairs.filter("_a = _b and _stored")).distinct(), "forest-links")
         discard(pairs)
         return out
 
