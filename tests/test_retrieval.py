@@ -104,3 +104,15 @@ def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>")
     r = df.select(norm(df.a).alias("n"), cosine(df.a, df.b).alias("z"), cosine(df.a, df.a).alias("o"), sigmoid(df.a[0]).alias("s")).first()
     assert r.n == 5.0 and r.z == 0.0 and r.o == pytest.approx(1) and r.s == pytest.approx(1 / (1 + math.exp(-3)))
+
+
+def test_bounded_search_finds_what_one_pass_finds(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(words[min(39, int(rng.expovariate(0.12)))] for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(5, 40))) for i in range(400)] + [(400, None)], "id int, text string")
+    queries = spark.createDataFrame([(i, text(rng.randrange(1, 6))) for i in range(30)] + [(99, "unknown")], "query_id int, text string")
+    index = BM25Index.build(docs, "id", "text")
+    assert sorted(index.search(queries, k=5, plain=0).collect()) == sorted(index.search(queries, k=5).collect())
