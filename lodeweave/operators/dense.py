@@ -1,7 +1,8 @@
 """Exact vector search of a stated set of queries against all vectors, in blocks.
 
 Vectors are dealt out to parts and queries to blocks of bounded size; every (part, block) pair is one group, whose
-inner products are one matrix product. A group emits its k best per query, or all pairs above a threshold.
+inner products are matrix products of tiles. Parts and blocks are as large as memory allows, as every vector is sent once per
+block, every query once per part, and every part has hits of its own. A group emits its k best per query, or all pairs above a threshold.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bm25 import top
 
-PART_ROWS, BLOCK_ROWS = 10_000, 1_000
+GROUP_BYTES = 1 << 25  # of the vectors of a part and of the queries of a block, each in double precision
+TILE_ROWS, TILE_COLUMNS = 1_024, 4_096  # queries and vectors of one product
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -29,7 +32,9 @@ def scores(queries: DataFrame, vectors: DataFrame, query_id: str = "query_id", i
     """(query_id, id, score): cosines of six decimals; of each query the k best of every part, or all strictly above a
     threshold. Vectors must have one length; null vectors are left out, a vector of length 0 has cosine 0 to all."""
     q, v = queries.filter(F.col(vector_col).isNotNull()), vectors.filter(F.col(vector_col).isNotNull())
-    parts, blocks = max(1, math.ceil(v.count() / PART_ROWS)), max(1, math.ceil(q.count() / BLOCK_ROWS))
+    stored, length = v.agg(F.count("*"), F.coalesce(F.max(F.size(vector_col)), F.lit(1))).first()
+    rows = max(1, GROUP_BYTES // (8 * max(1, length)))
+    parts, blocks = max(1, math.ceil(stored / rows)), max(1, math.ceil(q.count() / rows))
     left = q.select(F.col(query_id).alias("_q"), F.col(vector_col).alias("_v"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
     right = v.select(F.col(id_col).alias("_i"), F.col(vector_col).alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("_part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"))
     kinds = (queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString())
@@ -39,26 +44,51 @@ def scores(queries: DataFrame, vectors: DataFrame, query_id: str = "query_id", i
             i = j = np.zeros(0, np.int64)
             s = np.zeros(0)
         else:
-            m = np.round(_matrix(a["_v"]) @ _matrix(b["_v"]).T, 6)
-            if above is not None:
-                i, j = np.nonzero(m > above)
-            else:
-                # the k-th best score first, then order the few that reach it
-                least = np.partition(m, m.shape[1] - k, axis=1)[:, m.shape[1] - k] if k < m.shape[1] else np.full(len(m), -2.0)
-                i, j = np.nonzero(m >= least[:, None])
-                ids = np.array(b["_i"].to_pylist(), object)
-                rank = np.empty(len(ids), np.int64)
-                rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                order = np.lexsort((rank[j], -m[i, j], i))
-                i, j = i[order], j[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j = i[best], j[best]
-            s = m[i, j]
+            b = b.take(pc.sort_indices(b["_i"]))  # places are in the order of ids, so that ties go to the lower place
+            x, y = _matrix(a["_v"]), _matrix(b["_v"])
+            i, j, s = map(np.concatenate, zip(*(_chosen(x, y, at, k, above) for at in range(0, len(x), TILE_ROWS)), strict=True))
         return pa.table({"query_id": a["_q"].take(pa.array(i)), "id": b["_i"].take(pa.array(j)), "score": pa.array(s, pa.float64())})
 
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(product, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
+def _chosen(x: np.ndarray, y: np.ndarray, at: int, k: int | None, above: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the queries x[at : at + TILE_ROWS]. Products of single precision say which pairs can matter,
+    and only theirs are taken in double precision."""
+    mine = x[at : at + TILE_ROWS]
+    few = mine.astype(np.float32)
+    slack = 4e-7 * (x.shape[1] + 8) + 1e-6  # what single precision and rounding may change, with a margin
+    least = np.full(len(mine), -np.inf if above is None else above)  # scores beyond it count
+    i, j, s, parts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), []
+    for start in range(0, len(y), TILE_COLUMNS):
+        tile = y[start : start + TILE_COLUMNS]
+        m = few @ tile.astype(np.float32).T
+        reach = least
+        if above is None and not start and k < m.shape[1]:
+            reach = np.partition(m, m.shape[1] - k, axis=1)[:, m.shape[1] - k] - slack
+        p, q = np.nonzero(m >= (reach - slack).astype(np.float32)[:, None])
+        if len(p) * 20 > m.size:
+            t = (mine @ tile.T)[p, q]
+        else:
+            step = max(1, (1 << 22) // x.shape[1])
+            t = np.concatenate([np.einsum("ij,ij->i", mine[p[c : c + step]], tile[q[c : c + step]]) for c in range(0, max(1, len(p)), step)])
+        t = np.round(t, 6)
+        new = t > least[p]
+        p, q, t = p[new], q[new] + start, t[new]
+        if above is not None:
+            parts.append((p, q, t))
+        elif len(p):
+            i, j, s = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([s, t])
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            least[i[nth == k - 1]] = s[nth == k - 1]
+            i, j, s = i[nth < k], j[nth < k], s[nth < k]
+    if parts:
+        i, j, s = map(np.concatenate, zip(*parts, strict=True))
+    return i + at, j, s
+
+
 def scores_within(vectors: DataFrame, group: list[str], above: float, order_col: str, id_col: str = "id", vector_col: str = "embedding", block: int = 4_000) -> DataFrame:
     """(later, earlier) ids of pairs within a group whose cosine (of six decimals) is greater, the later one by order, then id.
     Only vectors of one group meet. A group is cut into blocks of about ``block`` vectors, each pair of blocks is a task's

@@ -1,12 +1,17 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from lodeweave.operators import fusion
-from lodeweave.operators.bm25 import BM25Index
+from lodeweave import session
+from lodeweave.operators import dense, fusion
+from lodeweave.operators.bm25 import BM25Index, scan_search
 from lodeweave.operators.dense import dense_search, scores
 from lodeweave.functions import cosine, norm, sigmoid
+from lodeweave.plans import retrieval
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def hits(spark, rows):
@@ -116,3 +121,46 @@ def test_bounded_search_finds_what_one_pass_finds(spark):
     queries = spark.createDataFrame([(i, text(rng.randrange(1, 6))) for i in range(30)] + [(99, "unknown")], "query_id int, text string")
     index = BM25Index.build(docs, "id", "text")
     assert sorted(index.search(queries, k=5, plain=0).collect()) == sorted(index.search(queries, k=5).collect())
+
+
+def test_scan_finds_what_the_index_finds(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(words[min(39, int(rng.expovariate(0.12)))] for _ in range(n))
+    docs = spark.createDataFrame([(f"t{i:03}", text(rng.randrange(5, 40))) for i in range(400)] + [("none", None), ("blank", " "), *((f"same{i}", "w1 W2 w3") for i in range(9))], "id string, text string")
+    asked = [text(rng.randrange(1, 6)) for _ in range(30)]
+    queries = spark.createDataFrame(list(enumerate([*asked, asked[0], "w2, w1 W1", "w1 w1 w2", "unknown", "w5 unknown", None, ""])), "query_id int, text string")
+    want = sorted(BM25Index.build(docs, "id", "text").search(queries, k=5).collect())
+    for block, rows in ((50_000, 65_536), (4, 7)):  # several passes, and texts of a task not held at once
+        got = sorted(scan_search(docs, "id", "text", queries, k=5, block=block, rows=rows).collect())
+        assert [(r.query_id, r.id, r["rank"]) for r in got] == [(r.query_id, r.id, r["rank"]) for r in want]
+        assert [r.score for r in got] == pytest.approx([r.score for r in want], abs=1e-6)
+    assert scan_search(docs.limit(0), "id", "text", queries).count() == 0 and scan_search(docs, "id", "text", queries.limit(0)).count() == 0
+
+
+def test_dense_hits_of_a_part_do_not_grow_with_its_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 4)).round(1)
+    x[::3] = x[0]  # a third of all alike
+    x[1] = 0
+    df = spark.createDataFrame([(f"v{i:05}", row) for i, row in enumerate(x.tolist())], "id string, embedding array<float>")
+    q = df.filter("int(substr(id, 2)) < 30").withColumnRenamed("id", "query_id")
+    assert scores(q, df, k=3).count() == 90  # once per query: all vectors are one part
+    got = dense_search(q, df, k=3).orderBy("query_id", "rank").collect()
+    f = x.astype(np.float32).astype(float)
+    n = np.linalg.norm(f, axis=1, keepdims=True)
+    f = np.divide(f, n, out=np.zeros_like(f), where=n > 0)
+    cosines = np.round(f[:30] @ f.T, 6)
+    want = [(f"v{i:05}", f"v{j:05}") for i in range(30) for j in np.argsort(-cosines[i], kind="stable")[:3]]
+    assert [(r.query_id, r.id) for r in got] == want
+    monkeypatch.setattr(dense, "GROUP_BYTES", 8 * 4 * 1_000)
+    assert dense_search(q, df, k=3).orderBy("query_id", "rank").collect() == got
+    assert scores(q, df, above=0.999).count() == (cosines > 0.999).sum()
+
+
+def test_fused_hits_leave_no_texts_on_disk(spark):
+    held = session._cuts.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    out = retrieval.hybrid_rerank_passthrough(spark, SMALL)
+    assert {p.rpartition("/")[2].rpartition("-")[0] for p in held[before:]}.isdisjoint({"postings", "hybrid-chunks", "hybrid-vectors"})
+    assert out.count() > 0
